@@ -167,7 +167,8 @@ def raster_regions(cells: DataFrame, connectivity: int = 4, mask: DataFrame | No
         .applyInPandas(_label_tile(tile, connectivity == 8), schema)
     )
     moves = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if connectivity == 8 else [])
-    on_edge = local.where(F.col("cx").__mod__(tile).isin(0, tile - 1) | F.col("cy").__mod__(tile).isin(0, tile - 1) | (F.col("cx") < 0) | (F.col("cy") < 0))
+    rim = lambda c: F.pmod(F.col(c), F.lit(tile)).isin(0, tile - 1)
+    on_edge = local.where(rim("cx") | rim("cy"))
     step = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in moves]))
     out = on_edge.withColumn("__m", step).select(
         (F.col("cx") + F.col("__m.dx")).alias("cx"), (F.col("cy") + F.col("__m.dy")).alias("cy"), "value", F.col("region").alias("a")

@@ -245,7 +245,7 @@ def cover(polys: DataFrame, key: str, size: float, x0: float = 0.0, y0: float =
     cross = F.col("x1") + (yc - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
     runs = rows.groupBy(key, "cy").agg(F.sort_array(F.collect_list(cross)).alias("__x"))
     pairs = F.transform(
-        F.sequence(F.lit(0), F.size("__x") / 2 - 1),
+        F.sequence(F.lit(0), F.floor(F.size("__x") / 2).cast("int") - 1),
         lambda i: F.struct(
             centre(F.get("__x", (i * 2).cast("int")), x0).alias("lo"),
             (centre(F.get("__x", (i * 2 + 1).cast("int")), x0) - 1).alias("hi"),

@@ -125,7 +125,7 @@ def theil_sen(
     sized = join_keys(pts, size, keys, "inner")
     schema = _with_fit(pts.schema, keys)
 
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         row = _fit_points(pdf["__x"].to_numpy(), pdf["__y"].to_numpy(), pdf["__w"].to_numpy())
         return pd.DataFrame([tuple(None if isinstance(k, float) and k != k else k for k in key) + row], columns=schema.names)
 
@@ -151,7 +151,7 @@ def repeated_medians(df: DataFrame, keys: Sequence[str], x: str, y: str) -> Data
         T.StructField("v", T.DoubleType()), T.StructField("p", T.DoubleType()),
     ])
 
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf["__x"].to_numpy(), pdf["__y"].to_numpy()
         row = (len(a), None, None, None, None)
         if len(a) > 1:
