@@ -126,9 +126,10 @@ def line_length(line) -> Column:
 def bounding_box(df: DataFrame, geom: str) -> DataFrame:
     """One row: the box over every vertex of every polygon, with its corner ring as ``geom``."""
     pts = F.flatten(F.flatten(F.col(geom)))
-    v = df.select(
-        *[f(F.transform(pts, lambda p, a=a: p[a])).alias(f"{n}{a}") for a in "xy" for f, n in ((F.array_min, "min"), (F.array_max, "max"))]
-    ).agg(F.min("minx").alias("xmin"), F.min("miny").alias("ymin"), F.max("maxx").alias("xmax"), F.max("maxy").alias("ymax"))
+    xs, ys = F.transform(pts, lambda p: p["x"]), F.transform(pts, lambda p: p["y"])
+    v = df.select(F.array_min(xs).alias("a"), F.array_min(ys).alias("b"), F.array_max(xs).alias("c"), F.array_max(ys).alias("d")).agg(
+        F.min("a").alias("xmin"), F.min("b").alias("ymin"), F.max("c").alias("xmax"), F.max("d").alias("ymax")
+    )
     return v.withColumn("geom", box_polygon(F.col("xmin"), F.col("ymin"), F.col("xmax"), F.col("ymax")))
 
 

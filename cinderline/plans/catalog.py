@@ -1,6 +1,6 @@
 """Collects every registered query."""
 
-from cinderline.plans import catalog_studies, catalog_tables  # noqa: F401
+from cinderline.plans import catalog_operators, catalog_studies, catalog_tables  # noqa: F401
 from cinderline.plans.registry import ORACLES, QUERIES
 
 

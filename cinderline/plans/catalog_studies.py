@@ -233,8 +233,8 @@ zc as (select zone, us_l3name, cx, cy from (select cx, cy, (cx + 0.5e0) * 20000
 ov as (select id, zone, us_l3name, count(*) * 400000000e0 as area from pieces join zc using (cx, cy) group by 1, 2, 3)"""
 
 
-@query("q17_level3_means", V.sql("fires blocks", ", " + _SQUARE_CELLS.format(id="fire_id", src="fires") + """ select us_l3name, round(avg(fsr_ha_per_day), 6) as avg_fsr, round(avg(max_growth_ha), 6) as avg_max_growth, count(*) as n
- from ov join fires on fire_id = id group by us_l3name"""))
+@query("q17_level3_means", V.sql("fires blocks", ", " + _SQUARE_CELLS.format(id="fire_id", src="fires") + """ select ov.us_l3name, round(avg(fsr_ha_per_day), 6) as avg_fsr, round(avg(max_growth_ha), 6) as avg_max_growth, count(*) as n
+ from ov join fires on fire_id = id group by ov.us_l3name"""))
 def q17b(spark, sf):
     f = P.square_around(V.fires(spark, sf), 50000.0)
     return rounded(P.region_means(f, "fire_id", V.zones(spark, sf), "zone", "us_l3name", 20000.0))
