@@ -43,10 +43,10 @@ _op("scan_feature_table", "", "select n_nationkey, n_name, n_regionkey from nati
     lambda spark, sf: I.read_features(spark, f"{sf}/nation.parquet", _NATION))
 _op("scan_named_layer", "", "select r_regionkey, r_name from region",
     lambda spark, sf: I.read_features(spark, sf, _REGION, layer="region.parquet"))
-_op("scan_many_files", "", """select 'nation' as source, count(*) as n, sum(n_regionkey) as total from nation
+_op("scan_many_files", "", """select 'nation' as source, count(*) as n, sum(n_regionkey) * 1e0 as total from nation
  union all select 'supplier', count(*), null from supplier""",
     lambda spark, sf: I.read_many(spark, sf, schemas._schema([("n_regionkey", schemas._I)]), "{nation,supplier}.parquet", tag="source", tag_regex=r"([a-z]+)\.parquet$")
-    .groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_regionkey").alias("total")))
+    .groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_regionkey").cast("double").alias("total")))
 
 
 def csv_round_trip(spark, sf):
@@ -90,8 +90,8 @@ _op("feature_write_replaces", "blocks", "select zone, us_l3name, 920000e0 * 5800
 
 # --- projections and filters --------------------------------------------------------------------
 
-_op("select_and_rename", "fires", 'select lc_name as landcover, duration as days, fire_id from fires',
-    lambda spark, sf: V.fires(spark, sf).select("fire_id", "lc_name", "duration").withColumnsRenamed({"lc_name": "landcover", "duration": "days"}))
+_op("select_and_rename", "fires", 'select lc_name as landcover, duration * 1e0 as days, fire_id from fires',
+    lambda spark, sf: V.fires(spark, sf).select("fire_id", "lc_name", c("duration").cast("double").alias("duration")).withColumnsRenamed({"lc_name": "landcover", "duration": "days"}))
 _op("lower_case_names", "", "select n_nationkey as nation_key, n_name as nation_name from nation",
     lambda spark, sf: C.rename_lower(V.table(spark, sf, "nation").select(c("n_nationkey").alias("NATION_KEY"), c("n_name").alias("Nation_Name"))))
 _op("filter_conjunction", "fires", "select fire_id, lc_name, duration from fires where lc_name <> '1-URGENT' and duration > 3",
@@ -128,7 +128,7 @@ _op("decade_bins", "fires", "select case when ignition_year < 1998 then 'a' else
     lambda spark, sf: V.fires(spark, sf).groupBy(C.decade("ignition_year", 1998, ("a", "b")).alias("decade")).agg(F.count(F.lit(1)).alias("n")))
 _op("ordered_category", "fires", "select fire_id, coalesce(list_position(['5-LOW', '1-URGENT', '2-HIGH'], lc_name), -1) as lc_order from fires",
     lambda spark, sf: V.fires(spark, sf).select("fire_id", F.coalesce(C.level_order("lc_name", ["5-LOW", "1-URGENT", "2-HIGH"]), F.lit(-1)).alias("lc_order")))
-_op("cast_or_null", "", "select user_id, sum(try_cast(case when event_id % 3 = 0 then 'n/a' else cast(event_id as varchar) end as bigint)) as total from events group by user_id",
+_op("cast_or_null", "", "select user_id, cast(sum(try_cast(case when event_id % 3 = 0 then 'n/a' else cast(event_id as varchar) end as bigint)) as bigint) as total from events group by user_id",
     lambda spark, sf: V.table(spark, sf, "events").withColumn("t", F.when(c("event_id") % 3 == 0, "n/a").otherwise(c("event_id").cast("string"))).groupBy("user_id").agg(F.sum(C.number_or_null("t", "long")).alias("total")))
 _op("paste_strings", "fires", "select fire_id, concat_ws('-', cast(ignition_year as varchar), cast(ignition_month as varchar), lc_name) as label, concat(cast(fire_id as varchar), '_', cast(ignition_year as varchar)) as event from fires where lc_name is not null",
     lambda spark, sf: V.fires(spark, sf).where("lc_name is not null").select("fire_id", F.concat_ws("-", "ignition_year", "ignition_month", "lc_name").alias("label"), F.concat(c("fire_id").cast("string"), F.lit("_"), c("ignition_year").cast("string")).alias("event")))
@@ -167,7 +167,7 @@ _op("left_join_null_keys", "fires", """, m as (select lc_name, round(avg(duratio
     lambda spark, sf: rounded(join_keys(V.fires(spark, sf).select("fire_id", "lc_name"), V.fires(spark, sf).groupBy("lc_name").agg(F.avg("duration").alias("d")), ["lc_name"], "left").select("fire_id", "d")))
 _op("natural_left_join", "fires", """, m as (select l1_ecoregion, lc_name, max(duration) as d from fires where duration > 4 group by 1, 2) select f.fire_id, cast(d as double) as d from fires f left join m on f.lc_name is not distinct from m.lc_name and f.l1_ecoregion is not distinct from m.l1_ecoregion""",
     lambda spark, sf: natural_left_join(V.fires(spark, sf).select("fire_id", "l1_ecoregion", "lc_name"), V.fires(spark, sf).where("duration > 4").groupBy("l1_ecoregion", "lc_name").agg(F.max("duration").alias("d"))).select("fire_id", c("d").cast("double").alias("d")))
-_op("point_to_grid_cell", "fires", "select floor((x + 2300000) / 50000) as cx, floor((y + 2100000) / 50000) as cy, count(*) as n from fires group by 1, 2",
+_op("point_to_grid_cell", "fires", "select cast(floor((x + 2300000) / 50000) as bigint) as cx, cast(floor((y + 2100000) / 50000) as bigint) as cy, count(*) as n from fires group by 1, 2",
     lambda spark, sf: S.with_cell(V.fires(spark, sf), 50000.0, -2300000.0, -2100000.0).groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n")))
 _op("point_in_polygon", "fires blocks", f"select fire_id, zone from fires join blocks on {V.IN_ZONE}",
     lambda spark, sf: S.point_in_polygon(V.fires(spark, sf).select("fire_id", "x", "y"), V.zones(spark, sf), "zone").select("fire_id", "zone"))
@@ -187,11 +187,11 @@ _op("clip_to_box", "fires", "select fire_id, x, y from fires where x between -50
     lambda spark, sf: S.clip_to_box(V.fires(spark, sf), -500000, -1000000, 700000, 0).select("fire_id", "x", "y"))
 _op("points_per_polygon", "fires blocks", f", hits as (select zone, count(*) as n from fires join blocks on {V.IN_ZONE} where max_growth_ha > 9000 group by zone) select zone, coalesce(n, 0) as n from blocks left join hits using (zone)",
     lambda spark, sf: S.count_in_polygons(V.zones(spark, sf), "zone", V.fires(spark, sf).where("max_growth_ha > 9000")).select("zone", "n"))
-_op("line_length_per_cell", "roads", """, h as (select *, floor(y1 / 50000) as cy, least(x1, x2) as a, greatest(x1, x2) as b from roads where y1 = y2 and x1 <> x2),
+_op("line_length_per_cell", "roads", """, h as (select *, cast(floor(y1 / 50000) as bigint) as cy, least(x1, x2) as a, greatest(x1, x2) as b from roads where y1 = y2 and x1 <> x2),
 p as (select cy, k as cx, (least(b, (k + 1) * 50000e0) - greatest(a, k * 50000e0)) / 1000 as km from (select *, unnest(range(cast(floor(a / 50000) as bigint), cast(floor(b / 50000) as bigint) + 1)) as k from h))
 select cx, cy, round(sum(km), 6) as km from p where km > 0 group by 1, 2""",
     lambda spark, sf: rounded(S.line_km_per_cell(V.roads(spark, sf).where("y1 = y2"), 50000.0)))
-_op("zonal_sum_grid", "cells", "select floor(cx / 5) as zx, floor(cy / 5) as zy, round(sum(home_density), 6) as homes from cells group by 1, 2",
+_op("zonal_sum_grid", "cells", "select cast(floor(cx / 5) as bigint) as zx, cast(floor(cy / 5) as bigint) as zy, round(sum(home_density), 6) as homes from cells group by 1, 2",
     lambda spark, sf: rounded(R.zonal_sum(V.cells(spark, sf), [F.floor(c("cx") / 5).alias("zx"), F.floor(c("cy") / 5).alias("zy")], {"homes": "home_density"})))
 _op("zonal_sum_polygons", "cells blocks", f", g as (select *, (cx - 25 + 0.5e0) * 90000 as x, (cy - 20 + 0.5e0) * 90000 as y from cells) select zone, round(sum(home_density), 6) as homes from g join blocks on {V.IN_ZONE} group by zone",
     lambda spark, sf: rounded(R.zonal_sum_polygons(R.to_points(V.cells(spark, sf), 90000.0, -25 * 90000.0, -20 * 90000.0, "home_density"), V.zones(spark, sf), "zone", {"homes": "home_density"})))
@@ -277,7 +277,7 @@ select us_l3name, count(*) as n, round(median(s), 6) as slope, round(median(t),
 _op("trend_labels", "fires", """, s as (select us_l3name, round(regr_slope(fsr_ha_per_day, ignition_year), 6) as slope, case when count(*) % 3 = 0 then null else count(*) % 100 / 100e0 end as p from fires group by 1)
 select us_l3name, case when p is null then 'Insufficient data' when p >= 0.05 then 'Not Significant' when slope > 0 then 'Positive' else 'Negative' end as label from s""",
     lambda spark, sf: V.fires(spark, sf).groupBy("us_l3name").agg(F.regr_slope("fsr_ha_per_day", "ignition_year").alias("slope"), F.count(F.lit(1)).alias("k")).withColumn("p", F.when(c("k") % 3 != 0, c("k") % 100 / 100)).select("us_l3name", T.trend_label("slope", "p", "Insufficient data").alias("label")))
-_op("least_squares_by_group", "fires", "select us_l3name, regr_count(fsr_ha_per_day, duration) as n, round(regr_slope(fsr_ha_per_day, duration), 6) as slope, round(regr_intercept(fsr_ha_per_day, duration), 6) as intercept, round(regr_syy(fsr_ha_per_day, duration) - regr_slope(fsr_ha_per_day, duration) * regr_sxy(fsr_ha_per_day, duration), 3) as rss from fires group by 1",
+_op("least_squares_by_group", "fires", "select us_l3name, cast(regr_count(fsr_ha_per_day, duration) as bigint) as n, round(regr_slope(fsr_ha_per_day, duration), 6) as slope, round(regr_intercept(fsr_ha_per_day, duration), 6) as intercept, round(regr_syy(fsr_ha_per_day, duration) - regr_slope(fsr_ha_per_day, duration) * regr_sxy(fsr_ha_per_day, duration), 3) as rss from fires group by 1",
     lambda spark, sf: rounded(M.ols(V.fires(spark, sf), ["us_l3name"], "duration", "fsr_ha_per_day").select("us_l3name", "n", "slope", "intercept", "rss"), rss=3))
 _COEF = """l as (select us_l3name, regr_count(v, x) as n, regr_avgx(v, x) as xb, regr_sxx(v, x) as sxx, regr_slope(v, x) as b, regr_intercept(v, x) as a, regr_syy(v, x) - regr_slope(v, x) * regr_sxy(v, x) as rss from (select us_l3name, fsr_ha_per_day as v, duration as x from fires) group by 1)"""
 _op("coefficient_table", "fires", f""", {_COEF}, t as (select us_l3name, n, '(Intercept)' as term, a as estimate, sqrt(rss / (n - 2)) * sqrt(1e0 / n + xb * xb / sxx) as std_error from l union all select us_l3name, n, 'duration', b, sqrt(rss / (n - 2)) / sqrt(sxx) from l)

@@ -47,9 +47,9 @@ def _summary(spark, sf):
     return P.cell_summary(V.fires(spark, sf), _grid(spark, sf), CELL, X0, Y0)
 
 
-@query("q08_cell_summary", V.sql("fires blocks", f", {_GRID} select * replace (round(fsr_ha, 6) as fsr_ha, round(mean_max_growth, 6) as mean_max_growth, round(max_max_growth, 6) as max_max_growth) from summ"))
+@query("q08_cell_summary", V.sql("fires blocks", f", {_GRID} select * replace (round(fsr_ha, 7) as fsr_ha, round(mean_max_growth, 6) as mean_max_growth, round(max_max_growth, 6) as max_max_growth) from summ"))
 def q08(spark, sf):
-    return rounded(_summary(spark, sf))
+    return rounded(_summary(spark, sf), fsr_ha=7)
 
 
 @query("q09_extreme_share", V.sql("fires blocks", f""", {_GRID} select count(*) filter (where class_max_max_fsr = '> 10,000') as n_extreme_cells,
@@ -128,7 +128,7 @@ def _trend_cols(extra=""):
     return ", ".join(f"round({m}_trend, 6) as {m}_trend, round({m}_p, 6) as {m}_p" for m in P.METRICS) + extra
 
 
-_CELL250 = f"select floor((x + 2300000) / 250000) as cx, floor((y + 2100000) / 250000) as cy, ignition_year, fsr_ha_per_day, max_growth_ha, duration"
+_CELL250 = f"select cast(floor((x + 2300000) / 250000) as bigint) as cx, cast(floor((y + 2100000) / 250000) as bigint) as cy, ignition_year, fsr_ha_per_day, max_growth_ha, duration"
 
 
 def _cell_labels():
