@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cinderline.operators.keys import join_keys
-from cinderline.operators.ranks import medians, multi_quantiles, value_counts
+from cinderline.operators.ranks import bracket_aggs, bracketed_quantiles, multi_quantiles, value_counts
 
 
 # --- reducers ---------------------------------------------------------------------------
@@ -45,8 +45,10 @@ def cell_area(cond: Column, size_km: float) -> Column:
 
 def with_medians(df: DataFrame, keys: Sequence[str], aggs: dict[str, Column], meds: dict[str, str]) -> DataFrame:
     """Ordinary aggregates plus exact medians of named columns."""
-    base = df.groupBy(*keys).agg(*[c.alias(a) for a, c in aggs.items()])
-    return join_keys(base, medians(df, keys, meds), keys, "left")
+    wanted = {a: (c, 0.5) for a, c in meds.items()}
+    brackets = bracket_aggs({c: [0.5] for c in meds.values()})
+    base = df.groupBy(*keys).agg(*[c.alias(a) for a, c in {**aggs, **brackets}.items()])
+    return join_keys(base, bracketed_quantiles(df, base, keys, wanted), keys, "left").drop(*brackets)
 
 
 def group_mode(df: DataFrame, keys: Sequence[str], cols: Sequence[str], order: str | None = None) -> DataFrame:

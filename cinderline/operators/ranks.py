@@ -1,15 +1,18 @@
 """Exact ranks and quantiles that never sort one whole group in one task.
 
-Values are first counted per ``(keys, value)``, which spreads a hot group over the
-cluster by value. Approximate quantiles then cut each group's value axis into buckets;
-they only decide where the cuts fall, so the result is exact wherever they land. Running
-totals over the few buckets of a group, plus running totals inside each bucket, give
-exact cumulative counts.
+Quantiles: an approximate quantile sketch, built map-side, brackets each wanted position. A second pass
+counts every row outside the brackets without keeping its value and counts the few values
+inside them one by one, so the exact order statistic is read from a small table. Should a
+bracket ever miss its position the query fails rather than return a wrong value.
+
+Ranks: values are counted per ``(keys, value)``, which spreads a hot group over the cluster
+by value. Approximate quantiles cut each group's axis into buckets; they only decide where
+the cuts fall. Running totals over buckets and inside each bucket give exact cumulative counts.
 """
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinderline.operators.keys import join_keys
@@ -27,13 +30,19 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str, weight: str | N
     )
 
 
+def _search(cuts: Column, v: Column, lo: int, hi: int) -> Column:
+    """How many of the sorted ``cuts[lo:hi]`` are below ``v``, as a binary decision tree."""
+    if lo == hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(v > F.get(cuts, F.lit(mid)), _search(cuts, v, mid + 1, hi)).otherwise(_search(cuts, v, lo, mid))
+
+
 def bucketed(counts: DataFrame, keys: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
     probs = [i / buckets for i in range(1, buckets)]
-    cuts = counts.groupBy(*keys).agg(
-        F.array_distinct(F.percentile_approx("value", probs, 1000)).alias("__cuts")
-    )
-    below = F.size(F.filter("__cuts", lambda c: c < F.col("value")))
-    return join_keys(counts, cuts, keys, "inner").withColumn("__bucket", below).drop("__cuts")
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx("value", probs, 1000).alias("__cuts"))
+    bucket = _search(F.col("__cuts"), F.col("value"), 0, buckets - 1)
+    return join_keys(counts, cuts, keys, "inner").withColumn("__bucket", bucket).drop("__cuts")
 
 
 def bucket_totals(b: DataFrame, keys: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
@@ -66,63 +75,63 @@ def cumulative_counts(counts: DataFrame, keys: Sequence[str], extra: Sequence[st
     )
 
 
-def quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], weight: str | None = None,
-) -> DataFrame:
-    """Exact linearly interpolated quantiles per group: ``keys`` plus one column per named probability."""
-    return counted_quantiles(value_counts(df, keys, value, weight), keys, probs)
+ACCURACY = 50_000
+MARGIN = 2e-4
+WHOLE = 20_000
+
 
+def bracket_aggs(cols: dict[str, Sequence[float]]) -> dict[str, Column]:
+    """Aggregates (count and bracket ends per column) that :func:`bracketed_quantiles` needs."""
+    out = {}
+    for c, probs in cols.items():
+        ends = [min(1.0, max(0.0, q)) for p in sorted(probs) for q in (p - MARGIN, p + MARGIN)]
+        out[f"__n_{c}"] = F.count(c)
+        out[f"__cuts_{c}"] = F.percentile_approx(F.col(c).cast("double"), ends, ACCURACY)
+    return out
 
-def counted_quantiles(counts: DataFrame, keys: Sequence[str], probs: dict[str, float]) -> DataFrame:
+
+def bracketed_quantiles(df: DataFrame, stats: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """Exact interpolated quantiles; ``wanted`` maps output names to (column, probability)."""
     keys = list(keys)
-    b = bucketed(counts, keys)
-    # Each probability needs the two order statistics around position p * (n - 1) + 1.
-    wanted = F.explode(F.array(*[
-        F.struct(F.lit(a).alias("name"), (F.lit(p) * (F.col("total") - 1) + 1).alias("pos"))
-        for a, p in probs.items()
-    ]))
-    targets = (
-        bucket_totals(b, keys)
-        .withColumn("__t", wanted)
-        .select("*", "__t.name", "__t.pos").drop("__t")
-        .where((F.floor("pos") <= F.col("__before") + F.col("__in")) & (F.ceil("pos") > F.col("__before")))
-    )
-    need = (
-        targets.groupBy(*keys, "__bucket")
-        .agg(F.first("__before").alias("__before"), F.collect_list(F.struct("name", "pos")).alias("__want"))
-    )
-    run = Window.partitionBy(*keys, "__bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    at = (
-        join_keys(b, need, [*keys, "__bucket"], "inner")
-        .withColumn("__cum", F.col("__before") + F.sum("n").over(run))
-        .select(*keys, "value", "n", "__cum", F.explode("__want").alias("__w"))
-        .select("*", "__w.name", "__w.pos")
-        .where((F.floor("pos") <= F.col("__cum")) & (F.ceil("pos") > F.col("__cum") - F.col("n")))
+    cols = {c: sorted(p for q, p in wanted.values() if q == c) for c, _ in wanted.values()}
+    s = stats.select(*keys, *[f"__{k}_{c}" for c in cols for k in ("n", "cuts")])
+    size = max(2 * len(p) for p in cols.values())
+    entry = lambda c: F.struct(
+        F.lit(c).alias("col"), F.col(c).cast("double").alias("v"), F.col(f"__n_{c}").alias("total"), F.col(f"__cuts_{c}").alias("cuts")
     )
-    frac = F.max("pos") - F.floor(F.max("pos"))
-    one = (
-        at.groupBy(*keys, "name")
-        .agg((F.min("value") + (F.max("value") - F.min("value")) * frac).alias("q"))
+    rows = join_keys(df.select(*keys, *cols), s, keys, "inner")
+    if len(cols) == 1:
+        long = rows.select(*keys, entry(next(iter(cols))).alias("__e"))
+    else:
+        long = rows.select(*keys, F.explode(F.array(*[entry(c) for c in cols])).alias("__e"))
+    long = long.select(*keys, "__e.*").where(F.col("v").isNotNull())
+    # Shorter cut lists end in NULL, which no value exceeds.
+    side = sum((F.coalesce(F.col("v") > F.get("cuts", F.lit(i)), F.lit(False)).cast("int") for i in range(size)), F.lit(0))
+    kept = (F.col("total") <= WHOLE) | (side % 2 == 1) | F.array_contains("cuts", F.col("v"))
+    table = (
+        long.select(*keys, "col", "total", F.when(F.col("total") <= WHOLE, 0).otherwise(side).alias("side"), F.when(kept, F.col("v")).alias("v"))
+        .groupBy(*keys, "col", "total", "side", "v").agg(F.count(F.lit(1)).alias("n"))
     )
-    return one.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == a, F.col("q"))).alias(a) for a in probs])
+    run = Window.partitionBy(*keys, "col").orderBy("side", F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0)
+    cum = table.withColumn("cum", F.sum("n").over(run))
+    missed = F.raise_error(F.lit("quantile bracket missed its position")).cast("double")
+    out = []
+    for a, (c, p) in wanted.items():
+        pos = F.lit(p) * (F.col("total") - 1) + 1
+        hit = (F.col("col") == c) & (F.floor(pos) <= F.col("cum")) & (F.ceil(pos) > F.col("cum") - F.col("n"))
+        v = F.when(hit, F.coalesce("v", missed))
+        frac = F.max(F.when(F.col("col") == c, pos - F.floor(pos)))
+        out.append((F.min(v) + (F.max(v) - F.min(v)) * frac).alias(a))
+    return cum.groupBy(*keys).agg(*out)
 
 
-def medians(df: DataFrame, keys: Sequence[str], cols: dict[str, str]) -> DataFrame:
-    """Exact medians of several columns in one pass: ``cols`` maps output names to input columns."""
-    return multi_quantiles(df, keys, {a: (c, 0.5) for a, c in cols.items()})
+def multi_quantiles(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """Exact interpolated quantiles of several columns, two passes over the input."""
+    cols = {c: [p for q, p in wanted.values() if q == c] for c, _ in wanted.values()}
+    stats = df.groupBy(*keys).agg(*[e.alias(a) for a, e in bracket_aggs(cols).items()])
+    return bracketed_quantiles(df, stats, keys, wanted)
 
 
-def multi_quantiles(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
-    keys = list(keys)
-    sources = sorted({c for c, _ in wanted.values()})
-    if len(sources) == 1:
-        return quantiles(df, keys, sources[0], {a: p for a, (_, p) in wanted.items()})
-    long = df.select(
-        *keys, F.explode(F.array(*[F.struct(F.lit(c).alias("m"), F.col(c).cast("double").alias("v")) for c in sources])).alias("__s")
-    ).select(*keys, F.col("__s.m").alias("__m"), F.col("__s.v").alias("__v"))
-    probs = {f"p{i}": p for i, p in enumerate(sorted({p for _, p in wanted.values()}))}
-    name = {p: a for a, p in probs.items()}
-    q = quantiles(long, [*keys, "__m"], "__v", probs)
-    return q.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("__m") == c, F.col(name[p]))).alias(a) for a, (c, p) in wanted.items()
-    ])
+def medians(df: DataFrame, keys: Sequence[str], cols: dict[str, str]) -> DataFrame:
+    """Exact medians of several columns: ``cols`` maps output names to input columns."""
+    return multi_quantiles(df, keys, {a: (c, 0.5) for a, c in cols.items()})

@@ -43,20 +43,24 @@ def mean_shifts(y: np.ndarray, trim: float = 0.15) -> list[int]:
     return breaks[::-1]
 
 
-def break_points(daily: DataFrame, id: str = "id", day: str = "event_day", value: str = "pixels", min_rows: int = 20) -> DataFrame:
-    """``id, segment, event_day`` of every break of series longer than ``min_rows``.
+def growth_periods(daily: DataFrame, id: str, day: str, value: str, cum: str, min_rows: int) -> DataFrame:
+    """``id, day, cum`` at the origin, at every break and at the end of series longer than ``min_rows``.
 
-    Rows are summed per day first, so a series is never longer than its calendar.
+    Rows are summed per day first, so a series is never longer than its calendar. A series
+    without a break gives no rows.
     """
-    series = daily.groupBy(id, day).agg(F.sum(value).cast("double").alias("__y"))
-    schema = T.StructType([series.schema[id], T.StructField("segment", T.IntegerType()), series.schema[day]])
+    series = daily.groupBy(id, day).agg(F.sum(value).cast("double").alias("__y"), F.max(cum).alias(cum))
+    schema = T.StructType([series.schema[id], series.schema[day], series.schema[cum]])
 
     def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) <= min_rows:
-            return pd.DataFrame({id: [], "segment": [], day: []}).astype({"segment": "int32"})
         pdf = pdf.sort_values(day)
-        at = mean_shifts(pdf["__y"].to_numpy())
-        return pd.DataFrame({id: pdf[id].iloc[at].to_numpy(), "segment": np.arange(1, len(at) + 1), day: pdf[day].iloc[at].to_numpy()})
+        at = mean_shifts(pdf["__y"].to_numpy()) if len(pdf) > min_rows else []
+        if not at:
+            return pdf[[id, day, cum]].iloc[:0]
+        days, total = pdf[day].to_numpy(), pdf[cum].to_numpy()
+        return pd.DataFrame({
+            id: pdf[id].iloc[0], day: np.concatenate(([0], days[at], [days.max()])), cum: np.concatenate(([0], total[at], [total.max()])),
+        })
 
     return series.groupBy(id).applyInPandas(split, schema)
 
@@ -67,13 +71,8 @@ def peak_growth(daily: DataFrame, id: str = "id", day: str = "event_day", value:
     Only events longer than ``min_duration`` days with at least one break appear; the earliest of
     equally fast periods counts.
     """
-    d = daily.where(F.col("duration") > min_duration)
-    breaks = break_points(d, id, day, value, min_duration)
-    ends = breaks.join(d.groupBy(id, day).agg(F.max(cum).alias(cum)), [id, day]).select(id, day, cum)
-    with_break = d.join(breaks.select(id).distinct(), id, "left_semi")
-    last = with_break.groupBy(id).agg(F.max(day).alias(day), F.max(cum).alias(cum))
-    start = last.select(id, F.lit(0).cast(d.schema[day].dataType).alias(day), F.lit(0).cast(d.schema[cum].dataType).alias(cum))
-    r = consecutive_rate(start.unionByName(ends).unionByName(last), id, day, cum).where(F.col("rate").isNotNull())
+    ends = growth_periods(daily.where(F.col("duration") > min_duration), id, day, value, cum, min_duration)
+    r = consecutive_rate(ends, id, day, cum).where(F.col("rate").isNotNull())
     first = F.max_by(F.struct("rate", "span", "gain", f"prior_{day}", day), F.struct("rate", -F.col(day)))
     return r.groupBy(id).agg(first.alias("__b")).select(
         id, F.col("__b.rate").alias("pgp_fsr"), F.col("__b.span").alias("pgp_duration"), F.col("__b.gain").alias("pgp_ba_pix"),

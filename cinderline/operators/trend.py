@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from cinderline.functions.tails import normal_two_sided, signed_rank_two_sided
 from cinderline.operators.keys import join_keys
-from cinderline.operators.ranks import counted_quantiles, cumulative_counts
+from cinderline.operators.ranks import cumulative_counts
 from cinderline.sources.tables import cut_lineage
 
 DIRECT_POINTS = 4096
@@ -58,18 +58,24 @@ def pair_slopes(x, y, w):
     return (np.concatenate(s), np.concatenate(ww)) if s else (np.empty(0), np.empty(0))
 
 
-def signed_rank(values: np.ndarray, weights: np.ndarray):
+def signed_rank(values: np.ndarray, weights: np.ndarray | None = None):
     """``(V, z, p)`` of the signed-rank test: zeros dropped, average ranks, exact for < 50 untied values."""
     keep = values != 0
     zeros = not keep.all()
-    s, w = values[keep], weights[keep]
+    s = values[keep]
     if len(s) == 0:
         return None, None, None
-    mag, at = np.unique(np.abs(s), return_inverse=True)
-    size = np.bincount(at, weights=w, minlength=len(mag))
-    plus = np.bincount(at, weights=np.where(s > 0, w, 0.0), minlength=len(mag))
-    rank = np.cumsum(size) - size + (size + 1) / 2
-    v, n = float((plus * rank).sum()), float(size.sum())
+    if weights is None:
+        mag, plus = np.sort(np.abs(s)), np.sort(s[s > 0])
+        v = float((np.searchsorted(mag, plus, "left") + np.searchsorted(mag, plus, "right") + 1).sum() / 2)
+        size = np.diff(np.concatenate(([0], np.flatnonzero(np.diff(mag)) + 1, [len(mag)]))).astype(float)
+    else:
+        w = weights[keep]
+        mag, at = np.unique(np.abs(s), return_inverse=True)
+        size = np.bincount(at, weights=w, minlength=len(mag))
+        rank = np.cumsum(size) - size + (size + 1) / 2
+        v = float((np.bincount(at, weights=np.where(s > 0, w, 0.0), minlength=len(mag)) * rank).sum())
+    n = float(size.sum())
     z = signed_rank_z(v, n, float((size**3 - size).sum()))
     if n < 50 and not zeros and (size == 1).all():
         return v, z, signed_rank_two_sided(v, int(n))
@@ -86,12 +92,13 @@ def signed_rank_z(v: float, n: float, ties: float):
 
 def _fit_points(x, y, w):
     n = int(w.sum())
+    single = bool((w == 1).all())
     s, ww = pair_slopes(x, y, w)
     if len(s) == 0:
         return n, 0.0, None, None, None, None, None, 0.0
-    slope = weighted_median(s, ww)
+    slope = float(np.median(s)) if single else weighted_median(s, ww)
     intercept = weighted_median(y - slope * x, w)
-    v, z, p = signed_rank(s, ww)
+    v, z, p = signed_rank(s, None if single else ww)
     return n, float(ww.sum()), slope, intercept, v, z, p, 0.0
 
 
@@ -160,7 +167,7 @@ def repeated_medians(df: DataFrame, keys: Sequence[str], x: str, y: str) -> Data
                 o = a != a[i]
                 slopes[i] = np.median((b[o] - b[i]) / (a[o] - a[i]))
                 cuts[i] = np.median((a[o] * b[i] - a[i] * b[o]) / (a[o] - a[i]))
-            v, _, p = signed_rank(slopes, np.ones(len(a)))
+            v, _, p = signed_rank(slopes)
             row = (len(a), float(np.median(slopes)), float(np.median(cuts)), v, p)
         return pd.DataFrame([tuple(key) + row], columns=schema.names)
 
@@ -200,8 +207,12 @@ def _fit_large(pts: DataFrame, keys: Sequence[str], chunk: int, gather: int, p_t
     tiles = _tiles(named, chunk)
     slope = _select_median(tiles, gather)
     resid = join_keys(named, slope.select("__g", "slope"), ["__g"], "inner").withColumn("__r", F.col("__y") - F.col("slope") * F.col("__x"))
-    cut = counted_quantiles(
-        resid.groupBy("__g", F.col("__r").alias("value")).agg(F.sum("__w").cast("long").alias("n")), ["__g"], {"intercept": 0.5}
+    ranked = cumulative_counts(
+        resid.groupBy("__g", F.col("__r").alias("value")).agg(F.sum("__w").cast("long").alias("n")), ["__g"]
+    )
+    mid = (F.col("total") + 1) / 2
+    cut = ranked.where((F.floor(mid) <= F.col("cum")) & (F.ceil(mid) > F.col("cum") - F.col("n"))).groupBy("__g").agg(
+        ((F.min("value") + F.max("value")) / 2).alias("intercept")
     )
     test = _ladder_test(tiles, p_tol)
     return back.join(slope, "__g").join(cut, "__g").join(test, "__g", "left").drop("__g")

@@ -47,9 +47,9 @@ def _summary(spark, sf):
     return P.cell_summary(V.fires(spark, sf), _grid(spark, sf), CELL, X0, Y0)
 
 
-@query("q08_cell_summary", V.sql("fires blocks", f", {_GRID} select * replace (round(fsr_ha, 7) as fsr_ha, round(mean_max_growth, 6) as mean_max_growth, round(max_max_growth, 6) as max_max_growth) from summ"))
+@query("q08_cell_summary", V.sql("fires blocks", f", {_GRID} select * replace (round(fsr_ha, 8) as fsr_ha, round(mean_max_growth, 6) as mean_max_growth, round(max_max_growth, 6) as max_max_growth) from summ"))
 def q08(spark, sf):
-    return rounded(_summary(spark, sf), fsr_ha=7)
+    return rounded(_summary(spark, sf), fsr_ha=8)
 
 
 @query("q09_extreme_share", V.sql("fires blocks", f""", {_GRID} select count(*) filter (where class_max_max_fsr = '> 10,000') as n_extreme_cells,
