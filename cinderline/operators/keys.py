@@ -1,7 +1,6 @@
 """Joins on keys that may be missing: NULL matches NULL."""
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +12,7 @@ def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     if not keys:
         return left.crossJoin(right)
     renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
-    cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys])
+    cond = F.expr(" and ".join(f"`{k}` <=> `__r_{k}`" for k in keys))
     out = left.join(renamed, cond, how)
     return out if how in ("left_semi", "left_anti") else out.drop(*[f"__r_{k}" for k in keys])
 
@@ -25,3 +24,11 @@ def natural_left_join(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def semi_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
     return left.join(right.select(F.col(right_key).alias("__k")), F.col(left_key).eqNullSafe(F.col("__k")), "left_semi")
+
+
+def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Hash-partition by key for Python work per group.
+
+    The number of partitions is explicit, so small but slow groups are not merged into few tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -24,38 +24,36 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str, weight: str | N
     """``keys, value, n`` for non-missing values; ``extra`` adds further sums per value."""
     n = F.count(F.lit(1)) if weight is None else F.sum(weight)
     return (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).alias("value"))
+        df.where(f"`{value}` is not null")
+        .groupBy(*keys, F.expr(f"`{value}` as value"))
         .agg(n.alias("n"), *[c.alias(a) for a, c in (extra or {}).items()])
     )
 
 
-def _search(cuts: Column, v: Column, lo: int, hi: int) -> Column:
-    """How many of the sorted ``cuts[lo:hi]`` are below ``v``, as a binary decision tree."""
+def _search(lo: int, hi: int) -> str:
+    """How many of the sorted ``__cuts[lo:hi]`` are below ``value``, as a binary decision tree."""
     if lo == hi:
-        return F.lit(lo)
+        return str(lo)
     mid = (lo + hi) // 2
-    return F.when(v > F.get(cuts, F.lit(mid)), _search(cuts, v, mid + 1, hi)).otherwise(_search(cuts, v, lo, mid))
+    return f"case when value > get(__cuts, {mid}) then {_search(mid + 1, hi)} else {_search(lo, mid)} end"
 
 
 def bucketed(counts: DataFrame, keys: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
     probs = [i / buckets for i in range(1, buckets)]
     cuts = counts.groupBy(*keys).agg(F.percentile_approx("value", probs, 1000).alias("__cuts"))
-    bucket = _search(F.col("__cuts"), F.col("value"), 0, buckets - 1)
+    bucket = F.expr(_search(0, buckets - 1))
     return join_keys(counts, cuts, keys, "inner").withColumn("__bucket", bucket).drop("__cuts")
 
 
 def bucket_totals(b: DataFrame, keys: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
     """Per bucket: ``__before`` (count in earlier buckets), ``__in`` and the group's ``total``."""
-    w = Window.partitionBy(*keys)
-    run = w.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, 0)
+    part = "partition by " + ", ".join(f"`{k}`" for k in keys) if keys else ""
+    before = lambda e: f"sum(`__in{e}`) over ({part} order by __bucket rows between unbounded preceding and current row) - `__in{e}` as `__before{e}`"
     return (
-        b.groupBy(*keys, "__bucket").agg(F.sum("n").alias("__in"), *[F.sum(e).alias(f"__in_{e}") for e in extra])
-        .select(
-            *keys, "__bucket", "__in",
-            (F.sum("__in").over(run) - F.col("__in")).alias("__before"),
-            F.sum("__in").over(w).alias("total"),
-            *[(F.sum(f"__in_{e}").over(run) - F.col(f"__in_{e}")).alias(f"__before_{e}") for e in extra],
+        b.groupBy(*keys, "__bucket").agg(F.expr("sum(n) as __in"), *[F.expr(f"sum(`{e}`) as `__in_{e}`") for e in extra])
+        .selectExpr(
+            *[f"`{k}`" for k in keys], "__bucket", "__in", before(""), f"sum(__in) over ({part}) as total",
+            *[before(f"_{e}") for e in extra],
         )
     )
 
@@ -85,8 +83,9 @@ def bracket_aggs(cols: dict[str, Sequence[float]]) -> dict[str, Column]:
     out = {}
     for c, probs in cols.items():
         ends = [min(1.0, max(0.0, q)) for p in sorted(probs) for q in (p - MARGIN, p + MARGIN)]
-        out[f"__n_{c}"] = F.count(c)
-        out[f"__cuts_{c}"] = F.percentile_approx(F.col(c).cast("double"), ends, ACCURACY)
+        listed = ", ".join(f"{e!r}D" for e in ends)
+        out[f"__n_{c}"] = F.expr(f"count(`{c}`)")
+        out[f"__cuts_{c}"] = F.expr(f"percentile_approx(cast(`{c}` as double), array({listed}), {ACCURACY})")
     return out
 
 
@@ -96,32 +95,29 @@ def bracketed_quantiles(df: DataFrame, stats: DataFrame, keys: Sequence[str], wa
     cols = {c: sorted(p for q, p in wanted.values() if q == c) for c, _ in wanted.values()}
     s = stats.select(*keys, *[f"__{k}_{c}" for c in cols for k in ("n", "cuts")])
     size = max(2 * len(p) for p in cols.values())
-    entry = lambda c: F.struct(
-        F.lit(c).alias("col"), F.col(c).cast("double").alias("v"), F.col(f"__n_{c}").alias("total"), F.col(f"__cuts_{c}").alias("cuts")
+    entries = ", ".join(
+        f"struct('{c}' as col, cast(`{c}` as double) as v, `__n_{c}` as total, `__cuts_{c}` as cuts)" for c in cols
     )
-    rows = join_keys(df.select(*keys, *cols), s, keys, "inner")
-    if len(cols) == 1:
-        long = rows.select(*keys, entry(next(iter(cols))).alias("__e"))
-    else:
-        long = rows.select(*keys, F.explode(F.array(*[entry(c) for c in cols])).alias("__e"))
-    long = long.select(*keys, "__e.*").where(F.col("v").isNotNull())
+    long = join_keys(df.select(*keys, *cols), s, keys, "inner").select(*keys, F.expr(f"inline(array({entries}))")).where("v is not null")
     # Shorter cut lists end in NULL, which no value exceeds.
-    side = sum((F.coalesce(F.col("v") > F.get("cuts", F.lit(i)), F.lit(False)).cast("int") for i in range(size)), F.lit(0))
-    kept = (F.col("total") <= WHOLE) | (side % 2 == 1) | F.array_contains("cuts", F.col("v"))
+    side = " + ".join(f"cast(coalesce(v > get(cuts, {i}), false) as int)" for i in range(size))
     table = (
-        long.select(*keys, "col", "total", F.when(F.col("total") <= WHOLE, 0).otherwise(side).alias("side"), F.when(kept, F.col("v")).alias("v"))
-        .groupBy(*keys, "col", "total", "side", "v").agg(F.count(F.lit(1)).alias("n"))
+        long.withColumn("side", F.expr(f"case when total <= {WHOLE} then 0 else {side} end"))
+        .groupBy(*keys, "col", "total", "side", F.expr(
+            f"case when total <= {WHOLE} or side % 2 = 1 or array_contains(cuts, v) then v end as v"
+        )).agg(F.expr("count(*) as n"))
     )
-    run = Window.partitionBy(*keys, "col").orderBy("side", F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0)
-    cum = table.withColumn("cum", F.sum("n").over(run))
-    missed = F.raise_error(F.lit("quantile bracket missed its position")).cast("double")
+    by = ", ".join(f"`{k}`" for k in (*keys, "col"))
+    cum = table.withColumn("cum", F.expr(
+        f"sum(n) over (partition by {by} order by side, v asc nulls first rows between unbounded preceding and current row)"
+    ))
     out = []
     for a, (c, p) in wanted.items():
-        pos = F.lit(p) * (F.col("total") - 1) + 1
-        hit = (F.col("col") == c) & (F.floor(pos) <= F.col("cum")) & (F.ceil(pos) > F.col("cum") - F.col("n"))
-        v = F.when(hit, F.coalesce("v", missed))
-        frac = F.max(F.when(F.col("col") == c, pos - F.floor(pos)))
-        out.append((F.min(v) + (F.max(v) - F.min(v)) * frac).alias(a))
+        pos = f"({p!r}D * (total - 1) + 1)"
+        hit = f"(col = '{c}' and floor({pos}) <= cum and ceil({pos}) > cum - n)"
+        v = f"case when {hit} then coalesce(v, cast(raise_error('quantile bracket missed its position') as double)) end"
+        frac = f"max(case when col = '{c}' then {pos} - floor({pos}) end)"
+        out.append(F.expr(f"min({v}) + (max({v}) - min({v})) * {frac} as `{a}`"))
     return cum.groupBy(*keys).agg(*out)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cinderline.operators.grouping import consecutive_rate
+from cinderline.operators.keys import spread
 
 
 def mean_shifts(y: np.ndarray, trim: float = 0.15) -> list[int]:
@@ -62,7 +63,7 @@ def growth_periods(daily: DataFrame, id: str, day: str, value: str, cum: str, mi
             id: pdf[id].iloc[0], day: np.concatenate(([0], days[at], [days.max()])), cum: np.concatenate(([0], total[at], [total.max()])),
         })
 
-    return series.groupBy(id).applyInPandas(split, schema)
+    return spread(series, [id]).groupBy(id).applyInPandas(split, schema)
 
 
 def peak_growth(daily: DataFrame, id: str = "id", day: str = "event_day", value: str = "pixels", cum: str = "cum_pixels", min_duration: int = 20) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cinderline.functions.tails import normal_two_sided, signed_rank_two_sided
-from cinderline.operators.keys import join_keys
+from cinderline.operators.keys import join_keys, spread
 from cinderline.operators.ranks import cumulative_counts
 from cinderline.sources.tables import cut_lineage
 
@@ -106,9 +106,9 @@ def _fit_points(x, y, w):
 
 def _points(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     return (
-        df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-        .groupBy(*keys, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
-        .agg(F.count(F.lit(1)).cast("double").alias("__w"))
+        df.where(f"`{x}` is not null and `{y}` is not null")
+        .groupBy(*keys, F.expr(f"cast(`{x}` as double) as __x"), F.expr(f"cast(`{y}` as double) as __y"))
+        .agg(F.expr("cast(count(*) as double) as __w"))
     )
 
 
@@ -136,10 +136,11 @@ def theil_sen(
         row = _fit_points(pdf["__x"].to_numpy(), pdf["__y"].to_numpy(), pdf["__w"].to_numpy())
         return pd.DataFrame([tuple(None if isinstance(k, float) and k != k else k for k in key) + row], columns=schema.names)
 
-    small = sized.where(F.col("__d") <= direct_points).drop("__d").groupBy(*keys).applyInPandas(fit, schema)
-    if size.where(F.col("__d") > direct_points).limit(1).count() == 0:
+    small = sized.where(f"__d <= {direct_points}").drop("__d")
+    small = spread(small, keys).groupBy(*keys).applyInPandas(fit, schema)
+    if size.where(f"__d > {direct_points}").limit(1).count() == 0:
         return small
-    large = sized.where(F.col("__d") > direct_points).drop("__d")
+    large = sized.where(f"__d > {direct_points}").drop("__d")
     return small.unionByName(_fit_large(large, keys, chunk, gather, p_tol).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema]))
 
 
@@ -171,7 +172,7 @@ def repeated_medians(df: DataFrame, keys: Sequence[str], x: str, y: str) -> Data
             row = (len(a), float(np.median(slopes)), float(np.median(cuts)), v, p)
         return pd.DataFrame([tuple(key) + row], columns=schema.names)
 
-    return series.groupBy(*keys).applyInPandas(fit, schema)
+    return spread(series, keys).groupBy(*keys).applyInPandas(fit, schema)
 
 
 def metric_trends(
@@ -184,11 +185,11 @@ def metric_trends(
     keys = list(keys)
     n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     enough = join_keys(df, n.where(F.col("n") > min_rows).drop("n"), keys, "left_semi")
-    pairs = F.array(*[F.struct(F.lit(a).alias("m"), F.col(c).cast("double").alias("v")) for a, c in metrics.items()])
-    long = enough.select(*keys, x, F.explode(pairs).alias("__m")).select(*keys, x, F.col("__m.m").alias("metric"), F.col("__m.v").alias("__v"))
+    pairs = ", ".join(f"struct('{a}' as metric, cast(`{c}` as double) as __v)" for a, c in metrics.items())
+    long = enough.select(*keys, x, F.expr(f"inline(array({pairs}))"))
     fits = theil_sen(long, [*keys, "metric"], x, "__v", **fit_options)
     wide = fits.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("metric") == a, F.col(c))).alias(f"{a}_{s}") for a in metrics for c, s in (("slope", "trend"), ("p", "p"))
+        F.expr(f"max({c}) filter (where metric = '{a}') as `{a}_{s}`") for a in metrics for c, s in (("slope", "trend"), ("p", "p"))
     ])
     return join_keys(n, wide, keys, "left")
 
