@@ -54,11 +54,12 @@ def growth_periods(daily: DataFrame, id: str, day: str, value: str, cum: str, mi
     schema = T.StructType([series.schema[id], series.schema[day], series.schema[cum]])
 
     def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(day)
-        at = mean_shifts(pdf["__y"].to_numpy()) if len(pdf) > min_rows else []
+        days, y, total = (pdf[c].to_numpy() for c in (day, "__y", cum))
+        order = np.argsort(days)
+        at = mean_shifts(y[order]) if len(order) > min_rows else []
         if not at:
             return pdf[[id, day, cum]].iloc[:0]
-        days, total = pdf[day].to_numpy(), pdf[cum].to_numpy()
+        days, total = days[order], total[order]
         return pd.DataFrame({
             id: pdf[id].iloc[0], day: np.concatenate(([0], days[at], [days.max()])), cum: np.concatenate(([0], total[at], [total.max()])),
         })

@@ -67,60 +67,55 @@ def explode_points(df: DataFrame, geom: str, name: str = "point") -> DataFrame:
 
 # --- measures, computed inside the row ------------------------------------------------------
 
-def _steps(ring: Column) -> Column:
+# Geometry arguments below are SQL text: a column name or any expression. One parsed text per
+# measure is far quicker to build than the same tree of Column calls.
+
+def _steps(ring: str) -> str:
     """Consecutive vertex pairs of a ring; an open ring is closed."""
-    n = F.size(ring)
-    closed = F.when(F.element_at(ring, 1) == F.element_at(ring, -1), ring).otherwise(F.concat(ring, F.slice(ring, 1, 1)))
-    return F.zip_with(F.slice(closed, 1, F.size(closed) - 1), F.slice(closed, 2, F.size(closed) - 1),
-                      lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")))
+    closed = f"(case when element_at({ring}, 1) = element_at({ring}, -1) then {ring} else concat({ring}, slice({ring}, 1, 1)) end)"
+    return f"transform(array({closed}), c -> {_pairs('c')})[0]"
 
 
-def _sum(arr: Column, term) -> Column:
-    return F.aggregate(arr, F.lit(0.0), lambda acc, e: acc + term(e))
+def _pairs(points: str) -> str:
+    n = f"greatest(size({points}) - 1, 0)"
+    return (
+        f"zip_with(slice({points}, 1, {n}), slice({points}, 2, {n}), "
+        "(a, b) -> named_struct('x1', a.x, 'y1', a.y, 'x2', b.x, 'y2', b.y))"
+    )
 
 
-def _ring_moments(ring: Column) -> Column:
-    """Twice the signed area and its first moments, about the ring's first vertex."""
-    o = F.element_at(ring, 1)
-    cross = lambda e: (e["x1"] - o["x"]) * (e["y2"] - o["y"]) - (e["x2"] - o["x"]) * (e["y1"] - o["y"])
-    steps = _steps(ring)
-    return F.struct(
-        _sum(steps, cross).alias("a"),
-        _sum(steps, lambda e: cross(e) * (e["x1"] + e["x2"] - 2 * o["x"])).alias("mx"),
-        _sum(steps, lambda e: cross(e) * (e["y1"] + e["y2"] - 2 * o["y"])).alias("my"),
-        o["x"].alias("ox"), o["y"].alias("oy"),
+def _moments(geom: str) -> str:
+    """Area and first moments per ring, about the ring's first vertex; holes count negative."""
+    cross = "((e.x1 - o.x) * (e.y2 - o.y) - (e.x2 - o.x) * (e.y1 - o.y))"
+    total = lambda term: f"aggregate(s, 0D, (acc, e) -> acc + {term})"
+    raw = (
+        f"transform(array(named_struct('s', {_steps('r')}, 'o', r[0])), q -> transform(array(q.s), s -> transform(array(q.o), o -> named_struct("
+        f"'a', {total(cross)}, 'mx', {total(cross + ' * (e.x1 + e.x2 - 2 * o.x)')}, 'my', {total(cross + ' * (e.y1 + e.y2 - 2 * o.y)')}, 'o', o))[0])[0])[0]"
     )
+    signed = (
+        "transform(array(named_struct('m', {raw}, 'h', case when i = 0 then 1D else -1D end)), z -> named_struct("
+        "'a', signum(z.m.a) * z.h * z.m.a / 2, "
+        "'mx', signum(z.m.a) * z.h * (z.m.mx / 6 + z.m.o.x * z.m.a / 2), "
+        "'my', signum(z.m.a) * z.h * (z.m.my / 6 + z.m.o.y * z.m.a / 2)))[0]"
+    ).format(raw=raw)
+    return f"flatten(transform({geom}, p -> transform(p, (r, i) -> {signed})))"
 
 
-def _moments(geom: Column) -> Column:
-    """Ring moments with exteriors positive and holes negative, whatever the vertex order."""
-    def signed(m, i):
-        s = F.signum(m["a"]) * F.when(i == 0, 1.0).otherwise(-1.0)
-        return F.struct(
-            (s * m["a"] / 2).alias("a"),
-            (s * (m["mx"] / 6 + m["ox"] * m["a"] / 2)).alias("mx"),
-            (s * (m["my"] / 6 + m["oy"] * m["a"] / 2)).alias("my"),
-        )
-    per_ring = lambda part: F.transform(part, lambda ring, i: signed(_ring_moments(ring), i))
-    return F.flatten(F.transform(geom, per_ring))
+def _total(moments: str, name: str) -> str:
+    return f"aggregate({moments}, 0D, (acc, w) -> acc + w.{name})"
 
 
-def area(geom) -> Column:
-    return _sum(_moments(_c(geom)), lambda m: m["a"])
+def area(geom: str) -> Column:
+    return F.expr(_total(_moments(geom), "a"))
 
 
-def centroid(geom) -> Column:
-    m = _moments(_c(geom))
-    a = _sum(m, lambda e: e["a"])
-    return F.struct(F.try_divide(_sum(m, lambda e: e["mx"]), a).alias("x"), F.try_divide(_sum(m, lambda e: e["my"]), a).alias("y"))
+def centroid(geom: str) -> Column:
+    part = lambda n: f"try_divide({_total('g', n)}, {_total('g', 'a')})"
+    return F.expr(f"transform(array({_moments(geom)}), g -> named_struct('x', {part('mx')}, 'y', {part('my')}))[0]")
 
 
-def line_length(line) -> Column:
-    line = _c(line)
-    n = F.size(line) - 1
-    pairs = F.zip_with(F.slice(line, 1, F.greatest(n, F.lit(0))), F.slice(line, 2, F.greatest(n, F.lit(0))),
-                       lambda a, b: F.hypot(b["x"] - a["x"], b["y"] - a["y"]))
-    return _sum(pairs, lambda d: d)
+def line_length(line: str) -> Column:
+    return F.expr(f"aggregate({_pairs(line)}, 0D, (acc, e) -> acc + hypot(e.x2 - e.x1, e.y2 - e.y1))")
 
 
 def bounding_box(df: DataFrame, geom: str) -> DataFrame:
@@ -139,8 +134,8 @@ def box_polygon(xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Colum
     return F.array(F.array(ring))
 
 
-def remove_holes(geom) -> Column:
-    return F.transform(_c(geom), lambda part: F.slice(part, 1, 1))
+def remove_holes(geom: str) -> Column:
+    return F.expr(f"transform({geom}, p -> slice(p, 1, 1))")
 
 
 def vertices(df: DataFrame, key: str, geom: str = "geom", attributes: Sequence[str] = ()) -> DataFrame:
@@ -157,17 +152,14 @@ def edges(df: DataFrame, key: str, geom: str = "geom") -> DataFrame:
     return (
         df.select(key, F.posexplode(geom).alias("part", "__p"))
         .select(key, "part", F.posexplode("__p").alias("ring", "__r"))
-        .select(key, "part", "ring", F.posexplode(_steps(F.col("__r"))).alias("seq", "__e"))
+        .select(key, "part", "ring", F.posexplode(F.expr(_steps("__r"))).alias("seq", "__e"))
         .select(key, "part", "ring", "seq", "__e.*")
     )
 
 
 def segments(df: DataFrame, key: str, geom: str = "geom") -> DataFrame:
     """Lines as one row per straight segment."""
-    n = F.size(geom) - 1
-    pairs = F.zip_with(F.slice(geom, 1, F.greatest(n, F.lit(0))), F.slice(geom, 2, F.greatest(n, F.lit(0))),
-                       lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")))
-    return df.select(key, F.posexplode(pairs).alias("seq", "__e")).select(key, "seq", "__e.*")
+    return df.select(key, F.posexplode(F.expr(_pairs(geom))).alias("seq", "__e")).select(key, "seq", "__e.*")
 
 
 # --- grids ----------------------------------------------------------------------------------
@@ -197,20 +189,20 @@ def polygon_index(polys: DataFrame, key: str, strip: float, geom: str = "geom")
 
     A point only has to meet the edges of its own strip, of polygons that reach its column.
     """
-    e = edges(polys, key, geom).where(F.col("y1") != F.col("y2"))
-    lo, hi = F.floor(F.least("y1", "y2") / strip), F.floor(F.greatest("y1", "y2") / strip)
-    by_strip = e.withColumn("__s", F.explode(F.sequence(lo, hi))).groupBy(key, "__s").agg(
-        F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("__edges"),
-        F.min(F.least("x1", "x2")).alias("__lo"), F.max(F.greatest("x1", "x2")).alias("__hi"),
+    at = lambda v: f"cast(floor({v} / {strip!r}D) as bigint)"
+    e = edges(polys, key, geom).where("y1 <> y2")
+    by_strip = e.withColumn("__s", F.expr(f"explode(sequence({at('least(y1, y2)')}, {at('greatest(y1, y2)')}))")).groupBy(key, "__s").agg(
+        F.expr("collect_list(named_struct('x1', x1, 'y1', y1, 'x2', x2, 'y2', y2)) as __edges"),
+        F.expr("min(least(x1, x2)) as __lo"), F.expr("max(greatest(x1, x2)) as __hi"),
     )
-    cols = F.sequence(F.floor(F.col("__lo") / strip), F.floor(F.col("__hi") / strip))
-    return by_strip.select(key, "__s", F.explode(cols).alias("__c"), "__edges")
+    return by_strip.select(key, "__s", F.expr(f"explode(sequence({at('__lo')}, {at('__hi')})) as __c"), "__edges")
 
 
-def _inside(px: Column, py: Column, edges_col: Column) -> Column:
-    """Even-odd rule, half-open: a border point belongs to exactly one of two neighbours."""
-    hit = lambda e: ((e["y1"] <= py) != (e["y2"] <= py)) & (px < e["x1"] + (py - e["y1"]) * (e["x2"] - e["x1"]) / (e["y2"] - e["y1"]))
-    return F.size(F.filter(edges_col, hit)) % 2 == 1
+# Even-odd rule, half-open: a border point belongs to exactly one of two neighbours.
+_INSIDE = (
+    "size(filter(__edges, e -> (e.y1 <= `{y}`) <> (e.y2 <= `{y}`) "
+    "and `{x}` < e.x1 + (`{y}` - e.y1) * (e.x2 - e.x1) / (e.y2 - e.y1))) % 2 = 1"
+)
 
 
 def point_in_polygon(
@@ -224,8 +216,9 @@ def point_in_polygon(
     index = polygon_index(polys, key, strip)
     if attributes:
         index = join_keys(index, polys.select(key, *attributes), [key], "inner")
-    p = points.withColumns({"__ps": F.floor(F.col(y) / strip), "__pc": F.floor(F.col(x) / strip)})
-    cond = (F.col("__ps") == F.col("__s")) & (F.col("__pc") == F.col("__c")) & _inside(F.col(x), F.col(y), F.col("__edges"))
+    at = lambda c: F.expr(f"cast(floor(`{c}` / {strip!r}D) as bigint)")
+    p = points.withColumns({"__ps": at(y), "__pc": at(x)})
+    cond = F.expr("__ps = __s and __pc = __c and " + _INSIDE.format(x=x, y=y))
     return p.join(index, cond, how).drop("__ps", "__pc", "__s", "__c", "__edges")
 
 
@@ -238,22 +231,17 @@ def count_in_polygons(polys: DataFrame, key: str, points: DataFrame, strip: floa
 
 def cover(polys: DataFrame, key: str, size: float, x0: float = 0.0, y0: float = 0.0, geom: str = "geom") -> DataFrame:
     """``key, cx, cy``. Edges meet the cell rows they cross; crossings pair up into runs of cells."""
-    centre = lambda v, o: F.ceil((v - o) / size - 0.5)
-    e = edges(polys, key, geom)
-    lo, hi = centre(F.least("y1", "y2"), y0), centre(F.greatest("y1", "y2"), y0) - 1
-    rows = e.where(hi >= lo).withColumn("cy", F.explode(F.sequence(lo, hi)))
-    yc = y0 + (F.col("cy") + 0.5) * size
-    cross = F.col("x1") + (yc - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
-    runs = rows.groupBy(key, "cy").agg(F.sort_array(F.collect_list(cross)).alias("__x"))
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.floor(F.size("__x") / 2).cast("int") - 1),
-        lambda i: F.struct(
-            centre(F.get("__x", (i * 2).cast("int")), x0).alias("lo"),
-            (centre(F.get("__x", (i * 2 + 1).cast("int")), x0) - 1).alias("hi"),
-        ),
+    centre = lambda v, o: f"cast(ceil(({v} - {o!r}D) / {size!r}D - 0.5D) as bigint)"
+    lo, hi = centre("least(y1, y2)", y0), centre("greatest(y1, y2)", y0) + " - 1"
+    rows = edges(polys, key, geom).where(f"{hi} >= {lo}").withColumn("cy", F.expr(f"explode(sequence({lo}, {hi}))"))
+    cross = f"x1 + ({y0!r}D + (cy + 0.5D) * {size!r}D - y1) * (x2 - x1) / (y2 - y1)"
+    runs = rows.groupBy(key, "cy").agg(F.expr(f"sort_array(collect_list({cross})) as __x"))
+    pairs = (
+        f"transform(sequence(0, cast(floor(size(__x) / 2) as int) - 1), i -> named_struct("
+        f"'lo', {centre('get(__x, i * 2)', x0)}, 'hi', {centre('get(__x, i * 2 + 1)', x0)} - 1))"
     )
-    spans = runs.select(key, "cy", F.explode(pairs).alias("__r")).where(F.col("__r.hi") >= F.col("__r.lo"))
-    return spans.select(key, F.explode(F.sequence("__r.lo", "__r.hi")).alias("cx"), "cy")
+    spans = runs.select(key, "cy", F.expr(f"explode({pairs}) as __r")).where("__r.hi >= __r.lo")
+    return spans.select(key, F.expr("explode(sequence(__r.lo, __r.hi)) as cx"), "cy")
 
 
 def overlay(a: DataFrame, a_key: str, b: DataFrame, b_key: str, size: float) -> DataFrame:
@@ -285,27 +273,21 @@ def clip_to_box(df: DataFrame, xmin, ymin, xmax, ymax, x: str = "x", y: str = "y
 def split_on_grid(segs: DataFrame, size: float, x0: float = 0.0, y0: float = 0.0) -> DataFrame:
     """Every segment cut at grid lines: input columns plus ``cx, cy, piece_m``."""
     def crossings(a, b, o):
-        a, b = F.col(a), F.col(b)
-        lo, hi = F.ceil((F.least(a, b) - o) / size), F.floor((F.greatest(a, b) - o) / size)
+        lo, hi = (f"cast({f}(({g}({a}, {b}) - {o!r}D) / {size!r}D) as bigint)" for f, g in (("ceil", "least"), ("floor", "greatest")))
         # An ascending sequence is required even where the branch is not taken.
-        ks = F.sequence(lo, F.greatest(lo, hi))
-        ts = F.transform(ks, lambda k: F.try_divide(o + k * size - a, b - a))
-        return F.when((a != b) & (hi >= lo), ts).otherwise(F.array().cast("array<double>"))
-
-    t = F.concat(F.array(F.lit(0.0), F.lit(1.0)), crossings("x1", "x2", x0), crossings("y1", "y2", y0))
-    t = F.array_sort(F.array_distinct(F.filter(t, lambda v: (v >= 0) & (v <= 1))))
-    cuts = segs.withColumn("__t", t)
-    n = F.size("__t") - 1
-    pieces = F.zip_with(F.slice("__t", 1, n), F.slice("__t", 2, n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    mid = (F.col("__p.a") + F.col("__p.b")) / 2
-    at = lambda a, b: F.col(a) + mid * (F.col(b) - F.col(a))
+        ts = f"transform(sequence({lo}, greatest({lo}, {hi})), k -> try_divide({o!r}D + k * {size!r}D - {a}, {b} - {a}))"
+        return f"case when {a} <> {b} and {hi} >= {lo} then {ts} else cast(array() as array<double>) end"
+
+    t = f"array_sort(array_distinct(filter(concat(array(0D, 1D), {crossings('x1', 'x2', x0)}, {crossings('y1', 'y2', y0)}), v -> v >= 0 and v <= 1)))"
+    pieces = "zip_with(slice(__t, 1, size(__t) - 1), slice(__t, 2, size(__t) - 1), (a, b) -> named_struct('a', a, 'b', b))"
+    cell = lambda a, b, o: F.expr(f"cast(floor(({a} + (__p.a + __p.b) / 2 * ({b} - {a}) - {o!r}D) / {size!r}D) as bigint)")
     return (
-        cuts.withColumn("__p", F.explode(pieces))
+        segs.withColumn("__t", F.expr(t)).withColumn("__p", F.expr(f"explode({pieces})"))
         .withColumns({
-            "cx": cell_index(at("x1", "x2"), x0, size), "cy": cell_index(at("y1", "y2"), y0, size),
-            "piece_m": (F.col("__p.b") - F.col("__p.a")) * F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")),
+            "cx": cell("x1", "x2", x0), "cy": cell("y1", "y2", y0),
+            "piece_m": F.expr("(__p.b - __p.a) * hypot(x2 - x1, y2 - y1)"),
         })
-        .where(F.col("piece_m") > 0).drop("__t", "__p")
+        .where("piece_m > 0").drop("__t", "__p")
     )
 
 

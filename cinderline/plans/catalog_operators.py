@@ -336,13 +336,13 @@ select zone, area, round(mx / area, 3) as x, round(my / area, 3) as y from m""",
 _op("point_columns", "fires", "select fire_id, x, y from fires",
     lambda spark, sf: S.point_columns(V.fires(spark, sf).select("fire_id", S.as_point("x", "y").alias("p"), F.lit(0).alias("x")), "p").drop("p"))
 _op("line_length", "roads", "select line_id, round(2 * sqrt(power(x2 - x1, 2) + power(y2 - y1, 2)), 6) as length from roads",
-    lambda spark, sf: rounded(V.roads(spark, sf).select("line_id", S.line_length(F.array(S.as_point("x1", "y1"), S.as_point("x2", "y2"), S.as_point("x1", "y1"))).alias("length"))))
+    lambda spark, sf: rounded(V.roads(spark, sf).select("line_id", S.line_length("array(named_struct('x', x1, 'y', y1), named_struct('x', x2, 'y', y2), named_struct('x', x1, 'y', y1))").alias("length"))))
 _op("line_segments", "roads", "select line_id, 0 as seq, x1, y1, x2, y2 from roads union all select line_id, 1, x2, y2, x1, y1 from roads",
     lambda spark, sf: S.segments(V.roads(spark, sf).select("line_id", F.array(S.as_point("x1", "y1"), S.as_point("x2", "y2"), S.as_point("x1", "y1")).alias("geom")), "line_id"))
 _op("bounding_box", "blocks", "select min(x0) as xmin, min(y0) as ymin, max(x0) + 920000 as xmax, max(y0) + 580000 as ymax, (max(x0) + 920000 - min(x0)) * (max(y0) + 580000 - min(y0)) as area from blocks",
     lambda spark, sf: S.bounding_box(V.zones(spark, sf), "geom").select("xmin", "ymin", "xmax", "ymax", S.area("geom").alias("area")))
 _op("remove_holes", "blocks", "select zone, 920000e0 * 580000 * case when holed then 1 else 15e0 / 16 end as area from blocks",
-    lambda spark, sf: rounded(V.zones(spark, sf).select("zone", S.area(S.remove_holes("geom")).alias("area")), 3))
+    lambda spark, sf: rounded(V.zones(spark, sf).withColumn("geom", S.remove_holes("geom")).select("zone", S.area("geom").alias("area")), 3))
 _op("polygon_cover", "blocks", f", g as (select ix as cx, iy as cy, (ix + 0.5e0) * 30000 as x, (iy + 0.5e0) * 30000 as y from range(-90, 90) a(ix), range(-90, 50) b(iy)) select zone, cx, cy from g join blocks on {V.IN_ZONE}",
     lambda spark, sf: S.cover(V.zones(spark, sf), "zone", 30000.0))
 _op("explode_points", "roads", "select line_id, x1 as x, y1 as y from roads union all select line_id, x2, y2 from roads",

@@ -33,7 +33,7 @@ def test_points_on_borders_belong_to_one_side(spark, polys, strip):
 
 
 def test_measures(spark, polys):
-    r = {x.k: x for x in polys.select("k", S.area("geom").alias("a"), S.centroid("geom").alias("c"), S.area(S.remove_holes("geom")).alias("f")).collect()}
+    r = {x.k: x for x in polys.select("k", S.area("geom").alias("a"), S.centroid("geom").alias("c"), S.area("transform(geom, p -> slice(p, 1, 1))").alias("f")).collect()}
     assert (r["a"].a, r["a"].f, r["t"].a) == pytest.approx((96, 100, 40.5))
     assert (r["a"].c.x, r["b"].c.x, r["t"].c.y) == pytest.approx((5, 15, 23))
 
