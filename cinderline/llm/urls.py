@@ -66,12 +66,11 @@ def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     spark = urls.sparkSession
     rules = _nested_rules(rules)
     hosts = rules.select(F.col("host").alias("suffix")).distinct()
-    depth = F.broadcast(rules.agg(F.max(F.size(F.split("host", r"\.", -1))).alias("__depth")))
+    depth = rules.agg(F.max(F.size(F.split("host", r"\.", -1)))).first()[0] or 0
     pairs = urls.select("host", "path").filter("host != ''").distinct()
     keys = (
-        pairs.join(depth)
-        .withColumn("__l", F.split("host", r"\.", -1))
-        .withColumn("suffix", F.explode(F.expr("transform(sequence(1, least(size(__l), __depth)), k -> array_join(slice(__l, -k, k), '.'))")))
+        pairs.withColumn("__l", F.split("host", r"\.", -1))
+        .withColumn("suffix", F.explode(F.expr(f"transform(filter(sequence(1, size(__l)), k -> k <= {depth}), k -> array_join(slice(__l, -k, k), '.'))")))
         .select("host", "path", "suffix").join(hosts, "suffix")
         .select("host", "path", "suffix", _key("suffix", "path").alias("key"), F.lit(None).cast("array<struct<path:string,verdict:string>>").alias("stack"))
     )
