@@ -1,12 +1,14 @@
 """The registered queries of this subpackage and their comparison SQL."""
 
-from cinderline.llm import mixing, packing, quality, simhash, urls
+from cinderline.llm import mixing, packing, quality, secrets, simhash, toxicity, urls
 
 QUERIES = {
     "op3_url_filters": urls.op3_url_filters,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_packing": packing.op6_packing,
     "op7_simhash": simhash.op7_simhash,
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op9_secret_scan": secrets.op9_secret_scan,
     "op10_mixing": mixing.op10_mixing,
 }
 #: The other operators are not expressible in SQL on whole tables; tests hold them against brute force.
