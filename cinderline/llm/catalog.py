@@ -1,9 +1,11 @@
 """The registered queries of this subpackage and their comparison SQL."""
 
-from cinderline.llm import mixing, packing, quality, secrets, simhash, toxicity, urls
+from cinderline.llm import mixing, packing, quality, repeats, secrets, simhash, toxicity, urls, vectors
 
 QUERIES = {
+    "op2_repeats": repeats.op2_repeats,
     "op3_url_filters": urls.op3_url_filters,
+    "op4_near_vectors": vectors.op4_near_vectors,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_packing": packing.op6_packing,
     "op7_simhash": simhash.op7_simhash,
