@@ -1,8 +1,9 @@
 """The registered queries of this subpackage and their comparison SQL."""
 
-from cinderline.llm import mixing, packing, quality, repeats, secrets, simhash, toxicity, urls, vectors
+from cinderline.llm import lines, mixing, packing, quality, repeats, secrets, simhash, toxicity, urls, vectors
 
 QUERIES = {
+    "op1_line_dedup": lines.op1_line_dedup,
     "op2_repeats": repeats.op2_repeats,
     "op3_url_filters": urls.op3_url_filters,
     "op4_near_vectors": vectors.op4_near_vectors,
