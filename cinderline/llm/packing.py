@@ -1,5 +1,6 @@
 """Best-fit packing of token sequences: bulk-synchronous rounds of distributed successor sweeps."""
 
+import re
 import sys
 import types
 import zlib
@@ -16,9 +17,10 @@ from cinderline.llm.common import stored, table
 CAPACITY = 4096
 END_ID = 1
 #: Distinct words whose ids a Python worker keeps; beyond it the store starts anew.
-CACHED_WORDS = 600_000
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+CACHED_WORDS = 800_000
 _SPECIAL = "<|"
+#: Letters that lower-casing and composition leave as they are.
+_PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
 
 
 def vocabulary() -> str:
@@ -31,16 +33,20 @@ def vocabulary() -> str:
 class Encoder:
     """Ids of whole texts, word by word.
 
-    The vocabulary splits at white space before anything else and lower-cases, so the ids of a text are those of its
-    ASCII-space separated chunks in order, and each distinct chunk needs encoding once. A full stop or comma between letters and a space is a
-    chunk of its own: letters and marks never share a token. Texts that may hold special tokens are encoded whole.
+    The vocabulary splits at white space before anything else and lower-cases, so the ids of a text are those of its space
+    or line separated chunks in order, and each distinct chunk needs encoding once. Letters and marks never share a
+    token, so a chunk of letters and a last full stop or comma is its two halves. Texts that may hold special tokens
+    are encoded whole.
     """
 
     def __init__(self, path: str | None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or vocabulary())
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
+        words = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(words.values()) + 1, bool)
+        self.ends_word[[i for w, i in words.items() if w.endswith("</w>")]] = True
 
     @staticmethod
     def of(path: str | None) -> "Encoder":
@@ -54,35 +60,44 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def chunks(self, text: str) -> list[str]:
-        out = text.translate(_LOWER).split(" ")
-        if "." in text or "," in text or "\n" in text:
-            out = [y for x in out for y in (_pieces(x) if not x.isalpha() else (x,))]
-        return out
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Of words of plain letters: encoded in one text, taken apart where a token ends a word."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) != len(words):
+            return self._encode(words)
+        data, ends = ids.tobytes(), (4 * ends).tolist()
+        return [data[i:j] for i, j in zip([0, *ends], ends)]
+
+    def _learn(self, chunks: set[str]) -> None:
+        plain, other, halves = set(), [], []
+        for w in chunks:
+            if _PLAIN(w):
+                plain.add(w)
+            elif w[-1] in ".," and _PLAIN(w[:-1]):
+                halves.append(w)
+                if w[:-1] not in self.known:
+                    plain.add(w[:-1])
+            else:
+                other.append(w)
+        plain = list(plain)
+        for encode, words, many in ((self._encode_words, plain, 1000), (self._encode, other + [".", ","], 10_000)):
+            for i in range(0, len(words), many):
+                part = words[i : i + many]
+                self.known.update(zip(part, encode(part)))
+        self.known.update((w, self.known[w[:-1]] + self.known[w[-1]]) for w in halves)
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        split = [None if _SPECIAL in t else self.chunks(t) for t in texts]
-        unknown = {w for c in split if c is not None for w in c}.difference(self.known)
+        split = [None if _SPECIAL in t else t.encode("utf-8").lower().decode("utf-8").replace("\n", " ").split(" ") for t in texts]
+        unknown = set().union(*(c for c in split if c is not None)).difference(self.known)
         if len(self.known) + len(unknown) > CACHED_WORDS:
-            self.known.clear()
-            unknown = {w for c in split if c is not None for w in c}
-        unknown = list(unknown)
-        for i in range(0, len(unknown), 20_000):
-            part = unknown[i : i + 20_000]
-            self.known.update(zip(part, self._encode(part)))
+            self.known = {"": b""}
+            unknown = set().union(*(c for c in split if c is not None)).difference(self.known)
+        self._learn(unknown)
         look = self.known.__getitem__
         return [self._encode([t])[0] if c is None else b"".join(map(look, c)) for t, c in zip(texts, split)]
 
 
-def _pieces(chunk: str) -> tuple:
-    """A chunk of letters ended by one mark, or lines in a chunk, taken apart; anything else stays whole."""
-    if "\n" in chunk:
-        return tuple(y for x in chunk.split("\n") for y in _pieces(x))
-    if chunk[-1:] in (".", ",") and chunk[:-1].isalpha():
-        return chunk[:-1], chunk[-1]
-    return (chunk,)
-
-
 def cut_documents(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
     """Pieces of every document: ``doc_id, piece, start, length, ids_crc32``, made where the text is read.
 
@@ -229,7 +244,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return (
         kept.join(placed, "item", "left")
         .withColumn("sequence_id", F.coalesce("bin", -1 - F.col("item"))).withColumn("offset", F.coalesce("offset", F.lit(0)).cast("long"))
-        .drop("item", "bin")
+        .select(*pieces.columns, "sequence_id", "offset")
     )
 
 
