@@ -11,7 +11,7 @@ from cinderline.llm.common import Gram, mix, stored, table
 SIZE = 400
 _Q = 100
 _LANES = (11, 23)
-_RUN = "r1 long, r2 long, start long, end long, bucket long, i1 long, i2 long, inner boolean"
+_RUN = "r1 long, r2 long, start long, end long, bucket long, id long, inner boolean"
 #: Windows of a run are refined in groups by their distance to the q-gram.
 _GROUP = 16
 
@@ -36,10 +36,9 @@ class _Hasher:
         """Maximal runs of windows (strings of ``size`` bytes) with the same least q-gram bucket.
 
         Equal windows have the same least bucket, wherever they are, so only runs of one bucket need comparing.
-        Per run: first and last window, bucket, two hashes of all its bytes, whether the q-gram occurs in it twice.
+        Per run: first and last window, bucket, a second hash of all its bytes, whether the q-gram occurs in it twice.
         """
-        lanes = [g.sums(data) for g in self.grams]
-        bucket = self.grams[0].window(lanes[0], q)
+        bucket = self.grams[0].window(self.grams[0].sums(data), q)
         w = size - q + 1
         least = _sliding(bucket, w, np.minimum)
         starts = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
@@ -50,7 +49,7 @@ class _Hasher:
         low = np.searchsorted(picked, starts)
         high = np.searchsorted(picked, ends + w - 1, side="right") - 1
         again = twin[np.maximum(high, low)] > twin[low]
-        ids = [g.pieces(s, starts, ends + size) for g, s in zip(self.grams, lanes)]
+        ids = self.grams[1].pieces(self.grams[1].sums(data), starts, ends + size)
         return starts, ends, least[starts], ids, again
 
     def windows(self, data: np.ndarray, size: int, q: int) -> list[np.ndarray]:
@@ -97,8 +96,15 @@ def _run_rows(hasher: _Hasher, data: np.ndarray, size: int, q: int) -> dict:
             a, b = _intervals(at)
             starts, ends, inner = np.concatenate([starts, a]), np.concatenate([ends, b]), np.concatenate([inner, np.ones(len(a), bool)])
             zero = np.zeros(len(a), np.uint64)
-            bucket, ids = np.concatenate([bucket, zero]), [np.concatenate([i, zero]) for i in ids]
-    return {"start": starts, "end": ends, "bucket": bucket.view(np.int64), "i1": ids[0].view(np.int64), "i2": ids[1].view(np.int64), "inner": inner}
+            bucket, ids = np.concatenate([bucket, zero]), np.concatenate([ids, zero])
+    return {"start": starts, "end": ends, "bucket": bucket.view(np.int64), "id": ids.view(np.int64), "inner": inner}
+
+
+def _frame(parts: list[dict]) -> pd.DataFrame:
+    """One table of many small ones: arrays are laid end to end, a single value holds for all rows of its part."""
+    many = [k for k, v in parts[0].items() if isinstance(v, np.ndarray)]
+    sizes = [len(p[many[0]]) for p in parts]
+    return pd.DataFrame({k: np.concatenate([p[k] for p in parts]) if k in many else np.repeat([p[k] for p in parts], sizes) for k in parts[0]})
 
 
 def _groups(hasher: _Hasher, data: np.ndarray, bucket: int, size: int, q: int) -> dict:
@@ -107,8 +113,8 @@ def _groups(hasher: _Hasher, data: np.ndarray, bucket: int, size: int, q: int) -
     Per group: the distance, first and last window, hashes of the bytes that all possible windows of the group share (``c``), and of
     all bytes of its windows if it is complete (``f``; else a value of its own).
     """
-    lanes = [g.sums(data) for g in hasher.grams]
-    at = np.flatnonzero(hasher.grams[0].window(lanes[0], q) == np.uint64(bucket % (1 << 64)))
+    second = hasher.grams[1].sums(data)
+    at = np.flatnonzero(hasher.grams[0].window(hasher.grams[0].sums(data), q) == np.uint64(bucket % (1 << 64)))
     windows = np.arange(len(data) - size + 1)
     gram = at[np.minimum(np.searchsorted(at, windows), len(at) - 1)]
     group = (gram - windows) // _GROUP
@@ -117,11 +123,8 @@ def _groups(hasher: _Hasher, data: np.ndarray, bucket: int, size: int, q: int) -
     gram, group = gram[first], group[first]
     low, high = group * _GROUP, np.minimum(group * _GROUP + _GROUP - 1, size - q)
     full = (gram - high == first) & (gram - low == last)
-    c = [g.pieces(s, gram - low, gram - high + size) for g, s in zip(hasher.grams, lanes)]
-    f = [g.pieces(s, first, last + size) for g, s in zip(hasher.grams, lanes)]
-    return {"distance": group, "first": first, "last": last, "full": full} | {
-        k: v.view(np.int64) for k, v in (("c1", c[0]), ("c2", c[1]), ("f1", f[0]), ("f2", f[1]))
-    }
+    c, f = hasher.grams[1].pieces(second, gram - low, gram - high + size), hasher.grams[1].pieces(second, first, last + size)
+    return {"distance": group, "first": first, "last": last, "full": full, "c": c.view(np.int64), "f": f.view(np.int64)}
 
 
 def repeated_windows(docs: DataFrame, size: int = SIZE, q: int = _Q) -> DataFrame:
@@ -142,12 +145,12 @@ def repeated_windows(docs: DataFrame, size: int = SIZE, q: int = _Q) -> DataFram
             parts = []
             for r1, r2, text in zip(pdf["r1"], pdf["r2"], pdf["text"]):
                 data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-                parts.append(pd.DataFrame({"r1": r1, "r2": r2} | _run_rows(hasher, data, size, q)))
+                parts.append({"r1": r1, "r2": r2} | _run_rows(hasher, data, size, q))
                 if len(parts) >= 300:
-                    yield pd.concat(parts)
+                    yield _frame(parts)
                     parts = []
             if parts:
-                yield pd.concat(parts)
+                yield _frame(parts)
 
     def slices(batches):
         for pdf in batches:
@@ -163,9 +166,9 @@ def repeated_windows(docs: DataFrame, size: int = SIZE, q: int = _Q) -> DataFram
             parts = []
             for r1, r2, start, bucket, data in zip(*(pdf[k] for k in ("r1", "r2", "start", "bucket", "data"))):
                 own = _groups(hasher, np.frombuffer(data, np.uint8), bucket, size, q)
-                parts.append(pd.DataFrame({"r1": r1, "r2": r2, "start": start, "bucket": bucket} | own))
+                parts.append({"r1": r1, "r2": r2, "start": start, "bucket": bucket} | own)
             if parts:
-                yield pd.concat(parts)
+                yield _frame(parts)
 
     def refine(batches):
         hasher = _Hasher()
@@ -174,15 +177,15 @@ def repeated_windows(docs: DataFrame, size: int = SIZE, q: int = _Q) -> DataFram
             for r1, r2, start, data, firsts, lasts in zip(*(pdf[k] for k in ("r1", "r2", "start", "data", "firsts", "lasts"))):
                 w1, w2 = (w.view(np.int64) for w in hasher.windows(np.frombuffer(data, np.uint8), size, q))
                 at = np.concatenate([np.arange(a, b + 1) for a, b in zip(firsts, lasts)])
-                parts.append(pd.DataFrame({"r1": r1, "r2": r2, "at": start + at, "w1": w1[at], "w2": w2[at]}))
+                parts.append({"r1": r1, "r2": r2, "at": start + at, "w1": w1[at], "w2": w2[at]})
             if parts:
-                yield pd.concat(parts)
+                yield _frame(parts)
 
     one = F.count(F.lit(1))
     long = F.octet_length("text") >= size
     found = stored(_keyed(docs).filter(long).mapInPandas(find_runs, _RUN), "runs")
     runs, inner = found.filter("not inner"), found.filter("inner").select("r1", "r2", "start", "end")
-    same = ["bucket", "i1", "i2"]
+    same = ["bucket", "id"]
     classes = runs.groupBy(*same).agg(one.alias("n"), F.min(F.struct("r1", "r2", "start", "end")).alias("one"))
     judged = stored(classes.join(classes.groupBy("bucket").agg(one.alias("kinds")), "bucket"), "classes")
     whole = runs.join(judged.filter("n > 1").select(*same), same, "left_semi").select("r1", "r2", "start", "end")
@@ -192,11 +195,11 @@ def repeated_windows(docs: DataFrame, size: int = SIZE, q: int = _Q) -> DataFram
     )
     texts = _keyed(docs).filter(long).join(asked, ["r1", "r2"]).select("r1", "r2", "text", "starts", "ends", "buckets")
     open_ = stored(texts.mapInPandas(slices, "r1 long, r2 long, start long, bucket long, data binary"), "slices")
-    spec = "r1 long, r2 long, start long, bucket long, distance long, first long, last long, full boolean, c1 long, c2 long, f1 long, f2 long"
+    spec = "r1 long, r2 long, start long, bucket long, distance long, first long, last long, full boolean, c long, f long"
     # An incomplete group is no copy of another: its place stands in for the hash.
-    place = [F.when(F.col("full"), F.col("f1")).otherwise(F.xxhash64("r1", "start", "first")), F.when(F.col("full"), F.col("f2")).otherwise(F.xxhash64("r2", "start", "first"))]
-    groups = stored(open_.mapInPandas(group, spec).withColumns({"f1": place[0], "f2": place[1]}).drop("full"), "groups")
-    core, all_ = ["bucket", "distance", "c1", "c2"], ["f1", "f2"]
+    own = F.when(F.col("full"), F.col("f")).otherwise(F.xxhash64("r1", "r2", "start", "first"))
+    groups = stored(open_.mapInPandas(group, spec).withColumn("f", own).drop("full"), "groups")
+    core, all_ = ["bucket", "distance", "c"], ["f"]
     kinds = groups.groupBy(*core, *all_).agg(one.alias("n"), F.min(F.struct("r1", "r2", "start", "first", "last")).alias("one"))
     many = kinds.groupBy(*core).agg(one.alias("kinds")).filter("kinds > 1")
     settled = groups.join(kinds.filter("n > 1").select(*core, *all_), core + all_, "left_semi").select(
