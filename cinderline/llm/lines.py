@@ -13,7 +13,9 @@ NUM, DEN = 4, 5
 #: Word frequencies are counted by so many bits of the words' hashes, so their table has a fixed size.
 _BITS = 17
 _MOST = np.uint64(2**64 - 1)
-_LINES = "r1 long, r2 long, doc_id long, line int, size int, s1 long, s2 long, marks long, prefix array<long>"
+#: Parities of the words' hashes, 64 bits each: two sets differ in at least as many words as parities differ.
+_MARKS = ("marks", "marks2", "marks3")
+_LINES = "r1 long, r2 long, doc_id long, line int, size int, s1 long, s2 long, marks long, marks2 long, marks3 long, prefix array<long>"
 
 
 def _words(texts: list[str], gram: Gram) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -58,7 +60,7 @@ def _line_sets(hashes: np.ndarray, line_of: np.ndarray, lines: int, classes: np.
     ids = (classes[(hashes >> np.uint64(64 - _BITS)).astype(np.int64)] << np.uint64(58)) | (hashes >> np.uint64(6))
     counts = np.bincount(line_of, minlength=lines)
     first = np.cumsum(counts) - counts
-    out = {k: [] for k in ("line", "size", "s1", "s2", "marks", "cut", "prefix")}
+    out = {k: [] for k in ("line", "size", "s1", "s2", *_MARKS, "cut", "prefix")}
     level = np.ceil(np.log2(np.maximum(counts, 1))).astype(int)
     for k in np.unique(level[counts > 0]):
         at = np.flatnonzero((level == k) & (counts > 0))
@@ -74,7 +76,9 @@ def _line_sets(hashes: np.ndarray, line_of: np.ndarray, lines: int, classes: np.
         out["size"].append(size)
         for name, seed in (("s1", 3), ("s2", 4)):
             out[name].append(np.where(real, mix(m * odd(seed)), 0).sum(axis=1, dtype=np.uint64))
-        out["marks"].append(np.bitwise_xor.reduce(np.where(real, np.uint64(1) << (m & np.uint64(63)), np.uint64(0)), axis=1))
+        for name, shift in zip(_MARKS, (0, 6, 12)):
+            bit = np.uint64(1) << (m >> np.uint64(shift) & np.uint64(63))
+            out[name].append(np.bitwise_xor.reduce(np.where(real, bit, np.uint64(0)), axis=1))
         out["cut"].append(cut)
         out["prefix"].append(m[column < cut[:, None]])
     return {k: np.concatenate(v) if v else np.zeros(0, np.uint64 if k not in ("line", "size", "cut") else np.int64) for k, v in out.items()}
@@ -96,9 +100,9 @@ def line_table(docs: DataFrame, classes: np.ndarray) -> DataFrame:
                 yield pa.record_batch([
                     pa.array(own["r1"].to_numpy(np.int64)[text]), pa.array(own["r2"].to_numpy(np.int64)[text]),
                     pa.array(own["doc_id"].array.astype("Int64").take(text)), pa.array(number[s["line"]].astype(np.int32)), pa.array(s["size"].astype(np.int32)),
-                    *(pa.array(s[k].view(np.int64)) for k in ("s1", "s2", "marks")),
+                    *(pa.array(s[k].view(np.int64)) for k in ("s1", "s2", *_MARKS)),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(s["prefix"].view(np.int64))),
-                ], names=["r1", "r2", "doc_id", "line", "size", "s1", "s2", "marks", "prefix"])
+                ], names=["r1", "r2", "doc_id", "line", "size", "s1", "s2", *_MARKS, "prefix"])
 
     return _keyed(docs, "doc_id").filter("text is not null").mapInArrow(lines, _LINES)
 
@@ -120,36 +124,48 @@ def similar_lines(docs: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFra
 
     Candidates share a word among their rarest ones (the longer line's prefix, the shorter line's shorter one); lengths, the positions of
     the word and the parity of the words' hashes must still allow the similarity. All of it is one equi-join by word, so AQE can split a
-    frequent one. Candidates are verified on the words themselves.
+    frequent one. Candidates are verified on 64-bit hashes of all their words.
     """
     grouped = lines.groupBy("s1", "s2").agg(
-        F.min(_place()).alias("first"), F.first("size").alias("size"), F.first("marks").alias("marks"), F.first("prefix").alias("prefix")
+        F.min(_place()).alias("first"), *(F.first(k).alias(k) for k in ("size", *_MARKS, "prefix"))
     )
     classes = stored(grouped.withColumn("c", F.monotonically_increasing_id()), "line-classes")
     at = classes.filter("size > 3").select("c", "size", "marks", F.posexplode("prefix").alias("at", "word"))
-    short = at.filter(f"at < size - ceil({2 * NUM} * size / {NUM + DEN}) + 1").select(
-        F.col("c").alias("c2"), F.col("size").alias("size2"), F.col("marks").alias("marks2"), F.col("at").alias("at2"), F.col("word").alias("word2")
-    )
-    needed = f"ceil({NUM} * (size + size2) / {NUM + DEN})"
+    needed, differ = f"ceil({NUM} * (size + size2) / {NUM + DEN})", f"size + size2 - 2 * ceil({NUM} * (size + size2) / {NUM + DEN})"
+    short = at.filter(f"at < size - ceil({2 * NUM} * size / {NUM + DEN}) + 1").toDF("c2", "size2", "other", "at2", "word2")
     candidates = at.join(short, F.expr(
         f"word = word2 and size2 <= size and {DEN} * size2 >= {NUM} * size and (size2 < size or c2 < c)"
-        f" and least(size - at, size2 - at2) >= {needed} and bit_count(marks ^ marks2) <= size + size2 - 2 * {needed}"
-    )).select(F.col("c").alias("a"), F.col("c2").alias("b")).distinct()
+        f" and least(size - at, size2 - at2) >= {needed} and bit_count(marks ^ other) <= {differ}"
+    )).select("c", "c2").distinct()
+    # The other parities stay with the classes: they are only needed for candidates.
+    more = classes.select("c", "size", *_MARKS[1:])
+    candidates = candidates.join(more, "c").join(more.toDF("c2", "size2", *(f"{k}_2" for k in _MARKS[1:])), "c2").filter(
+        " and ".join(f"bit_count({k} ^ {k}_2) <= {differ}" for k in _MARKS[1:])
+    ).select(F.col("c").alias("a"), F.col("c2").alias("b"))
     candidates = stored(candidates, "line-pairs")
 
+    def take(batches):
+        gram = Gram(31)
+        for whole in batches:
+            for at in range(0, len(whole), 200):
+                found, rows, pdf = [], [], whole.iloc[at : at + 200]
+                for text, numbers, cs in zip(pdf["text"], pdf["numbers"], pdf["cs"]):
+                    own = text.split("\n")
+                    found += cs.tolist()
+                    rows += [own[k] for k in numbers]
+                hashes, line_of, _, _ = _words(rows, gram)
+                cuts = np.searchsorted(line_of, np.arange(1, len(rows)))
+                yield pd.DataFrame({"c": found, "w": [np.unique(x.view(np.int64)) for x in np.split(hashes, cuts)]})
+
     wanted = candidates.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(classes, "c").select("c", "first.r1", "first.r2", "first.line")
-    asked = wanted.groupBy("r1", "r2").agg(F.collect_list(F.struct("line", "c")).alias("asked"))
-    texts = _keyed(docs).join(asked, ["r1", "r2"])
-    words = (
-        texts.select(F.split("text", "\n", -1).alias("lines"), F.explode("asked").alias("x"))
-        .select("x.c", F.array_distinct(F.regexp_extract_all(F.element_at("lines", F.col("x.line") + 1), F.lit(WORD), 0)).alias("w")).dropDuplicates(["c"])
-    )
-    words = stored(words, "line-words")
+    asked = wanted.groupBy("r1", "r2").agg(F.collect_list("line").alias("numbers"), F.collect_list("c").alias("cs"))
+    texts = _keyed(docs).join(asked, ["r1", "r2"]).select("text", "numbers", "cs")
+    words = stored(texts.mapInPandas(take, "c long, w array<long>"), "line-words")
     common = F.size(F.array_intersect("w", "w2"))
     links = candidates.join(words.withColumnRenamed("c", "a"), "a").join(words.select(F.col("c").alias("b"), F.col("w").alias("w2")), "b").filter(
         DEN * common >= NUM * (F.size("w") + F.size("w2") - common)
     )
-    return classes, stored(links.select("a", "b"), "line-links")
+    return classes, stored(links.select("a", "b").distinct(), "line-links")
 
 
 def judged_lines(docs: DataFrame) -> DataFrame:

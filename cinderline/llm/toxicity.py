@@ -109,8 +109,10 @@ def label_words(rows: np.ndarray, before: np.ndarray, doc: np.ndarray, toxic: np
     """
 
     def counts(key: np.ndarray, which: np.ndarray) -> np.ndarray:
-        flat = np.unique(np.repeat(key[which], rows.shape[1]).astype(np.int64) * _BUCKETS + rows[which].ravel())
-        return np.bincount(flat % _BUCKETS, minlength=_BUCKETS)
+        out = np.zeros(_BUCKETS, np.int64)
+        for column in rows.T:  # one kind of feature at a time, to keep the arrays small
+            out += np.bincount(np.unique(key[which] * _BUCKETS + column[which]) % _BUCKETS, minlength=_BUCKETS)
+        return out
 
     bad = toxic[doc] > 0
     in_bad, in_good, neighbours = counts(doc, bad), counts(doc, ~bad), counts(before, bad)
@@ -177,7 +179,7 @@ def fit_chain(texts: list[str], toxic: np.ndarray, rounds: int = 60, rate: float
     return chain
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, most: int = 4000, **options) -> Chain | None:
+def train_toxicity(docs: DataFrame, labels: DataFrame, most: int = 2400, **options) -> Chain | None:
     """Fit on at most ``most`` labelled documents, half of them toxic if there are so many, by smallest hash of ``doc_id``.
 
     ``labels`` must hold the training rows only. Null ids, labels and texts are left out; a document labelled twice counts as toxic if
