@@ -19,7 +19,10 @@ def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
 
 def natural_left_join(left: DataFrame, right: DataFrame) -> DataFrame:
     """Left join on every column name the two tables share."""
-    return join_keys(left, right, [c for c in left.columns if c in right.columns], "left")
+    shared = [c for c in left.columns if c in right.columns]
+    if not shared:
+        raise ValueError(f"no shared column: {left.columns} and {right.columns}")
+    return join_keys(left, right, shared, "left")
 
 
 def semi_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:

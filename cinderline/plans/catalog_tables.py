@@ -60,12 +60,7 @@ def q05(spark, sf):
 
 @query("q06_share_by_region", _share_sql("l1_ecoregion", "'Coterminous US'"))
 def q06(spark, sf):
-    return P.single_day_share(V.fires(spark, sf).where("duration is not null"), ["l1_ecoregion"], DROP)
-
-
-from cinderline.plans.registry import ORACLES
-
-ORACLES["q06_share_by_region"] = ORACLES["q06_share_by_region"].replace(_LAND, _LAND + " and duration is not null")
+    return P.single_day_share(V.fires(spark, sf), ["l1_ecoregion"], DROP)
 
 
 @query("q07_growth_curves", V.sql("daily", """select id, event_day, cum_area_km2,

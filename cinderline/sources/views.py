@@ -20,11 +20,11 @@ _FIRE_EXPRS = {
     "fsr_ha_per_day": "o_totalprice / 1000",
     "fsr_km2_per_day": "o_totalprice / 100000",
     "fsr_acres_per_day": "o_totalprice / 404.686",
-    "max_growth_ha": "m / 10",
-    "max_growth_km2": "m / 1000",
-    "total_area_ha": "s / 10",
-    "total_area_km2": "s / 1000",
-    "duration": "cast(lines as int)",
+    "max_growth_ha": "case when r_name = 'ASIA' and o_orderpriority = '2-HIGH' then m else coalesce(m, 2500.0) end / 10",
+    "max_growth_km2": "case when r_name = 'ASIA' and o_orderpriority = '2-HIGH' then m else coalesce(m, 2500.0) end / 1000",
+    "total_area_ha": "case when r_name = 'ASIA' and o_orderpriority = '2-HIGH' then s else coalesce(s, 2500.0) end / 10",
+    "total_area_km2": "case when r_name = 'ASIA' and o_orderpriority = '2-HIGH' then s else coalesce(s, 2500.0) end / 1000",
+    "duration": "cast(case when r_name = 'ASIA' and o_orderpriority = '2-HIGH' then lines else coalesce(lines, 1) end as int)",
     "x": "cast((o_orderkey * 7919 + o_custkey * 104729) % 4600000 - 2300000 as double)",
     "y": "cast((o_orderkey * 15485863 + o_custkey * 31) % 2900000 - 2100000 as double)",
 }
