@@ -75,7 +75,10 @@ def train(scanned: DataFrame, docs: DataFrame, sample: int = 2000, smooth: float
     character, so a table without secrets still gives a model (random strings are then uniform).
     """
     random = _pairs(scanned.select(F.explode("base.value").alias("value")))
-    some = docs.filter("text is not null").orderBy(F.xxhash64("doc_id", "text")).limit(sample)
+    marked = docs.filter("text is not null").select("text", F.xxhash64("doc_id", "text").alias("h"))
+    # Only hashes are ordered; at most ``sample`` of them go to every task, and each stands for one text.
+    picked = F.broadcast(marked.select("h").distinct().orderBy("h").limit(sample))
+    some = marked.join(picked, "h", "left_semi").groupBy("h").agg(F.min("text").alias("text"))
     ordinary = _pairs(some.select(F.explode(F.regexp_extract_all("text", F.lit(WORD), 0)).alias("value")).filter(~F.col("value").rlike("[0-9]")))
     n = len(_CHARS)
 
