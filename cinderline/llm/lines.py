@@ -1,21 +1,26 @@
 """Line dedup: an exact set-similarity join of lines by prefix, length and positional filters."""
 
+import gc
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderline.llm.common import WORD, Gram, fresh, mix, odd, stored, table
+from cinderline.llm.common import WORD, Gram, drop_stored, fresh, mix, odd, stored, table
 
 #: Jaccard similarity as a fraction: 4/5.
 NUM, DEN = 4, 5
 #: Word frequencies are counted by so many bits of the words' hashes, so their table has a fixed size.
 _BITS = 17
 _MOST = np.uint64(2**64 - 1)
-#: Parities of the words' hashes, 64 bits each: two sets differ in at least as many words as parities differ.
-_MARKS = ("marks", "marks2", "marks3")
-_LINES = "r1 long, r2 long, doc_id long, line int, size int, s1 long, s2 long, marks long, marks2 long, marks3 long, prefix array<long>"
+_LINES = "r1 long, r2 long, doc_id long, line int, size int, s1 long, s2 long, marks long, prefix array<long>"
+#: Entries meet by word, or by two blocks of a word that has more than so many entries.
+_GROUP = 4096
+#: Bits of the map that tells which lines may be wanted again; a false one costs a row in an exchange, nothing else.
+_SPOTS, _STEP = 1 << 24, 40_503
 
 
 def _words(texts: list[str], gram: Gram) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -51,16 +56,21 @@ def word_classes(docs: DataFrame) -> np.ndarray:
     return out
 
 
+def _ids(hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Identifiers of words: the rarity class above 58 bits of the hash, so sorting them sorts by rarity."""
+    return (classes[(hashes >> np.uint64(64 - _BITS)).astype(np.int64)] << np.uint64(58)) | (hashes >> np.uint64(6))
+
+
 def _line_sets(hashes: np.ndarray, line_of: np.ndarray, lines: int, classes: np.ndarray) -> dict:
-    """Per line with a word: its number, set size, two hashes of the set, parity marks, and the rarest words in order.
+    """Per line with a word: its number, set size, two hashes of the set, the parities of its words' hashes in 64 bits (two sets
+    differ in at least as many words as parities differ), and the rarest words in order.
 
-    A word's identifier has its rarity class above 58 bits of its hash, so sorting identifiers sorts by rarity.
     Lines are sorted side by side with others of about their length.
     """
-    ids = (classes[(hashes >> np.uint64(64 - _BITS)).astype(np.int64)] << np.uint64(58)) | (hashes >> np.uint64(6))
+    ids = _ids(hashes, classes)
     counts = np.bincount(line_of, minlength=lines)
     first = np.cumsum(counts) - counts
-    out = {k: [] for k in ("line", "size", "s1", "s2", *_MARKS, "cut", "prefix")}
+    out = {k: [] for k in ("line", "size", "s1", "s2", "marks", "cut", "prefix")}
     level = np.ceil(np.log2(np.maximum(counts, 1))).astype(int)
     for k in np.unique(level[counts > 0]):
         at = np.flatnonzero((level == k) & (counts > 0))
@@ -76,9 +86,7 @@ def _line_sets(hashes: np.ndarray, line_of: np.ndarray, lines: int, classes: np.
         out["size"].append(size)
         for name, seed in (("s1", 3), ("s2", 4)):
             out[name].append(np.where(real, mix(m * odd(seed)), 0).sum(axis=1, dtype=np.uint64))
-        for name, shift in zip(_MARKS, (0, 6, 12)):
-            bit = np.uint64(1) << (m >> np.uint64(shift) & np.uint64(63))
-            out[name].append(np.bitwise_xor.reduce(np.where(real, bit, np.uint64(0)), axis=1))
+        out["marks"].append(np.bitwise_xor.reduce(np.where(real, np.uint64(1) << (m & np.uint64(63)), np.uint64(0)), axis=1))
         out["cut"].append(cut)
         out["prefix"].append(m[column < cut[:, None]])
     return {k: np.concatenate(v) if v else np.zeros(0, np.uint64 if k not in ("line", "size", "cut") else np.int64) for k, v in out.items()}
@@ -100,9 +108,9 @@ def line_table(docs: DataFrame, classes: np.ndarray) -> DataFrame:
                 yield pa.record_batch([
                     pa.array(own["r1"].to_numpy(np.int64)[text]), pa.array(own["r2"].to_numpy(np.int64)[text]),
                     pa.array(own["doc_id"].array.astype("Int64").take(text)), pa.array(number[s["line"]].astype(np.int32)), pa.array(s["size"].astype(np.int32)),
-                    *(pa.array(s[k].view(np.int64)) for k in ("s1", "s2", *_MARKS)),
+                    *(pa.array(s[k].view(np.int64)) for k in ("s1", "s2", "marks")),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(s["prefix"].view(np.int64))),
-                ], names=["r1", "r2", "doc_id", "line", "size", "s1", "s2", *_MARKS, "prefix"])
+                ], names=["r1", "r2", "doc_id", "line", "size", "s1", "s2", "marks", "prefix"])
 
     return _keyed(docs, "doc_id").filter("text is not null").mapInArrow(lines, _LINES)
 
@@ -118,54 +126,231 @@ def _place():
     return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "r1", "r2", "line")
 
 
-def similar_lines(docs: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(classes, links)``: distinct word sets ``(c, s1, s2, size, first)`` with the place of their first line, and links
-    ``(a, b)`` between classes of Jaccard similarity 4/5 or more.
+def _whole_groups(batches, rows: int):
+    """Batches sorted by ``key`` as tables that never cut a group of one key, sizes ascending in each, with the group number of each row.
+
+    Spark sorts by one number only, which it does by radix; sizes are sorted here.
+    """
 
-    Candidates share a word among their rarest ones (the longer line's prefix, the shorter line's shorter one); lengths, the positions of
-    the word and the parity of the words' hashes must still allow the similarity. All of it is one equi-join by word, so AQE can split a
-    frequent one. Candidates are verified on 64-bit hashes of all their words.
+    def numbers(t):
+        v = t["key"].to_numpy()
+        return np.cumsum(np.concatenate([[False], v[1:] != v[:-1]]))
+
+    def by_size(t, group):
+        return t.take(pa.array(np.lexsort((t["size"].to_numpy(), group)))), group
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            t = pa.Table.from_batches(held)
+            group = numbers(t)
+            last = int(np.searchsorted(group, group[-1]))
+            if last:
+                yield by_size(t.slice(0, last), group[:last])
+            held = t.slice(last).to_batches()
+            n = t.num_rows - last
+    if n:
+        t = pa.Table.from_batches(held)
+        yield by_size(t, numbers(t))
+
+
+def _near_rows(group: np.ndarray, size: np.ndarray):
+    """Arrays ``(i, j)`` of rows of one group whose sizes allow the similarity; sizes ascend in a group."""
+    i, d = np.arange(len(group)), 1
+    while True:
+        i = i[: np.searchsorted(i, len(group) - d)]
+        i = i[(group[i + d] == group[i]) & (DEN * size[i] >= NUM * size[i + d])]
+        if not len(i):
+            return
+        yield i, i + d
+        d += 1
+
+
+def _needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Common words that sets of ``a`` and ``b`` words must have."""
+    return -(-NUM * (a + b) // (NUM + DEN))
+
+
+def _meeting(batches):
+    """Entries of a word that another entry of the word may match, by length, position and parity.
+
+    A pair whose words before this one are the same has met there already and is passed over here.
     """
-    grouped = lines.groupBy("s1", "s2").agg(
-        F.min(_place()).alias("first"), *(F.first(k).alias(k) for k in ("size", *_MARKS, "prefix"))
+    for t, group in _whole_groups(batches, 50_000):
+        size, at, marks, before, side = (t[k].to_numpy() for k in ("size", "at", "marks", "before", "side"))
+        size, at = size.astype(np.int64), at.astype(np.int64)
+        live = np.zeros(len(group), bool)
+        for i, j in _near_rows(group, size):
+            need = _needed(size[i], size[j])
+            ok = (np.minimum(size[i] - at[i], size[j] - at[j]) >= need) & ((before[i] != before[j]) | (before[i] == 0))
+            ok &= np.bitwise_count((marks[i] ^ marks[j]).view(np.uint64)) <= size[i] + size[j] - 2 * need
+            ok &= (side[i] == 0) | (side[i] != side[j])
+            live[i[ok]] = live[j[ok]] = True
+        yield from t.select(["key", "side", "c", "at"]).filter(pa.array(live)).to_batches()
+
+
+def _common(words: np.ndarray, first: np.ndarray, count: np.ndarray, home: np.ndarray, i: np.ndarray, j: np.ndarray):
+    """Per pair of rows: number of common words, and whether the rarest of them is the row's ``home``.
+
+    Row ``k`` has the ascending ``words[first[k] : first[k] + count[k]]``, numbered from 0 within the batch.
+    """
+    span = np.int64(words.max()) + 1
+    keys = np.repeat(np.arange(len(first)), count) * span + words
+    for at in range(0, len(i), 20_000):
+        a, b = i[at : at + 20_000], j[at : at + 20_000]
+        n = count[a]
+        pair = np.repeat(np.arange(len(a)), n)
+        w = words[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[a], n)]
+        sought = b[pair] * span + w
+        hit = keys[np.minimum(np.searchsorted(keys, sought), len(keys) - 1)] == sought
+        early = hit & (w < home[a][pair])
+        yield a, b, np.bincount(pair, hit, len(a)).astype(np.int64), np.bincount(pair, early, len(a)) == 0
+
+
+def _common_of_many(words: np.ndarray, count: np.ndarray, home: int):
+    """As ``_common``, for all pairs of a large group, block by block as products of 0/1 matrices."""
+    n = len(count)
+    names, column = np.unique(words, return_inverse=True)
+    x = np.zeros((n, len(names)), np.float32)
+    x[np.repeat(np.arange(n), count), column] = 1
+    early = x[:, : np.searchsorted(names, home)]
+    for at in range(0, n, 256):
+        part = slice(at, at + 256)
+        a, b = np.nonzero(np.arange(n)[None, :] > np.arange(n)[part, None])
+        yield a + at, b, (x[part] @ x.T)[a, b].astype(np.int64), (early[part] @ early.T)[a, b] == 0
+
+
+def _verified(batches):
+    """Per row of a word: how many others it is similar to, and whether one of them is placed before it.
+
+    A pair counts at its rarest common word only, so at one word and in one block of it.
+    """
+    for t, group in _whole_groups(batches, 4_000):
+        t = t.combine_chunks()
+        n = t.num_rows
+        c, size, side = t["c"].to_numpy(), t["size"].to_numpy().astype(np.int64), t["side"].to_numpy()
+        place = np.empty(n, np.int64)
+        place[np.lexsort([t[k].to_numpy() for k in ("line", "r2", "r1", "doc_id")] + [t["no_id"].to_numpy(zero_copy_only=False)])] = np.arange(n)
+        count = pc.list_value_length(t["w"]).to_numpy().astype(np.int64)
+        names, words = np.unique(pc.list_flatten(t["w"]).to_numpy().view(np.uint64), return_inverse=True)
+        first = np.cumsum(count) - count
+        home = words[first + t["at"].to_numpy()]
+        members = np.bincount(group)
+        large = members[group] > 64
+        i, j = (np.concatenate(x) for x in zip(*_near_rows(np.where(large, -np.arange(n) - 1, group), size), (np.zeros(0, np.int64),) * 2))
+        found = list(_common(words, first, count, home, i, j))
+        links, beaten = np.zeros(n, np.int64), np.zeros(n, bool)
+
+        def add(a, b, common, here):
+            ok = here & (DEN * common >= NUM * (count[a] + count[b] - common)) & ((side[a] == 0) | (side[a] != side[b])) & (home[a] == home[b])
+            a, b = a[ok], b[ok]
+            np.add(links, np.bincount(a, minlength=n) + np.bincount(b, minlength=n), out=links)
+            beaten[np.where(place[a] > place[b], a, b)] = True
+
+        for one in found:
+            add(*one)
+        starts = np.cumsum(members) - members
+        for g in np.flatnonzero(members > 64):
+            lo, hi = starts[g], starts[g] + members[g]
+            for a, b, common, here in _common_of_many(words[first[lo] : first[hi - 1] + count[hi - 1]], count[lo:hi], home[lo]):
+                add(a + lo, b + lo, common, here)
+        some = links > 0
+        yield pa.record_batch([pa.array(c[some]), pa.array(links[some]), pa.array(beaten[some])], names=["c", "n", "beaten"])
+
+
+def _entries(classes: DataFrame) -> DataFrame:
+    """``(key, side, c, size, marks, at, before)`` per set and word of its prefix.
+
+    ``key`` is the word. One of more than ``_GROUP`` entries is cut into blocks: ``key`` is then a word and two of its blocks, ``side`` tells
+    the two apart (-1 and 1; 0 within one). Words are counted one by one only where a hash bucket holds more than a group.
+    """
+    sets = classes.filter("size > 3")
+    word = sets.select(F.explode("prefix").alias("word")).withColumn("bucket", F.expr(f"shiftright(word, 20) & {(1 << _BITS) - 1}"))
+    full = word.groupBy("bucket").count().filter(F.col("count") > _GROUP).select("bucket")  # at most 2**_BITS rows
+    hot = stored(
+        word.join(F.broadcast(full), "bucket", "left_semi").groupBy("word").count().filter(F.col("count") > _GROUP)
+        .select("word", F.ceil(F.col("count") / _GROUP).cast("int").alias("g")), "line-hot",
     )
+    entries = sets.select("c", "size", "marks", "prefix", F.posexplode("prefix").alias("at", "word")).select(
+        "c", "size", "marks", "at", "word", F.when(F.col("at") > 0, F.expr("prefix[at - 1]")).otherwise(F.lit(0)).alias("before")
+    ).join(hot, "word", "left")
+    own = F.pmod(F.xxhash64("c"), F.col("g")).cast("int")
+    other = F.explode(F.when(F.col("g").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("g") - 1)))
+    return entries.withColumn("own", F.coalesce(own, F.lit(0))).withColumn("other", other).select(
+        F.when(F.col("g").isNull(), F.col("word")).otherwise(F.xxhash64("word", F.least("own", "other"), F.greatest("own", "other"))).alias("key"),
+        F.signum(F.col("own") - F.col("other")).cast("int").alias("side"), "c", "size", "marks", "at", "before",
+    )
+
+
+def _grouped(df: DataFrame) -> DataFrame:
+    return df.repartition("key").sortWithinPartitions("key")
+
+
+def _release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of tables that are stored by now; it waits for a collection otherwise."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def similar_lines(docs: DataFrame, lines: DataFrame, classes_of_words: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """``(classes, links)``: distinct word sets ``(c, s1, s2, size, first)`` with the place of their first line, and per set that is
+    similar to others ``(c, n_links, beaten)``: their number, and whether one of them comes first.
+
+    Each set is entered under its rarest words. Entries of a word meet in one task (a frequent word in blocks), where lengths, positions and
+    parities must allow the similarity. Those that remain meet once more with all their words, where each pair is verified at its rarest common
+    word. Only entries and counts are ever written, so a dense group costs rows by its size and not by its pairs.
+    """
+    grouped = lines.groupBy("s1", "s2").agg(F.min(_place()).alias("first"), *(F.first(k).alias(k) for k in ("size", "marks", "prefix")))
     classes = stored(grouped.withColumn("c", F.monotonically_increasing_id()), "line-classes")
-    at = classes.filter("size > 3").select("c", "size", "marks", F.posexplode("prefix").alias("at", "word"))
-    needed, differ = f"ceil({NUM} * (size + size2) / {NUM + DEN})", f"size + size2 - 2 * ceil({NUM} * (size + size2) / {NUM + DEN})"
-    short = at.filter(f"at < size - ceil({2 * NUM} * size / {NUM + DEN}) + 1").toDF("c2", "size2", "other", "at2", "word2")
-    candidates = at.join(short, F.expr(
-        f"word = word2 and size2 <= size and {DEN} * size2 >= {NUM} * size and (size2 < size or c2 < c)"
-        f" and least(size - at, size2 - at2) >= {needed} and bit_count(marks ^ other) <= {differ}"
-    )).select("c", "c2").distinct()
-    # The other parities stay with the classes: they are only needed for candidates.
-    more = classes.select("c", "size", *_MARKS[1:])
-    candidates = candidates.join(more, "c").join(more.toDF("c2", "size2", *(f"{k}_2" for k in _MARKS[1:])), "c2").filter(
-        " and ".join(f"bit_count({k} ^ {k}_2) <= {differ}" for k in _MARKS[1:])
-    ).select(F.col("c").alias("a"), F.col("c2").alias("b"))
-    candidates = stored(candidates, "line-pairs")
+    _release(docs.sparkSession)
+    live = stored(_grouped(_entries(classes)).mapInArrow(_meeting, "key long, side int, c long, at int"), "line-entries")
+    _release(docs.sparkSession)
+    asked = live.groupBy("c").agg(F.collect_list(F.struct("key", "side", "at")).alias("entries"))  # at most a prefix and its blocks
+    wanted = stored(asked.join(classes, "c").select("c", "size", "first.*", "entries"), "line-wanted")
+    spot = F.expr(f"((r1 & {_SPOTS - 1}) + bigint(line) * {_STEP} & {_SPOTS - 1}) + 1")  # maps count from 1
+    bits = np.zeros(_SPOTS // 8, np.uint8)
+    maps = wanted.select(spot.alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits"))
+    for k, part in maps.collect():  # a fixed number of maps of 4 KB
+        bits[(k - 1) * 4096 : k * 4096] = np.frombuffer(part, np.uint8)
 
     def take(batches):
         gram = Gram(31)
-        for whole in batches:
-            for at in range(0, len(whole), 200):
-                found, rows, pdf = [], [], whole.iloc[at : at + 200]
-                for text, numbers, cs in zip(pdf["text"], pdf["numbers"], pdf["cs"]):
-                    own = text.split("\n")
-                    found += cs.tolist()
-                    rows += [own[k] for k in numbers]
-                hashes, line_of, _, _ = _words(rows, gram)
-                cuts = np.searchsorted(line_of, np.arange(1, len(rows)))
-                yield pd.DataFrame({"c": found, "w": [np.unique(x.view(np.int64)) for x in np.split(hashes, cuts)]})
-
-    wanted = candidates.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(classes, "c").select("c", "first.r1", "first.r2", "first.line")
-    asked = wanted.groupBy("r1", "r2").agg(F.collect_list("line").alias("numbers"), F.collect_list("c").alias("cs"))
-    texts = _keyed(docs).join(asked, ["r1", "r2"]).select("text", "numbers", "cs")
-    words = stored(texts.mapInPandas(take, "c long, w array<long>"), "line-words")
-    common = F.size(F.array_intersect("w", "w2"))
-    links = candidates.join(words.withColumnRenamed("c", "a"), "a").join(words.select(F.col("c").alias("b"), F.col("w").alias("w2")), "b").filter(
-        DEN * common >= NUM * (F.size("w") + F.size("w2") - common)
-    )
-    return classes, stored(links.select("a", "b").distinct(), "line-links")
+        for batch in batches:
+            r1, r2, texts = batch["r1"].to_numpy(), batch["r2"].to_numpy(), batch["text"]
+            for at in range(0, len(r1), 300):
+                rows, number, of = [], [], []
+                for k, text in enumerate(texts[at : at + 300].to_pylist(), at):
+                    spots = (int(r1[k]) & _SPOTS - 1) + np.arange(text.count("\n") + 1) * _STEP & _SPOTS - 1
+                    here = np.flatnonzero(bits[spots >> 3] >> (spots & 7) & 1)
+                    if len(here):
+                        own = text.split("\n")
+                        rows += [own[x] for x in here]
+                        number.append(here)
+                        of.append(np.full(len(here), k))
+                if rows:
+                    hashes, line_of, _, _ = _words(rows, gram)
+                    ids = _ids(hashes, classes_of_words)
+                    order = np.lexsort((ids, line_of))
+                    ids, line_of = ids[order], line_of[order]
+                    new = np.ones(len(ids), bool)
+                    new[1:] = (ids[1:] != ids[:-1]) | (line_of[1:] != line_of[:-1])
+                    offsets = np.concatenate([[0], np.cumsum(np.bincount(line_of[new], minlength=len(rows)))]).astype(np.int32)
+                    of = np.concatenate(of)
+                    yield pa.record_batch([
+                        pa.array(r1[of]), pa.array(r2[of]), pa.array(np.concatenate(number).astype(np.int32)),
+                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids[new].view(np.int64))),
+                    ], names=["r1", "r2", "line", "w"])
+
+    words = _keyed(docs).filter("text is not null").mapInArrow(take, "r1 long, r2 long, line int, w array<long>")
+    whole = wanted.join(words.dropDuplicates(["r1", "r2", "line"]), ["r1", "r2", "line"]).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
+    parts = _grouped(whole.select("*", F.inline("entries")).drop("entries")).mapInArrow(_verified, "c long, n long, beaten boolean")
+    links = stored(parts.groupBy("c").agg(F.sum("n").alias("n_links"), F.max("beaten").alias("beaten")), "line-links")
+    drop_stored(live)
+    drop_stored(wanted)
+    _release(docs.sparkSession)
+    return classes, links
 
 
 def judged_lines(docs: DataFrame) -> DataFrame:
@@ -175,13 +360,11 @@ def judged_lines(docs: DataFrame) -> DataFrame:
     of ``doc_id`` (null last) and line. ``class_*`` is the first line with the same word set, ``n_links`` the number of other
     word sets it is similar to. Rows alike in ``doc_id`` and ``text`` are one document and judged alike.
     """
-    lines = stored(line_table(docs, word_classes(docs)), "lines")
-    classes, links = similar_lines(docs, lines)
-    both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    firsts = classes.select(F.col("c").alias("b"), F.col("first").alias("other"))
-    nearest = both.join(firsts, "b").groupBy(F.col("a").alias("c")).agg(F.count(F.lit(1)).alias("n_links"), F.min("other").alias("other"))
-    verdicts = classes.join(nearest, "c", "left").select(
-        "s1", "s2", "first", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce(F.col("first") < F.col("other"), F.lit(True)).alias("leads")
+    rarity = word_classes(docs)
+    lines = stored(line_table(docs, rarity), "lines")
+    classes, links = similar_lines(docs, lines, rarity)
+    verdicts = classes.select("c", "s1", "s2", "first").join(links, "c", "left").select(
+        "s1", "s2", "first", F.coalesce("n_links", F.lit(0)).alias("n_links"), (~F.coalesce("beaten", F.lit(False))).alias("leads")
     )
     return lines.join(verdicts, ["s1", "s2"]).select(
         "r1", "r2", "doc_id", "line", "size", F.col("first.doc_id").alias("class_doc"), F.col("first.line").alias("class_line"), "n_links",

@@ -82,3 +82,15 @@ def test_texts_without_later_lines(spark, odd):
     got = {r.doc_id: r for r in out.collect()}
     assert {d: r.text for d, r in got.items()} == want
     assert all(r.n_chars == len(r.text) for r in got.values() if r.n_chars is not None and r.text is not None)
+
+
+@pytest.mark.parametrize("group", [4096, 30])
+def test_large_group_of_near_copies(spark, monkeypatch, group):
+    monkeypatch.setattr(lines, "_GROUP", group)
+    rng = random.Random(group)
+    base = [f"b{k}" for k in range(30)]
+    docs = []
+    for d in range(180):
+        own = [w for w in base if rng.random() > 0.08] + [f"x{rng.randrange(40)}" for _ in range(rng.randrange(3))]
+        docs.append((d, " ".join(own) + "\nfour words in common" + (f"\nfour words in common {d}" if d % 3 else "")))
+    check(spark, spark.createDataFrame(docs, "doc_id long, text string").repartition(5))
