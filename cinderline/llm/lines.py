@@ -1,6 +1,7 @@
 """Line dedup: an exact set-similarity join of lines by prefix, length and positional filters."""
 
 import gc
+import time
 
 import numpy as np
 import pandas as pd
@@ -288,24 +289,40 @@ def _grouped(df: DataFrame) -> DataFrame:
     return df.repartition("key").sortWithinPartitions("key")
 
 
+def _narrowed(df: DataFrame, *names: str) -> DataFrame:
+    """A stored table without columns that are not needed any more: the wide one is deleted."""
+    out = stored(df.drop(*names), "line-narrow")
+    drop_stored(df)
+    return out
+
+
 def _release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of tables that are stored by now; it waits for a collection otherwise."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark's cleaner delete the shuffle files of tables that are stored by now; it waits for a collection otherwise.
+
+    The first round frees the handles of plans, which takes a moment, the second the plans.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
-def similar_lines(docs: DataFrame, lines: DataFrame, classes_of_words: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """``(classes, links)``: distinct word sets ``(c, s1, s2, size, first)`` with the place of their first line, and per set that is
-    similar to others ``(c, n_links, beaten)``: their number, and whether one of them comes first.
+def distinct_sets(lines: DataFrame) -> DataFrame:
+    """Distinct word sets ``(c, s1, s2, size, first, marks, prefix)`` with the place of their first line."""
+    grouped = lines.groupBy("s1", "s2").agg(F.min(_place()).alias("first"), *(F.first(k).alias(k) for k in ("size", "marks", "prefix")))
+    return stored(grouped.withColumn("c", F.monotonically_increasing_id()), "line-classes")
+
+
+def similar_lines(docs: DataFrame, classes: DataFrame, classes_of_words: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """``(classes, links)``: ``classes`` without the columns that only this join needs, and per set that is similar to others
+    ``(c, n_links, beaten)``: their number, and whether one of them comes first.
 
     Each set is entered under its rarest words. Entries of a word meet in one task (a frequent word in blocks), where lengths, positions and
     parities must allow the similarity. Those that remain meet once more with all their words, where each pair is verified at its rarest common
     word. Only entries and counts are ever written, so a dense group costs rows by its size and not by its pairs.
     """
-    grouped = lines.groupBy("s1", "s2").agg(F.min(_place()).alias("first"), *(F.first(k).alias(k) for k in ("size", "marks", "prefix")))
-    classes = stored(grouped.withColumn("c", F.monotonically_increasing_id()), "line-classes")
-    _release(docs.sparkSession)
     live = stored(_grouped(_entries(classes)).mapInArrow(_meeting, "key long, side int, c long, at int"), "line-entries")
+    classes = _narrowed(classes, "marks", "prefix")
     _release(docs.sparkSession)
     asked = live.groupBy("c").agg(F.collect_list(F.struct("key", "side", "at")).alias("entries"))  # at most a prefix and its blocks
     wanted = stored(asked.join(classes, "c").select("c", "size", "first.*", "entries"), "line-wanted")
@@ -362,7 +379,10 @@ def judged_lines(docs: DataFrame) -> DataFrame:
     """
     rarity = word_classes(docs)
     lines = stored(line_table(docs, rarity), "lines")
-    classes, links = similar_lines(docs, lines, rarity)
+    classes = distinct_sets(lines)
+    lines = _narrowed(lines, "marks", "prefix")
+    _release(docs.sparkSession)
+    classes, links = similar_lines(docs, classes, rarity)
     verdicts = classes.select("c", "s1", "s2", "first").join(links, "c", "left").select(
         "s1", "s2", "first", F.coalesce("n_links", F.lit(0)).alias("n_links"), (~F.coalesce("beaten", F.lit(False))).alias("leads")
     )
