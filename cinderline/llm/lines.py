@@ -17,7 +17,7 @@ NUM, DEN = 4, 5
 #: Word frequencies are counted by so many bits of the words' hashes, so their table has a fixed size.
 _BITS = 17
 _MOST = np.uint64(2**64 - 1)
-_LINES = "r1 long, r2 long, doc_id long, line int, size int, s1 long, s2 long, marks long, prefix array<long>"
+_LINES = "r1 long, r2 long, doc_id long, line int, size int, s1 long, s2 long, marks long, marks2 long, prefix array<long>"
 #: Entries meet by word, or by two blocks of a word that has more than so many entries.
 _GROUP = 4096
 #: Bits of the map that tells which lines may be wanted again; a false one costs a row in an exchange, nothing else.
@@ -63,7 +63,7 @@ def _ids(hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
 
 
 def _line_sets(hashes: np.ndarray, line_of: np.ndarray, lines: int, classes: np.ndarray) -> dict:
-    """Per line with a word: its number, set size, two hashes of the set, the parities of its words' hashes in 64 bits (two sets
+    """Per line with a word: its number, set size, two hashes of the set, the parities of its words' hashes in 64 bits, twice (two sets
     differ in at least as many words as parities differ), and the rarest words in order.
 
     Lines are sorted side by side with others of about their length.
@@ -71,7 +71,7 @@ def _line_sets(hashes: np.ndarray, line_of: np.ndarray, lines: int, classes: np.
     ids = _ids(hashes, classes)
     counts = np.bincount(line_of, minlength=lines)
     first = np.cumsum(counts) - counts
-    out = {k: [] for k in ("line", "size", "s1", "s2", "marks", "cut", "prefix")}
+    out = {k: [] for k in ("line", "size", "s1", "s2", "marks", "marks2", "cut", "prefix")}
     level = np.ceil(np.log2(np.maximum(counts, 1))).astype(int)
     for k in np.unique(level[counts > 0]):
         at = np.flatnonzero((level == k) & (counts > 0))
@@ -87,7 +87,9 @@ def _line_sets(hashes: np.ndarray, line_of: np.ndarray, lines: int, classes: np.
         out["size"].append(size)
         for name, seed in (("s1", 3), ("s2", 4)):
             out[name].append(np.where(real, mix(m * odd(seed)), 0).sum(axis=1, dtype=np.uint64))
-        out["marks"].append(np.bitwise_xor.reduce(np.where(real, np.uint64(1) << (m & np.uint64(63)), np.uint64(0)), axis=1))
+        for name, shift in (("marks", 0), ("marks2", 12)):
+            bit = np.uint64(1) << (m >> np.uint64(shift) & np.uint64(63))
+            out[name].append(np.bitwise_xor.reduce(np.where(real, bit, np.uint64(0)), axis=1))
         out["cut"].append(cut)
         out["prefix"].append(m[column < cut[:, None]])
     return {k: np.concatenate(v) if v else np.zeros(0, np.uint64 if k not in ("line", "size", "cut") else np.int64) for k, v in out.items()}
@@ -109,9 +111,9 @@ def line_table(docs: DataFrame, classes: np.ndarray) -> DataFrame:
                 yield pa.record_batch([
                     pa.array(own["r1"].to_numpy(np.int64)[text]), pa.array(own["r2"].to_numpy(np.int64)[text]),
                     pa.array(own["doc_id"].array.astype("Int64").take(text)), pa.array(number[s["line"]].astype(np.int32)), pa.array(s["size"].astype(np.int32)),
-                    *(pa.array(s[k].view(np.int64)) for k in ("s1", "s2", "marks")),
+                    *(pa.array(s[k].view(np.int64)) for k in ("s1", "s2", "marks", "marks2")),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(s["prefix"].view(np.int64))),
-                ], names=["r1", "r2", "doc_id", "line", "size", "s1", "s2", "marks", "prefix"])
+                ], names=["r1", "r2", "doc_id", "line", "size", "s1", "s2", "marks", "marks2", "prefix"])
 
     return _keyed(docs, "doc_id").filter("text is not null").mapInArrow(lines, _LINES)
 
@@ -180,13 +182,14 @@ def _meeting(batches):
     A pair whose words before this one are the same has met there already and is passed over here.
     """
     for t, group in _whole_groups(batches, 50_000):
-        size, at, marks, before, side = (t[k].to_numpy() for k in ("size", "at", "marks", "before", "side"))
+        size, at, marks, marks2, before, side = (t[k].to_numpy() for k in ("size", "at", "marks", "marks2", "before", "side"))
         size, at = size.astype(np.int64), at.astype(np.int64)
         live = np.zeros(len(group), bool)
         for i, j in _near_rows(group, size):
             need = _needed(size[i], size[j])
             ok = (np.minimum(size[i] - at[i], size[j] - at[j]) >= need) & ((before[i] != before[j]) | (before[i] == 0))
-            ok &= np.bitwise_count((marks[i] ^ marks[j]).view(np.uint64)) <= size[i] + size[j] - 2 * need
+            for m in (marks, marks2):
+                ok &= np.bitwise_count((m[i] ^ m[j]).view(np.uint64)) <= size[i] + size[j] - 2 * need
             ok &= (side[i] == 0) | (side[i] != side[j])
             live[i[ok]] = live[j[ok]] = True
         yield from t.select(["key", "side", "c", "at"]).filter(pa.array(live)).to_batches()
@@ -262,7 +265,7 @@ def _verified(batches):
 
 
 def _entries(classes: DataFrame) -> DataFrame:
-    """``(key, side, c, size, marks, at, before)`` per set and word of its prefix.
+    """``(key, side, c, size, marks, marks2, at, before)`` per set and word of its prefix.
 
     ``key`` is the word. One of more than ``_GROUP`` entries is cut into blocks: ``key`` is then a word and two of its blocks, ``side`` tells
     the two apart (-1 and 1; 0 within one). Words are counted one by one only where a hash bucket holds more than a group.
@@ -274,14 +277,14 @@ def _entries(classes: DataFrame) -> DataFrame:
         word.join(F.broadcast(full), "bucket", "left_semi").groupBy("word").count().filter(F.col("count") > _GROUP)
         .select("word", F.ceil(F.col("count") / _GROUP).cast("int").alias("g")), "line-hot",
     )
-    entries = sets.select("c", "size", "marks", "prefix", F.posexplode("prefix").alias("at", "word")).select(
-        "c", "size", "marks", "at", "word", F.when(F.col("at") > 0, F.expr("prefix[at - 1]")).otherwise(F.lit(0)).alias("before")
+    entries = sets.select("c", "size", "marks", "marks2", "prefix", F.posexplode("prefix").alias("at", "word")).select(
+        "c", "size", "marks", "marks2", "at", "word", F.when(F.col("at") > 0, F.expr("prefix[at - 1]")).otherwise(F.lit(0)).alias("before")
     ).join(hot, "word", "left")
     own = F.pmod(F.xxhash64("c"), F.col("g")).cast("int")
     other = F.explode(F.when(F.col("g").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("g") - 1)))
     return entries.withColumn("own", F.coalesce(own, F.lit(0))).withColumn("other", other).select(
         F.when(F.col("g").isNull(), F.col("word")).otherwise(F.xxhash64("word", F.least("own", "other"), F.greatest("own", "other"))).alias("key"),
-        F.signum(F.col("own") - F.col("other")).cast("int").alias("side"), "c", "size", "marks", "at", "before",
+        F.signum(F.col("own") - F.col("other")).cast("int").alias("side"), "c", "size", "marks", "marks2", "at", "before",
     )
 
 
@@ -308,8 +311,8 @@ def _release(spark: SparkSession) -> None:
 
 
 def distinct_sets(lines: DataFrame) -> DataFrame:
-    """Distinct word sets ``(c, s1, s2, size, first, marks, prefix)`` with the place of their first line."""
-    grouped = lines.groupBy("s1", "s2").agg(F.min(_place()).alias("first"), *(F.first(k).alias(k) for k in ("size", "marks", "prefix")))
+    """Distinct word sets ``(c, s1, s2, size, first, marks, marks2, prefix)`` with the place of their first line."""
+    grouped = lines.groupBy("s1", "s2").agg(F.min(_place()).alias("first"), *(F.first(k).alias(k) for k in ("size", "marks", "marks2", "prefix")))
     return stored(grouped.withColumn("c", F.monotonically_increasing_id()), "line-classes")
 
 
@@ -322,7 +325,7 @@ def similar_lines(docs: DataFrame, classes: DataFrame, classes_of_words: np.ndar
     word. Only entries and counts are ever written, so a dense group costs rows by its size and not by its pairs.
     """
     live = stored(_grouped(_entries(classes)).mapInArrow(_meeting, "key long, side int, c long, at int"), "line-entries")
-    classes = _narrowed(classes, "marks", "prefix")
+    classes = _narrowed(classes, "marks", "marks2", "prefix")
     _release(docs.sparkSession)
     asked = live.groupBy("c").agg(F.collect_list(F.struct("key", "side", "at")).alias("entries"))  # at most a prefix and its blocks
     wanted = stored(asked.join(classes, "c").select("c", "size", "first.*", "entries"), "line-wanted")
@@ -380,7 +383,7 @@ def judged_lines(docs: DataFrame) -> DataFrame:
     rarity = word_classes(docs)
     lines = stored(line_table(docs, rarity), "lines")
     classes = distinct_sets(lines)
-    lines = _narrowed(lines, "marks", "prefix")
+    lines = _narrowed(lines, "marks", "marks2", "prefix")
     _release(docs.sparkSession)
     classes, links = similar_lines(docs, classes, rarity)
     verdicts = classes.select("c", "s1", "s2", "first").join(links, "c", "left").select(
