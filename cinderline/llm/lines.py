@@ -63,8 +63,8 @@ def _ids(hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
 
 
 def _line_sets(hashes: np.ndarray, line_of: np.ndarray, lines: int, classes: np.ndarray) -> dict:
-    """Per line with a word: its number, set size, two hashes of the set, the parities of its words' hashes in 64 bits, twice (two sets
-    differ in at least as many words as parities differ), and the rarest words in order.
+    """Per line with a word: its number, set size, two hashes of the set, the parities of its words in 128 bits (two sets differ in at
+    least as many words as parities differ), and the rarest words in order.
 
     Lines are sorted side by side with others of about their length.
     """
@@ -87,9 +87,9 @@ def _line_sets(hashes: np.ndarray, line_of: np.ndarray, lines: int, classes: np.
         out["size"].append(size)
         for name, seed in (("s1", 3), ("s2", 4)):
             out[name].append(np.where(real, mix(m * odd(seed)), 0).sum(axis=1, dtype=np.uint64))
-        for name, shift in (("marks", 0), ("marks2", 12)):
-            bit = np.uint64(1) << (m >> np.uint64(shift) & np.uint64(63))
-            out[name].append(np.bitwise_xor.reduce(np.where(real, bit, np.uint64(0)), axis=1))
+        bit, upper = np.uint64(1) << (m & np.uint64(63)), (m >> np.uint64(6) & np.uint64(1)).astype(bool)
+        for name, here in (("marks", real & ~upper), ("marks2", real & upper)):
+            out[name].append(np.bitwise_xor.reduce(np.where(here, bit, np.uint64(0)), axis=1))
         out["cut"].append(cut)
         out["prefix"].append(m[column < cut[:, None]])
     return {k: np.concatenate(v) if v else np.zeros(0, np.uint64 if k not in ("line", "size", "cut") else np.int64) for k, v in out.items()}
@@ -188,8 +188,8 @@ def _meeting(batches):
         for i, j in _near_rows(group, size):
             need = _needed(size[i], size[j])
             ok = (np.minimum(size[i] - at[i], size[j] - at[j]) >= need) & ((before[i] != before[j]) | (before[i] == 0))
-            for m in (marks, marks2):
-                ok &= np.bitwise_count((m[i] ^ m[j]).view(np.uint64)) <= size[i] + size[j] - 2 * need
+            odd_words = sum(np.bitwise_count((m[i] ^ m[j]).view(np.uint64)).astype(np.int64) for m in (marks, marks2))
+            ok &= odd_words <= size[i] + size[j] - 2 * need
             ok &= (side[i] == 0) | (side[i] != side[j])
             live[i[ok]] = live[j[ok]] = True
         yield from t.select(["key", "side", "c", "at"]).filter(pa.array(live)).to_batches()
