@@ -44,42 +44,64 @@ def _spans(text: Column, kind: int, pattern: str, group: int, least: int) -> Col
     return F.when(F.size(parts) > 1, F.aggregate(parts, start, step, lambda s: s["out"])).otherwise(none)
 
 
+def _touched(text: Column) -> Column:
+    """Whole words that the spans of ``base`` touch, as pieces of text; each word is taken once however many spans touch it."""
+    t = F.translate(text, "\t\n\x0b\x0c\r", " " * 5)
+    start = F.expr("named_struct('to', 0, 'out', cast(array() as array<string>))")
+
+    def step(s: Column, b: Column) -> Column:
+        left = F.when(b["start"] > s["to"], F.length(F.substring_index(F.substr(t, s["to"] + 1, b["start"] - s["to"]), " ", -1))).otherwise(0)
+        begin = F.greatest(b["start"], s["to"]) - left
+        end = b["end"] + F.length(F.substring_index(F.substr(t, b["end"] + 1), " ", 1))
+        return F.when(b["end"] <= s["to"], s).otherwise(
+            F.struct(end.alias("to"), F.concat(s["out"], F.array(F.substr(t, begin + 1, end - begin))).alias("out"))
+        )
+
+    return F.aggregate("base", start, step, lambda s: s["out"])
+
+
 def scan(docs: DataFrame, least: int = 16) -> DataFrame:
-    """``doc_id, base, candidates``: spans of the fixed patterns, and runs of at least ``least`` characters of keys.
+    """``doc_id, base, candidates, touched``: spans of the fixed patterns, runs of at least ``least`` characters of keys,
+    and the text of all words that a span of the fixed patterns touches.
 
     Null text is empty. The mark character is replaced by another control character, which no pattern holds either.
     """
     text = F.translate(F.coalesce("text", F.lit("")), _MARK, "\x02")
     base = [_spans(text, k, pattern, group, _LEAST[kind]) for k, (kind, pattern, group) in enumerate(PATTERNS)]
-    return docs.select(
+    found = docs.select(
         "doc_id", F.array_sort(F.concat(*base)).alias("base"),
-        _spans(text, len(PATTERNS), f"({_CLASS}{{{least},}})", 1, least).alias("candidates"),
+        _spans(text, len(PATTERNS), f"({_CLASS}{{{least},}})", 1, least).alias("candidates"), text.alias("text"),
     )
+    return found.select("doc_id", "base", "candidates", _touched(F.col("text")).alias("touched"))
 
 
-def _pairs(strings: DataFrame) -> dict[tuple[str, str], int]:
-    """Counts of adjacent characters of the column ``value``; at most the square of the alphabet of them."""
-    steps = strings.filter("length(value) > 1").select(
-        F.explode(F.expr("transform(sequence(1, length(value) - 1), i -> substring(value, i, 2))")).alias("pair")
+def _pairs(strings: DataFrame) -> Counter:
+    """Counts of adjacent characters of the column ``value``; at most the square of the alphabet of them.
+
+    Equal strings are counted first, map-side, so that pairs are made once a distinct string.
+    """
+    steps = strings.filter("length(value) > 1").groupBy("value").agg(F.count(F.lit(1)).alias("n")).select(
+        F.explode(F.expr("transform(sequence(1, length(value) - 1), i -> substring(value, i, 2))")).alias("pair"), "n"
     )
-    return {(r["pair"][0], r["pair"][1]): r["n"] for r in steps.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).filter(
+    return Counter({(r["pair"][0], r["pair"][1]): r["n"] for r in steps.groupBy("pair").agg(F.sum("n").alias("n")).filter(
         F.col("pair").rlike("^[A-Za-z0-9+/_=.-]{2}$")
-    ).collect()}
+    ).collect()})
+
+
+def _words(texts: DataFrame) -> DataFrame:
+    return texts.select(F.explode(F.regexp_extract_all("text", F.lit(WORD), 0)).alias("value"))
 
 
-def train(scanned: DataFrame, docs: DataFrame, sample: int = 2000, smooth: float = 20.0) -> list[float]:
+def train(scanned: DataFrame, docs: DataFrame, smooth: float = 20.0) -> list[float]:
     """Log-likelihood ratio of each character pair, random string over ordinary word, as a flat table.
 
-    Labelled samples: the values the fixed patterns find in all documents are random strings; the words without any digit in the
-    ``sample`` documents of smallest hash are ordinary. Both models start from ``smooth`` uniform observations per
-    character, so a table without secrets still gives a model (random strings are then uniform).
+    Labels: the values the fixed patterns find are random strings; the words they do not touch are ordinary. Both are
+    counted over all documents. Both models start from ``smooth`` uniform observations per character, so a table without
+    secrets still gives a model (random strings are then uniform).
     """
     random = _pairs(scanned.select(F.explode("base.value").alias("value")))
-    marked = docs.filter("text is not null").select("text", F.xxhash64("doc_id", "text").alias("h"))
-    # Only hashes are ordered; at most ``sample`` of them go to every task, and each stands for one text.
-    picked = F.broadcast(marked.select("h").distinct().orderBy("h").limit(sample))
-    some = marked.join(picked, "h", "left_semi").groupBy("h").agg(F.min("text").alias("text"))
-    ordinary = _pairs(some.select(F.explode(F.regexp_extract_all("text", F.lit(WORD), 0)).alias("value")).filter(~F.col("value").rlike("[0-9]")))
+    ordinary = _pairs(_words(docs))
+    ordinary.subtract(_pairs(_words(scanned.select(F.explode("touched").alias("text")))))
     n = len(_CHARS)
 
     def logs(counts):

@@ -65,6 +65,33 @@ def test_random_strings_are_found(spark):
     assert sum(bool(v) for d, v in new.items() if d < 10_000) <= 5
 
 
+def test_ordinary_pairs_of_all_documents(spark, hard):
+    """More documents than any fixed sample, repeated ones, identifiers with digits, and words that several patterns touch."""
+    rows = [(i, f"lib{i % 97}/v2.{i}-rc {'same' if i % 3 else 'SKU-00%d' % i}") for i in range(2600)] + rows_of(hard)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    count = {True: {}, False: {}}
+
+    def add(random, s):
+        for pair in zip(s, s[1:]):
+            count[random][pair] = count[random].get(pair, 0) + 1
+
+    for _, text in rows:
+        text = (text or "").replace("\x01", "\x02")
+        spans = brute_base(text)
+        for a, k, b in spans:
+            add(True, ASSIGN.match(text[a:b])[2] if k == 0 else text[a:b])
+        for m in re.finditer(r"[^\x20\x09-\x0D]+", text):
+            if not any(a < m.end() and m.start() < b for a, _, b in spans):
+                add(False, m[0])
+    chars, n = secrets._CHARS, len(secrets._CHARS)
+
+    def log(c, a, b):
+        return np.log((c.get((a, b), 0) + 20 / n) / (sum(c.get((a, x), 0) for x in chars) + 20))
+
+    want = [log(count[True], a, b) - log(count[False], a, b) for a in chars for b in chars]
+    assert np.allclose(secrets.train(secrets.scan(docs), docs), want, atol=1e-9)
+
+
 def test_no_rows(spark, none):
     assert rows_of(secrets.find_secrets(none)) == []
     assert rows_of(toxicity.with_toxicity(none, None)) == []
