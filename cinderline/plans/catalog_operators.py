@@ -15,7 +15,7 @@ from cinderline.operators import trend as T
 from cinderline.operators.keys import join_keys, natural_left_join, semi_join
 from cinderline.plans import oracle as O
 from cinderline.plans import studies as P
-from cinderline.plans.registry import query, rounded
+from cinderline.plans.registry import ORACLES, query, rounded
 from cinderline.sources import schemas
 from cinderline.sources import tables as I
 from cinderline.sources import views as V
@@ -380,9 +380,10 @@ select struct_extract_at(r, 1) as rx, struct_extract_at(r, 2) as ry, any_value(v
  from lab join k using (cx, cy) left join sides using (r) group by r""")
 
 
-def _regions(connectivity):
+def _regions(connectivity, below=14):
     def run(spark, sf):
-        src = V.cells(spark, sf).where("landcover < 14").select("cx", "cy", (c("landcover") % 4).alias("value"))
+        cells = V.cells(spark, sf)
+        src = (cells if below is None else cells.where(c("landcover") < below)).select("cx", "cy", (c("landcover") % 4).alias("value"))
         f = R.region_features(R.raster_regions(src, connectivity, tile=16))
         half, shift = F.lit(1 << 30), F.lit(1 << 31)
         return f.select((F.floor(c("region") / shift) - half).cast("long").alias("rx"), (c("region") % shift - half).alias("ry"), "value", "n_cells", "boundary_edges")
@@ -391,3 +392,38 @@ def _regions(connectivity):
 
 query("raster_regions_4", _regions_sql(False))(_regions(4))
 query("raster_regions_8", _regions_sql(True))(_regions(8))
+
+
+# --- the same operators on whole tables -------------------------------------------------------------
+# The queries above whose SQL filters their table leave rows out; these read every row. SQL is given where it ends in
+# reasonable time on the whole table.
+
+def _whole(name, filter_, fn):
+    sql = ORACLES[name]
+    assert sql.count(filter_) == 1
+    query(f"{name}_all", sql.replace(filter_, ""))(fn)
+
+
+def _stack_all(spark, sf):
+    cells = V.cells(spark, sf)
+    years = sorted(r["year"] for r in cells.select("year").distinct().collect())  # one layer each
+    return R.stack({y: cells.where(f"year = {y}").select("cx", "cy", c("home_density").alias("value")) for y in years})
+
+
+def _raster_all(spark, sf):
+    path = _scratch(spark, "raster")
+    I.write_raster(V.cells(spark, sf).select("cx", "cy", "home_density", "year"), path)
+    return R.to_points(I.read_raster(spark, path, _CELL), 1000.0, 0.0, 0.0, "home_density").select("x", "y", "home_density")
+
+
+_whole("raster_write_scan_to_points", " where year = 2002", _raster_all)
+_whole("natural_left_join", " where duration > 4",
+       lambda spark, sf: natural_left_join(V.fires(spark, sf).select("fire_id", "l1_ecoregion", "lc_name"), V.fires(spark, sf).groupBy("l1_ecoregion", "lc_name").agg(F.max("duration").alias("d"))).select("fire_id", c("d").cast("double").alias("d")))
+_whole("clip_to_mask", " where cy < 40",
+       lambda spark, sf: S.clip_to_cover(V.cells(spark, sf).select((c("cx") - 25).alias("cx"), (c("cy") - 20).alias("cy")), S.cover(V.zones(spark, sf), "zone", 90000.0)).select((c("cx") + 25).alias("cx"), (c("cy") + 20).alias("cy")))
+_whole("theil_sen_slope", " where duration > 4",
+       lambda spark, sf: rounded(T.theil_sen(V.fires(spark, sf), ["us_l3name"], "ignition_year", "fsr_ha_per_day").drop("p_error"), intercept=4))
+_whole("stack_layers", " where year in (2001, 2003)", _stack_all)
+query("line_length_per_cell_all")(lambda spark, sf: rounded(S.line_km_per_cell(V.roads(spark, sf), 50000.0)))
+query("raster_regions_4_all")(_regions(4, None))
+query("raster_regions_8_all")(_regions(8, None))
