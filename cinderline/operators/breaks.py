@@ -48,12 +48,55 @@ def _partition(n, s1, s2, k):
     return starts[::-1]
 
 
+def _dropped(n, s1, s2, k):
+    """Per number of classes from 1 to ``k - 1``: least cost before a break in each bin, bins that hold a break not counted.
+
+    A class costs at least what its whole bins cost, so this bounds the cost of all partitions with cuts inside bins.
+    """
+    cn, c1, c2 = (np.concatenate(([0.0], np.cumsum(a))) for a in (n, s1, s2))
+    m = len(n)
+
+    def cost(i, j):  # bins i to j - 1
+        j = np.maximum(i, j)
+        w = cn[j] - cn[i]
+        return np.where(w > 0, (c2[j] - c2[i]) - (c1[j] - c1[i]) ** 2 / np.where(w > 0, w, 1), 0)
+
+    out = [cost(np.zeros(m, dtype=int), np.arange(m))]
+    for _ in range(2, k):
+        best, nxt = out[-1], np.full(m, np.inf)
+        stack = [(0, m - 1, 0, m - 1)]
+        while stack:
+            lo, hi, a, b = stack.pop()
+            if lo > hi:
+                continue
+            mid = (lo + hi) // 2
+            i = np.arange(a, min(mid, b) + 1)
+            c = best[i] + cost(np.minimum(i + 1, mid), np.full(len(i), mid))
+            p = int(c.argmin())
+            nxt[mid] = c[p]
+            stack += [(lo, mid - 1, a, int(i[p])), (mid + 1, hi, int(i[p]), b)]
+        out.append(nxt)
+    return out
+
+
+def _may_break(n, s1, s2, starts, k):
+    """Bins that can hold a break of a partition as good as the one with classes from ``starts``."""
+    if k < 2:
+        return np.zeros(len(n), dtype=bool)
+    edges = [0, *starts, len(n)]
+    upper = sum(s2[a:b].sum() - s1[a:b].sum() ** 2 / n[a:b].sum() for a, b in zip(edges, edges[1:]))
+    before, after = _dropped(n, s1, s2, k), [g[::-1] for g in _dropped(n[::-1], s1[::-1], s2[::-1], k)]
+    lower = np.min([before[t] + after[k - 2 - t] for t in range(k - 1)], axis=0)
+    return lower <= upper + 1e-9 * s2.sum()
+
+
 def natural_breaks(df: DataFrame, col: str, k: int = 5, max_bins: int = 20000) -> DataFrame:
     """``k`` classes of least within-class variance: ``class, lo, hi, n``.
 
     Distinct values are counted by Spark. Up to ``max_bins`` of them are solved exactly. Beyond
-    that, values are gathered into that many bins and the bins around every break are split
-    again until each break falls between two single values.
+    that, values are gathered into that many bins, and every bin that can hold a break of an optimal partition (by a
+    lower bound of the cost) is split again until these bins are single values, so the result is the same; where many
+    partitions are nearly as good, more than ``max_bins`` bins come to the driver.
     """
     data = df.where(F.col(col).isNotNull()).select(F.col(col).cast("double").alias("v"))
     mid = data.agg(F.avg("v").alias("m"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
@@ -68,23 +111,22 @@ def natural_breaks(df: DataFrame, col: str, k: int = 5, max_bins: int = 20000) -
         probs = [i / max_bins for i in range(1, max_bins)]
         cuts = np.unique(counts.agg(F.percentile_approx("v", probs, 10 * max_bins).alias("c")).first()["c"])
         bins = _binned(counts, cuts, sums)
-    k = min(k, len(bins))
+    k = min(k, int(bins["distinct"].sum()))
     while True:
-        starts = _partition(bins["n"].to_numpy(float), bins["s1"].to_numpy(), bins["s2"].to_numpy(), k)
-        near = sorted({b for s in starts for b in (s - 1, s)})
-        wide = [b for b in near if bins["distinct"].iloc[b] > 1]
-        if not wide:
+        parts = [bins[c].to_numpy(float) for c in ("n", "s1", "s2")]
+        starts = _partition(*parts, k) if len(bins) >= k else []
+        open_ = _may_break(*parts, starts, k) if len(bins) >= k else np.ones(len(bins), dtype=bool)
+        wide = np.flatnonzero(open_ & (bins["distinct"].to_numpy() > 1))
+        if not len(wide):
             break
-        # Keep every bin edge and split only the bins beside a break.
+        # Keep every bin edge and split only the bins that can hold a break.
         extra = max(2, max_bins // len(wide))
-        ranges = F.lit(None).cast("int")
-        for b in wide:
-            ranges = F.when((F.col("v") >= float(bins["lo"].iloc[b])) & (F.col("v") <= float(bins["hi"].iloc[b])), b).otherwise(ranges)
-        fine = counts.withColumn("b", ranges).where(F.col("b").isNotNull()).groupBy("b").agg(
+        edges = bins["hi"].to_numpy()[:-1]
+        fine = _placed(counts, edges, wide).groupBy("bin").agg(
             F.percentile_approx("v", [i / extra for i in range(1, extra)], 10 * extra).alias("c")
         ).collect()
         inner = np.concatenate([np.array(r["c"]) for r in fine])
-        bins = _binned(counts, np.unique(np.concatenate((bins["hi"].to_numpy()[:-1], inner))), sums)
+        bins = _binned(counts, np.unique(np.concatenate((edges, inner))), sums)
     starts = [0, *starts, len(bins)]
     rows = [
         (i + 1, float(bins["lo"].iloc[a]), float(bins["hi"].iloc[b - 1]), int(bins["n"].iloc[a:b].sum()))
@@ -93,12 +135,16 @@ def natural_breaks(df: DataFrame, col: str, k: int = 5, max_bins: int = 20000) -
     return df.sparkSession.createDataFrame(rows, "class int, lo double, hi double, n long")
 
 
-def _binned(counts: DataFrame, cuts: np.ndarray, sums):
-    """One row per non-empty interval between cuts (upper edge included)."""
+def _placed(counts: DataFrame, cuts: np.ndarray, only: np.ndarray | None = None) -> DataFrame:
+    """``v, n, bin``: the interval between cuts (upper edge included) of each value, of the bins ``only`` if given."""
     def place(batches):
         for pdf in batches:
             pdf["bin"] = np.searchsorted(cuts, pdf["v"].to_numpy(), side="left")
-            yield pdf
+            yield pdf if only is None else pdf[pdf["bin"].isin(only)]
+
+    return counts.mapInPandas(place, "v double, n long, bin long")
 
-    placed = counts.mapInPandas(place, "v double, n long, bin long")
-    return placed.groupBy("bin").agg(*sums).orderBy("lo").toPandas()
+
+def _binned(counts: DataFrame, cuts: np.ndarray, sums):
+    """One row per non-empty interval between cuts (upper edge included)."""
+    return _placed(counts, cuts).groupBy("bin").agg(*sums).orderBy("lo").toPandas()

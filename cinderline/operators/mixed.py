@@ -15,6 +15,7 @@ from cinderline.operators.keys import join_keys
 from cinderline.sources.tables import cut_lineage
 
 SMALL_LEVELS = 10_000
+TOLERANCE = 1e-7
 _SUMS = ["n", "sx", "sxx", "sy", "sxy", "syy"]
 
 
@@ -70,7 +71,7 @@ def _solve(s: np.ndarray):
 def _evaluator(levels: DataFrame, q: int, small: int):
     if levels.limit(small + 1).count() <= small:
         local = levels.select(*_SUMS).toPandas()
-        return lambda thetas: _criterion_sums(local, thetas, q), 1e-7
+        return lambda thetas: _criterion_sums(local, thetas, q), TOLERANCE
 
     def spread(thetas):
         def run(batches):
@@ -81,7 +82,7 @@ def _evaluator(levels: DataFrame, q: int, small: int):
         got = rows.groupBy("k").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(8)]).orderBy("k").collect()
         return np.array([[r[f"s{i}"] for i in range(8)] for r in got])
 
-    return spread, 1e-4
+    return spread, TOLERANCE
 
 
 def _search(evaluate, q: int, tol: float) -> np.ndarray:

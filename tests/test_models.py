@@ -98,3 +98,9 @@ def test_kruskal(spark):
     got = {r.g: r for r in K.kruskal(spark.createDataFrame(rows, "g string, c string, v double"), ["g"], "c", "v").collect()}
     assert got["a"].h == pytest.approx(3.857142857) and got["a"].p == pytest.approx(0.04953461)
     assert got["tied"].h is None and got["single"].h is None
+
+
+@pytest.mark.parametrize("slope", [False, True])
+def test_mixed_model_does_not_depend_on_the_limit(spark, data, slope):
+    few, many = ({r.component: r.value for r in X.mixed_model(data[1], "g", "x", "y", slope, small_levels=n)["variance"].collect()} for n in (5, 10**6))
+    assert few == pytest.approx(many, rel=1e-5)

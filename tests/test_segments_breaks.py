@@ -54,3 +54,19 @@ def test_natural_breaks(spark, bins):
     s = np.sort(v)
     best = min(combinations(range(1, len(s)), 2), key=lambda c: sum(sse(s[a:b]) for a, b in zip((0, *c), (*c, len(s)))))
     assert [r.lo for r in got] == [s[0], s[best[0]], s[best[1]]] and sum(r.n for r in got) == len(v)
+
+
+@pytest.mark.parametrize("seed", [20, 24])
+def test_natural_breaks_do_not_depend_on_the_limit(spark, seed):
+    rng = np.random.default_rng(seed)
+    v = np.round(rng.uniform(0, 100, 60), 2)
+    df = spark.createDataFrame([(float(x),) for x in v], "v double")
+    small, large = (B.natural_breaks(df, "v", 4, max_bins=b).orderBy("class").collect() for b in (6, 10**6))
+    assert small == large
+    s = np.sort(v)
+    cost = np.array([[sse(s[a:b]) if b > a else np.inf for b in range(len(s) + 1)] for a in range(len(s) + 1)])
+    best = cost[0]
+    for _ in range(3):
+        best = np.array([(best + cost[:, b]).min() for b in range(len(s) + 1)])
+    got = sum(sse(s[(s >= r.lo) & (s <= r.hi)]) for r in small)
+    assert got == pytest.approx(best[-1])
