@@ -1,4 +1,4 @@
-"""Allow and block rules for URLs: a sort-merge range join on reversed-host keys, in DataFrame operations only."""
+"""Allow and block rules for URLs: a sort-merge range join on host suffixes and paths, in DataFrame operations only."""
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,13 +32,8 @@ def url_path(url: Column) -> Column:
     return F.regexp_extract(_rest(url), "^[^/?#]*([^?#]*)", 1)
 
 
-def _key(host: str, path: str) -> Column:
-    """Labels of the host from the last to the first, then the path: a rule's key is a prefix of what it covers."""
-    return F.concat(F.array_join(F.reverse(F.split(F.col(host), r"\.", -1)), "."), F.col(path))
-
-
 def _nested_rules(rules: DataFrame) -> DataFrame:
-    """Per rule its key and the stack that is active where it starts: itself and the rules it lies in."""
+    """Per rule its host, path and the stack that is active where it starts: itself and the rules it lies in."""
     rules = (
         rules.select("host", "path", "verdict").dropna(subset=["host", "path"])
         .groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
@@ -59,8 +54,8 @@ def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     path are ignored. Empty inputs give no rows.
 
     Each pair is written once for every host suffix that has rules (never more labels than the longest rule host), so
-    host and path prefixes become one interval of the key order. Keys and rules are range-partitioned together; a
-    sweep in key order finds the last rule that began, whose stack holds all rules still open. The rule open
+    what a rule covers is one interval of the order by suffix and path. Pairs and rules are range-partitioned together; a
+    sweep in this order finds the last rule that began, whose stack holds all rules still open. The rule open
     at the start of each range comes from a table with one row per range.
     """
     spark = urls.sparkSession
@@ -72,15 +67,15 @@ def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
         pairs.withColumn("__l", F.split("host", r"\.", -1))
         .withColumn("suffix", F.explode(F.expr(f"transform(filter(sequence(1, size(__l)), k -> k <= {depth}), k -> array_join(slice(__l, -k, k), '.'))")))
         .select("host", "path", "suffix").join(hosts, "suffix")
-        .select("host", "path", "suffix", _key("suffix", "path").alias("key"), F.lit(None).cast("array<struct<path:string,verdict:string>>").alias("stack"))
+        .select("host", "path", "suffix", F.lit(None).cast("array<struct<path:string,verdict:string>>").alias("stack"))
     )
-    starts = rules.select(F.lit(None).cast("string").alias("host"), "path", F.col("host").alias("suffix"), _key("host", "path").alias("key"), "stack")
-    ranges = stored(keys.unionByName(starts).repartitionByRange(F.col("key")).withColumn("range", F.spark_partition_id()), "url-ranges")
-    ends = ranges.filter("stack is not null").groupBy("range").agg(F.max_by(F.struct("suffix", "stack"), "key").alias("last"))
+    starts = rules.select(F.lit(None).cast("string").alias("host"), "path", F.col("host").alias("suffix"), "stack")
+    ranges = stored(keys.unionByName(starts).repartitionByRange("suffix", "path").withColumn("range", F.spark_partition_id()), "url-ranges")
+    ends = ranges.filter("stack is not null").groupBy("range").agg(F.max_by(F.struct("suffix", "stack"), F.struct("suffix", "path")).alias("last"))
     known = ranges.select("range").distinct().join(ends, "range", "left")
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     carried = known.select("range", F.last("last", ignorenulls=True).over(before).alias("carried"))
-    order = Window.partitionBy("range").orderBy("key", F.col("host").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("range").orderBy("suffix", "path", F.col("host").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
     began = F.when(F.col("stack").isNotNull(), F.struct("suffix", "stack"))
     swept = (
         ranges.select("*", F.last(began, ignorenulls=True).over(order).alias("began")).filter("host is not null")

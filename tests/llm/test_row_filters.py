@@ -44,6 +44,14 @@ def test_urls_against_brute_force(spark):
     assert sorted(got, key=key) == sorted(want, key=key)
 
 
+def test_urls_with_empty_path_and_subdomain_rules(spark):
+    rules = [("example.com", "", "block"), ("www.example.com", "/en/", "allow"), ("com", "", "allow"), ("a-b.com", "", "block"), ("x.a-b.com", "/", "allow")]
+    urls_ = [f"http://{h}{p}" for h in ("example.com", "www.example.com", "com", "a-b.com", "x.a-b.com", "net") for p in ("", "/", "/x", "/en/x", "?q")]
+    pages = spark.createDataFrame(list(enumerate(urls_)), "page_id long, url string")
+    got = rows_of(urls.filter_urls(pages, spark.createDataFrame(rules, urls.RULES)))
+    assert sorted(got, key=str) == sorted(((i, *brute_url(u, rules)) for i, u in enumerate(urls_)), key=str)
+
+
 def test_urls_empty(spark):
     none = spark.createDataFrame([], "page_id long, url string")
     assert rows_of(urls.filter_urls(none, spark.createDataFrame(urls.QUERY_RULES, urls.RULES))) == []
