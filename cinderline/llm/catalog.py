@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their comparison SQL."""
 
-from cinderline.llm import lines, mixing, packing, quality, repeats, secrets, simhash, toxicity, urls, vectors
+from cinderline.llm import lines, mixing, negatives, packing, quality, repeats, secrets, simhash, toxicity, urls, vectors
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_mixing": mixing.op10_mixing,
+    "op13_hard_negatives": negatives.op13_hard_negatives,
 }
 #: The other operators are not expressible in SQL on whole tables; tests hold them against brute force.
 ORACLES = {"op3_url_filters": urls.SQL}
