@@ -196,7 +196,7 @@ def _task(make):
 
 
 def _meet(anchors: DataFrame, blocks: DataFrame, groups: int, stripes: int, make) -> DataFrame:
-    """Groups of anchors by stripes of blocks, each pair of them in one task."""
+    """Groups of anchors by stripes of blocks (about 16 MB), each pair of them in one task; as many tasks as pairs."""
     b = blocks.select(
         F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"), F.pmod(F.xxhash64("block"), F.lit(stripes)).cast("int").alias("stripe"), F.lit(1).alias("kind"),
         F.col("block").alias("row"), "label", "dim", "n", "ids", "low", "high", "cells", F.expr(f"cast(null as {_WINDOWS}) as windows"),
@@ -206,7 +206,7 @@ def _meet(anchors: DataFrame, blocks: DataFrame, groups: int, stripes: int, make
         *(F.lit(None).cast("binary").alias(k) for k in ("ids", "low", "high")), "cells", "windows",
     )
     spark = anchors.sparkSession
-    dealt = a.unionByName(b).repartition(4 * partitions(spark), "part", "stripe").sortWithinPartitions("part", "stripe", "kind", "row")
+    dealt = a.unionByName(b).repartition(max(4 * partitions(spark), groups * stripes), "part", "stripe").sortWithinPartitions("part", "stripe", "kind", "row")
     return dealt.mapInPandas(_task(make), "anchor_row long, place int, other long, other_row long, score long")
 
 
@@ -233,7 +233,7 @@ def hard_negatives(
     dealt = rows.repartition(partitions(spark), F.xxhash64("row")).sortWithinPartitions("dim", "label", "row")
     blocks = stored(dealt.select("row", "id", "label", "dim", "v").mapInArrow(_to_blocks, _BLOCKS), "vector-blocks")
     groups = max(1, -(-anchors.count() // per_group))
-    stripes = max(-(-2 * partitions(spark) // groups), -(-blocks.count() // 64))
+    stripes = max(-(-2 * partitions(spark) // groups), -(-blocks.count() // 16))
     pack = F.udf(lambda v: np.array(v, np.int32).tobytes(), "binary", useArrow=True)
     part = F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int").alias("part")
     asking = stored(anchors.select("row", "id", "label", "dim", part, pack("v").alias("cells")), "anchors")
