@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their comparison SQL."""
 
-from cinderline.llm import licenses, lines, mixing, negatives, packing, quality, repeats, secrets, simhash, toxicity, urls, vectors
+from cinderline.llm import licenses, lines, mixing, negatives, packing, quality, repeats, secrets, simhash, toxicity, tries, urls, vectors
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_mixing": mixing.op10_mixing,
+    "op11_conversation_trie": tries.op11_conversation_trie,
     "op12_license_scan": licenses.op12_license_scan,
     "op13_hard_negatives": negatives.op13_hard_negatives,
 }
