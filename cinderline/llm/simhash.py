@@ -238,14 +238,14 @@ def keep_one_per_group(docs: DataFrame, most: int = 2) -> DataFrame:
 
     Of several rows with that ``doc_id`` one text's stays, and of its copies one row.
     """
-    prints = stored(
-        docs.select(fingerprint(docs["text"]).alias("fp"), F.col("doc_id"), F.xxhash64("doc_id", "text").alias("row")), "prints"
-    )
+    hashes = F.xxhash64("doc_id", "text"), F.xxhash64(F.lit("second"), "text", "doc_id")
+    prints = stored(docs.select(fingerprint(docs["text"]).alias("fp"), "doc_id", F.struct(hashes[0].alias("r1"), hashes[1].alias("r2")).alias("row")), "prints")
     found = fingerprint_components(prints, most)
-    key = fresh(docs, "row")
-    first = prints.join(found, "fp").filter("doc_id <=> component_id").groupBy("root").agg(F.min("row").alias(key)).select(key)
-    # Copies of one row would all carry that hash: a last pass leaves one.
-    return docs.withColumn(key, F.xxhash64("doc_id", "text")).join(first, key, "left_semi").dropDuplicates([key]).drop(key)
+    one, two = fresh(docs, "r1"), fresh(docs, "r2")
+    first = prints.join(found, "fp").filter("doc_id <=> component_id").groupBy("root").agg(F.min("row").alias("row"))
+    first = first.select(F.col("row.r1").alias(one), F.col("row.r2").alias(two))
+    # Copies of one row would all carry its hashes: a last pass leaves one.
+    return docs.withColumns({one: hashes[0], two: hashes[1]}).join(first, [one, two], "left_semi").dropDuplicates([one, two]).drop(one, two)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
