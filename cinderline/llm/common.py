@@ -107,6 +107,18 @@ class Gram:
         return mix((sums[end] - sums[start]) * self.up[start] + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def portions(texts, most: int):
+    """Slices of ``texts`` (strings or bytes) that hold about ``most`` characters each, or one longer text."""
+    start = held = 0
+    for i, t in enumerate(texts):
+        if held and held + len(t) > most:
+            yield slice(start, i)
+            start, held = i, 0
+        held += len(t)
+    if len(texts) > start:
+        yield slice(start, len(texts))
+
+
 def numbered(df: DataFrame, order: list, label: str, name: str = "rank") -> DataFrame:
     """``df`` with its place (from 0) in the given order, by range partitions and their sizes: no single sorted task."""
     ranges = stored(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), label)

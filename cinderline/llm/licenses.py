@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderline.llm.common import table
+from cinderline.llm.common import portions, table
 
 # The phrases of the contract and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -79,18 +79,6 @@ class Words:
         return np.diff(np.concatenate([[0], upto])), text, found - first[text], which
 
 
-def _portions(texts):
-    """Runs of texts of about ``_BYTES`` bytes, as slices."""
-    start, held = 0, 0
-    for i, t in enumerate(texts):
-        if held and held + len(t) > _BYTES:
-            yield slice(start, i)
-            start, held = i, 0
-        held += len(t)
-    if len(texts) > start:
-        yield slice(start, len(texts))
-
-
 def word_counts(docs: DataFrame, words: Sequence[str]) -> dict[str, int]:
     """How often each of some words stands in all texts: counted in tasks, at most ``len(words)`` rows come back."""
 
@@ -98,7 +86,7 @@ def word_counts(docs: DataFrame, words: Sequence[str]) -> dict[str, int]:
         find, total = Words(words), np.zeros(len(words), np.int64)
         for pdf in batches:
             texts = pdf["text"].tolist()
-            for part in _portions(texts):
+            for part in portions(texts, _BYTES):
                 total += np.bincount(find.find(texts[part])[3], minlength=len(words))
         yield pd.DataFrame({"word": np.arange(len(words)), "n": total})
 
@@ -177,7 +165,7 @@ def license_scan(
         for column in batches:
             texts = [t or b"" for t in column]
             out = []
-            for part in _portions(texts):
+            for part in portions(texts, _BYTES):
                 size, text, at, word = find.find(texts[part])
                 places, blocks = ([[] for _ in size] for _ in range(2))
                 for phrase, label in phrases.items():

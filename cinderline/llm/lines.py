@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderline.llm.common import WORD, Gram, drop_stored, fresh, mix, odd, stored, table
+from cinderline.llm.common import WORD, Gram, drop_stored, fresh, mix, odd, portions, stored, table
 
 #: Jaccard similarity as a fraction: 4/5.
 NUM, DEN = 4, 5
@@ -20,6 +20,10 @@ _MOST = np.uint64(2**64 - 1)
 _LINES = "r1 long, r2 long, doc_id long, line int, size int, s1 long, s2 long, marks long, marks2 long, prefix array<long>"
 #: Entries meet by word, or by two blocks of a word that has more than so many entries.
 _GROUP = 4096
+#: Characters of text that are taken apart at once (or one longer text).
+_TEXT = 1_000_000
+#: Cells of a table of rows by frequent words, and pairs of rows that are listed at once.
+_CELLS = 16_000_000
 #: Bits of the map that tells which lines may be wanted again; a false one costs a row in an exchange, nothing else.
 _SPOTS, _STEP = 1 << 24, 40_503
 
@@ -44,8 +48,9 @@ def word_classes(docs: DataFrame) -> np.ndarray:
     def count(batches):
         gram, total = Gram(31), np.zeros(1 << _BITS, np.int64)
         for pdf in batches:
-            for at in range(0, len(pdf), 300):
-                hashes = _words(pdf["text"].iloc[at : at + 300].tolist(), gram)[0]
+            texts = pdf["text"].tolist()
+            for part in portions(texts, _TEXT):
+                hashes = _words(texts[part], gram)[0]
                 total += np.bincount((hashes >> np.uint64(64 - _BITS)).astype(np.int64), minlength=1 << _BITS)
         some = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": some, "n": total[some]})
@@ -102,8 +107,8 @@ def line_table(docs: DataFrame, classes: np.ndarray) -> DataFrame:
         gram = Gram(31)
         for batch in batches:
             pdf = batch.to_pandas(integer_object_nulls=True)
-            for at in range(0, len(pdf), 300):
-                own = pdf.iloc[at : at + 300]
+            for part in portions(pdf["text"].tolist(), _TEXT):
+                own = pdf.iloc[part]
                 hashes, line_of, text_of, number = _words(own["text"].tolist(), gram)
                 s = _line_sets(hashes, line_of, len(text_of), classes)
                 text = text_of[s["line"]]
@@ -214,16 +219,37 @@ def _common(words: np.ndarray, first: np.ndarray, count: np.ndarray, home: np.nd
 
 
 def _common_of_many(words: np.ndarray, count: np.ndarray, home: int):
-    """As ``_common``, for all pairs of a large group, block by block as products of 0/1 matrices."""
+    """As ``_common``, for all pairs of a large group, some rows at a time.
+
+    Words of many rows are counted by products of 0/1 matrices of at most ``_CELLS`` cells, the others by listing the rows of each word.
+    """
     n = len(count)
-    names, column = np.unique(words, return_inverse=True)
-    x = np.zeros((n, len(names)), np.float32)
-    x[np.repeat(np.arange(n), count), column] = 1
-    early = x[:, : np.searchsorted(names, home)]
-    for at in range(0, n, 256):
-        part = slice(at, at + 256)
-        a, b = np.nonzero(np.arange(n)[None, :] > np.arange(n)[part, None])
-        yield a + at, b, (x[part] @ x.T)[a, b].astype(np.int64), (early[part] @ early.T)[a, b] == 0
+    row = np.repeat(np.arange(n), count)
+    names, column, rows_of = np.unique(words, return_inverse=True, return_counts=True)
+    frequent = np.argsort(-rows_of, kind="stable")[: max(1, _CELLS // n)]
+    place = np.full(len(names), -1)
+    place[frequent] = np.arange(len(frequent))
+    dense = place[column] >= 0
+    x = np.zeros((n, len(frequent)), np.float32)
+    x[row[dense], place[column[dense]]] = 1
+    before = names[frequent] < home  # rarer than the word they meet at
+    sparse = np.flatnonzero(~dense & (rows_of[column] > 1))
+    order = sparse[np.argsort(column[sparse], kind="stable")]
+    first = np.searchsorted(column[order], np.arange(len(names) + 1))
+    cost = np.zeros(n, np.int64)
+    np.add.at(cost, row[sparse], rows_of[column[sparse]])
+    at = 0
+    while at < n:
+        end = min(at + 256, n, max(at + 1, int(np.searchsorted(np.cumsum(cost[at:]), _CELLS // 4)) + at))
+        own = sparse[(row[sparse] >= at) & (row[sparse] < end)]
+        many = rows_of[column[own]]
+        partner = row[order[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[column[own]], many)]]
+        cell, rare = np.repeat(row[own] - at, many) * n + partner, np.repeat(names[column[own]] < home, many)
+        common = np.bincount(cell, minlength=(end - at) * n).reshape(-1, n) + (x[at:end] @ x.T).astype(np.int64)
+        early = np.bincount(cell[rare], minlength=(end - at) * n).reshape(-1, n) + (x[at:end][:, before] @ x[:, before].T).astype(np.int64)
+        a, b = np.nonzero(np.arange(n)[None, :] > np.arange(at, end)[:, None])
+        yield a + at, b, common[a, b], early[a, b] == 0
+        at = end
 
 
 def _verified(batches):
@@ -338,10 +364,10 @@ def similar_lines(docs: DataFrame, classes: DataFrame, classes_of_words: np.ndar
     def take(batches):
         gram = Gram(31)
         for batch in batches:
-            r1, r2, texts = batch["r1"].to_numpy(), batch["r2"].to_numpy(), batch["text"]
-            for at in range(0, len(r1), 300):
+            r1, r2, texts = batch["r1"].to_numpy(), batch["r2"].to_numpy(), batch["text"].to_pylist()
+            for part in portions(texts, _TEXT):
                 rows, number, of = [], [], []
-                for k, text in enumerate(texts[at : at + 300].to_pylist(), at):
+                for k, text in enumerate(texts[part], part.start):
                     spots = (int(r1[k]) & _SPOTS - 1) + np.arange(text.count("\n") + 1) * _STEP & _SPOTS - 1
                     here = np.flatnonzero(bits[spots >> 3] >> (spots & 7) & 1)
                     if len(here):

@@ -1,9 +1,9 @@
 """Best-fit packing of token sequences: bulk-synchronous rounds of distributed successor sweeps."""
 
 import re
-import sys
-import types
+import threading
 import zlib
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from cinderline.llm.common import stored, table
+from cinderline.llm.common import portions, stored, table
 
 CAPACITY = 4096
 END_ID = 1
 #: Distinct words whose ids a Python worker keeps; beyond it the store starts anew.
 CACHED_WORDS = 800_000
+IDLE_SECONDS = 3.0
+_KEPT: dict = {}
 _SPECIAL = "<|"
 #: Letters that lower-casing and composition leave as they are.
 _PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
@@ -49,13 +51,20 @@ class Encoder:
         self.ends_word[[i for w, i in words.items() if w.endswith("</w>")]] = True
 
     @staticmethod
-    def of(path: str | None) -> "Encoder":
-        """One per Python worker and path, kept between tasks."""
-        home = sys.modules.setdefault("cinderline_worker_state", types.ModuleType("cinderline_worker_state"))
-        encoders = home.__dict__.setdefault("encoders", {})
-        if path not in encoders:
-            encoders[path] = Encoder(path)
-        return encoders[path]
+    @contextmanager
+    def of(path: str | None):
+        """One per Python worker and path. It is kept for the next task of the stage, and goes when none begins within ``IDLE_SECONDS``."""
+        if _KEPT.get("release"):
+            _KEPT.pop("release").cancel()
+        if _KEPT.get("path", ()) != path:
+            _KEPT.update(path=path, encoder=Encoder(path))
+        encoder = _KEPT["encoder"]
+        try:
+            yield encoder
+        finally:
+            _KEPT["release"] = threading.Timer(IDLE_SECONDS, _KEPT.clear)
+            _KEPT["release"].daemon = True
+            _KEPT["release"].start()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -106,19 +115,19 @@ def cut_documents(docs: DataFrame, capacity: int = CAPACITY, path: str | None =
     """
 
     def cut(batches):
-        encoder = Encoder.of(path)
-        for pdf in batches:
-            for at in range(0, len(pdf), 500):
-                own = pdf.iloc[at : at + 500]
-                rows = []
-                for doc, data in zip(own["doc_id"], encoder.batch([t or "" for t in own["text"]])):
-                    data += np.array([END_ID], "<u4").tobytes()
-                    for k, i in enumerate(range(0, len(data), 4 * capacity)):
-                        part = data[i : i + 4 * capacity]
-                        rows.append((doc, k, i // 4, len(part) // 4, zlib.crc32(part)))
-                out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-                out["doc_id"] = out["doc_id"].astype("Int64")
-                yield out
+        with Encoder.of(path) as encoder:
+            for pdf in batches:
+                texts = [t or "" for t in pdf["text"]]
+                for some in portions(texts, 1_000_000):
+                    rows = []
+                    for doc, data in zip(pdf["doc_id"].iloc[some], encoder.batch(texts[some])):
+                        data += np.array([END_ID], "<u4").tobytes()
+                        for k, i in enumerate(range(0, len(data), 4 * capacity)):
+                            part = data[i : i + 4 * capacity]
+                            rows.append((doc, k, i // 4, len(part) // 4, zlib.crc32(part)))
+                    out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+                    out["doc_id"] = out["doc_id"].astype("Int64")
+                    yield out
 
     return docs.select("doc_id", "text").mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

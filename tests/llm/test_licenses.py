@@ -4,6 +4,7 @@ import re
 from pyspark.sql import functions as F
 
 from cinderline.llm import licenses
+from cinderline.llm.common import portions
 from tests.llm.conftest import rows_of
 
 SF = "/root/testdata/sf0.001"
@@ -71,13 +72,8 @@ def test_odd_rows(spark, odd, none, tmp_path):
 
 
 def test_portions_and_words():
-    texts = [b"a" * 10] * 5
-    licenses_bytes, licenses._BYTES = licenses._BYTES, 25
-    try:
-        assert [(p.start, p.stop) for p in licenses._portions(texts)] == [(0, 2), (2, 4), (4, 5)]
-        assert list(licenses._portions([])) == []
-    finally:
-        licenses._BYTES = licenses_bytes
+    assert [(p.start, p.stop) for p in portions([b"a" * 10] * 5, 25)] == [(0, 2), (2, 4), (4, 5)]
+    assert [(p.start, p.stop) for p in portions(["a" * 100, "", "b"], 25)] == [(0, 1), (1, 3)] and list(portions([], 25)) == []
     n, text, at, which = licenses.Words(["b", "été", "cc"]).find(["A b-CC".encode(), b"", "Été".encode(), "été cc".encode()])
     assert n.tolist() == [3, 0, 1, 2] and text.tolist() == [0, 0, 3, 3] and at.tolist() == [1, 2, 0, 1] and which.tolist() == [0, 2, 1, 2]
 

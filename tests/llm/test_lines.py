@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from cinderline.llm import lines
@@ -94,3 +95,14 @@ def test_large_group_of_near_copies(spark, monkeypatch, group):
         own = [w for w in base if rng.random() > 0.08] + [f"x{rng.randrange(40)}" for _ in range(rng.randrange(3))]
         docs.append((d, " ".join(own) + "\nfour words in common" + (f"\nfour words in common {d}" if d % 3 else "")))
     check(spark, spark.createDataFrame(docs, "doc_id long, text string").repartition(5))
+
+
+@pytest.mark.parametrize("cells", [50, 2000, 16_000_000])
+def test_common_words_of_a_large_group(monkeypatch, cells):
+    monkeypatch.setattr(lines, "_CELLS", cells)
+    rng = np.random.default_rng(3)
+    sets = [np.unique(np.concatenate([[40], rng.integers(0, 300, 12), rng.integers(38, 44, 2)])) for _ in range(90)]
+    got = list(lines._common_of_many(np.concatenate(sets), np.array([len(s) for s in sets]), 40))
+    a, b, common, here = (np.concatenate(x) for x in zip(*got))
+    want = {(i, j): (len(set(sets[i]) & set(sets[j])), min(set(sets[i]) & set(sets[j])) >= 40) for i in range(90) for j in range(i + 1, 90)}
+    assert dict(zip(zip(a.tolist(), b.tolist()), zip(common.tolist(), here.tolist()))) == want
