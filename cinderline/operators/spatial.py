@@ -149,9 +149,10 @@ def vertices(df: DataFrame, key: str, geom: str = "geom", attributes: Sequence[s
 
 
 def edges(df: DataFrame, key: str, geom: str = "geom") -> DataFrame:
+    """One row per edge; rings without a vertex have none."""
     return (
         df.select(key, F.posexplode(geom).alias("part", "__p"))
-        .select(key, "part", F.posexplode("__p").alias("ring", "__r"))
+        .select(key, "part", F.posexplode("__p").alias("ring", "__r")).where("size(__r) > 0")
         .select(key, "part", "ring", F.posexplode(F.expr(_steps("__r"))).alias("seq", "__e"))
         .select(key, "part", "ring", "seq", "__e.*")
     )
@@ -244,24 +245,13 @@ def cover(polys: DataFrame, key: str, size: float, x0: float = 0.0, y0: float =
     return spans.select(key, F.expr("explode(sequence(__r.lo, __r.hi)) as cx"), "cy")
 
 
-def overlay(a: DataFrame, a_key: str, b: DataFrame, b_key: str, size: float) -> DataFrame:
-    """Overlapping polygon pairs with the overlap area at cell resolution ``size``.
-
-    The area error is bounded by the cells on the overlap's border (perimeter times ``size``).
-    """
-    ca, cb = cover(a, a_key, size), cover(b, b_key, size)
-    return (
-        ca.join(cb, ["cx", "cy"]).groupBy(a_key, b_key)
-        .agg((F.count(F.lit(1)) * size * size).alias("area"))
-    )
-
-
 def dissolve(covers: DataFrame, keys: Sequence[str]) -> DataFrame:
     return covers.select(*keys, "cx", "cy").distinct()
 
 
-def clip_to_cover(df: DataFrame, mask: DataFrame) -> DataFrame:
-    return df.join(mask.select("cx", "cy"), ["cx", "cy"], "left_semi")
+def clip_to_cover(df: DataFrame, mask: DataFrame, *columns: str) -> DataFrame:
+    """Rows in cells of the mask; with ``columns`` of the mask, one row per cell and mask row."""
+    return df.join(mask.select("cx", "cy", *columns), ["cx", "cy"], "inner" if columns else "left_semi")
 
 
 def clip_to_box(df: DataFrame, xmin, ymin, xmax, ymax, x: str = "x", y: str = "y") -> DataFrame:
@@ -270,8 +260,8 @@ def clip_to_box(df: DataFrame, xmin, ymin, xmax, ymax, x: str = "x", y: str = "y
 
 # --- lines on a grid -------------------------------------------------------------------------------
 
-def split_on_grid(segs: DataFrame, size: float, x0: float = 0.0, y0: float = 0.0) -> DataFrame:
-    """Every segment cut at grid lines: input columns plus ``cx, cy, piece_m``."""
+def grid_pieces(segs: DataFrame, size: float, x0: float = 0.0, y0: float = 0.0) -> DataFrame:
+    """Every segment cut at grid lines: input columns plus ``cx, cy`` and the piece ``__p(a, b)`` as shares of the segment."""
     def crossings(a, b, o):
         lo, hi = (f"cast({f}(({g}({a}, {b}) - {o!r}D) / {size!r}D) as bigint)" for f, g in (("ceil", "least"), ("floor", "greatest")))
         # An ascending sequence is required even where the branch is not taken.
@@ -283,13 +273,15 @@ def split_on_grid(segs: DataFrame, size: float, x0: float = 0.0, y0: float = 0.0
     cell = lambda a, b, o: F.expr(f"cast(floor(({a} + (__p.a + __p.b) / 2 * ({b} - {a}) - {o!r}D) / {size!r}D) as bigint)")
     return (
         segs.withColumn("__t", F.expr(t)).withColumn("__p", F.expr(f"explode({pieces})"))
-        .withColumns({
-            "cx": cell("x1", "x2", x0), "cy": cell("y1", "y2", y0),
-            "piece_m": F.expr("(__p.b - __p.a) * hypot(x2 - x1, y2 - y1)"),
-        })
-        .where("piece_m > 0").drop("__t", "__p")
+        .withColumns({"cx": cell("x1", "x2", x0), "cy": cell("y1", "y2", y0)}).drop("__t")
     )
 
 
+def split_on_grid(segs: DataFrame, size: float, x0: float = 0.0, y0: float = 0.0) -> DataFrame:
+    """Every segment cut at grid lines: input columns plus ``cx, cy, piece_m``."""
+    pieces = grid_pieces(segs, size, x0, y0).withColumn("piece_m", F.expr("(__p.b - __p.a) * hypot(x2 - x1, y2 - y1)"))
+    return pieces.where("piece_m > 0").drop("__p")
+
+
 def line_km_per_cell(segs: DataFrame, size: float, x0: float = 0.0, y0: float = 0.0) -> DataFrame:
     return split_on_grid(segs, size, x0, y0).groupBy("cx", "cy").agg((F.sum("piece_m") / M_PER_KM).alias("km"))

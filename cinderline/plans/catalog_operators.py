@@ -13,9 +13,10 @@ from cinderline.operators import ranks as Q
 from cinderline.operators import spatial as S
 from cinderline.operators import trend as T
 from cinderline.operators.keys import join_keys, natural_left_join, semi_join
+from cinderline.operators.overlay import cover_area, overlay
 from cinderline.plans import oracle as O
 from cinderline.plans import studies as P
-from cinderline.plans.registry import ORACLES, query, rounded
+from cinderline.plans.registry import ORACLES, QUERIES, query, rounded
 from cinderline.sources import schemas
 from cinderline.sources import tables as I
 from cinderline.sources import views as V
@@ -61,11 +62,11 @@ _op("csv_write_and_scan", "daily", "select id, date, event_day, duration, pixels
 def raster_round_trip(spark, sf):
     path = _scratch(spark, "raster")
     I.write_raster(V.cells(spark, sf).select("cx", "cy", "home_density", "year"), path)
-    cells = I.read_raster(spark, path, _CELL).where("year = 2002")
+    cells = I.read_raster(spark, path, _CELL)
     return R.to_points(cells, 1000.0, 0.0, 0.0, "home_density").select("x", "y", "home_density")
 
 
-_op("raster_write_scan_to_points", "cells", "select (cx + 0.5e0) * 1000 as x, (cy + 0.5e0) * 1000 as y, home_density from cells where year = 2002", raster_round_trip)
+_op("raster_write_scan_to_points", "cells", "select (cx + 0.5e0) * 1000 as x, (cy + 0.5e0) * 1000 as y, home_density from cells", raster_round_trip)
 
 
 def build_once(spark, sf):
@@ -165,8 +166,8 @@ _op("formatted_labels", "fires", "select lc_name, concat('p = ', cast(cast(round
 
 _op("left_join_null_keys", "fires", """, m as (select lc_name, round(avg(duration), 6) as d from fires group by lc_name) select f.fire_id, d from fires f left join m on f.lc_name is not distinct from m.lc_name""",
     lambda spark, sf: rounded(join_keys(V.fires(spark, sf).select("fire_id", "lc_name"), V.fires(spark, sf).groupBy("lc_name").agg(F.avg("duration").alias("d")), ["lc_name"], "left").select("fire_id", "d")))
-_op("natural_left_join", "fires", """, m as (select l1_ecoregion, lc_name, max(duration) as d from fires where duration > 4 group by 1, 2) select f.fire_id, cast(d as double) as d from fires f left join m on f.lc_name is not distinct from m.lc_name and f.l1_ecoregion is not distinct from m.l1_ecoregion""",
-    lambda spark, sf: natural_left_join(V.fires(spark, sf).select("fire_id", "l1_ecoregion", "lc_name"), V.fires(spark, sf).where("duration > 4").groupBy("l1_ecoregion", "lc_name").agg(F.max("duration").alias("d"))).select("fire_id", c("d").cast("double").alias("d")))
+_op("natural_left_join", "fires", """, m as (select l1_ecoregion, lc_name, max(duration) as d from fires group by 1, 2) select f.fire_id, cast(d as double) as d from fires f left join m on f.lc_name is not distinct from m.lc_name and f.l1_ecoregion is not distinct from m.l1_ecoregion""",
+    lambda spark, sf: natural_left_join(V.fires(spark, sf).select("fire_id", "l1_ecoregion", "lc_name"), V.fires(spark, sf).groupBy("l1_ecoregion", "lc_name").agg(F.max("duration").alias("d"))).select("fire_id", c("d").cast("double").alias("d")))
 _op("point_to_grid_cell", "fires", "select cast(floor((x + 2300000) / 50000) as bigint) as cx, cast(floor((y + 2100000) / 50000) as bigint) as cy, count(*) as n from fires group by 1, 2",
     lambda spark, sf: S.with_cell(V.fires(spark, sf), 50000.0, -2300000.0, -2100000.0).groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n")))
 _op("point_in_polygon", "fires blocks", f"select fire_id, zone from fires join blocks on {V.IN_ZONE}",
@@ -175,22 +176,28 @@ _op("left_spatial_join", "fires blocks", f"select fire_id, coalesce(zone, -1) as
     lambda spark, sf: S.point_in_polygon(V.fires(spark, sf).select("fire_id", "x", "y"), V.zones(spark, sf), "zone", how="left").select("fire_id", F.coalesce("zone", F.lit(-1)).alias("zone")))
 _op("co_located_cells", "cells", "select a.cx, a.cy, a.year, a.home_density, b.road_density from cells a left join (select * from cells where road_density > 10) b using (cx, cy, year)",
     lambda spark, sf: V.cells(spark, sf).select("cx", "cy", "year", "home_density").join(V.cells(spark, sf).where("road_density > 10").select("cx", "cy", "year", "road_density"), ["cx", "cy", "year"], "left"))
-_op("polygon_overlay", "blocks", """, h as (select zone, us_l3name, na_l1name, holed, x0 + 230000 as x0, y0 + 140000 as y0 from blocks),
-g as (select ix, iy, -2300000e0 + (ix + 0.5e0) * 20000 as x, -2100000e0 + (iy + 0.5e0) * 20000 as y from range(0, 250) a(ix), range(0, 160) b(iy)),
-""" + f"""p as (select ix, iy, zone from g join blocks on {V.IN_ZONE}), q as (select ix, iy, zone as other from g join h on {V.IN_ZONE})
-select zone, other, count(*) * 400000000e0 as area from p join q using (ix, iy) group by 1, 2""",
-    lambda spark, sf: S.overlay(V.zones(spark, sf), "zone", V.zones(spark, sf).select(
-        c("zone").alias("other"), S.reproject("geom", lambda x, y: F.struct((x + 230000.0).alias("x"), (y + 140000.0).alias("y"))).alias("geom")), "other", 20000.0))
-_op("clip_to_mask", "cells blocks", f", g as (select cx, cy, (cx - 25 + 0.5e0) * 90000 as x, (cy - 20 + 0.5e0) * 90000 as y from cells) select cx, cy from g join blocks on {V.IN_ZONE} where cy < 40",
-    lambda spark, sf: S.clip_to_cover(V.cells(spark, sf).where("cy < 40").select((c("cx") - 25).alias("cx"), (c("cy") - 20).alias("cy")), S.cover(V.zones(spark, sf), "zone", 90000.0)).select((c("cx") + 25).alias("cx"), (c("cy") + 20).alias("cy")))
+_op("polygon_overlay", "blocks", f""", h as (select zone as other, holed, x0 + 230000 as x0, y0 + 140000 as y0 from blocks)
+select * from (select zone, other, round({V.zone_area('h.x0', 'h.y0', '920000', '580000', block='b.')}
+ - {V.zone_area('case when h.holed then h.x0 + 230000 else h.x0 + 690000 end', 'case when h.holed then h.y0 + 145000 else h.y0 + 435000 end', '230000', '145000', block='b.')}, 3) as area
+ from blocks b, h) where area > 0""",
+    lambda spark, sf: rounded(overlay(V.zones(spark, sf), "zone", V.zones(spark, sf).select(
+        c("zone").alias("other"), S.reproject("geom", lambda x, y: F.struct((x + 230000.0).alias("x"), (y + 140000.0).alias("y"))).alias("geom")), "other"), 3))
+_op("clip_to_mask", "cells blocks", f""", g as (select cx, cy, (cx - 25) * 90000e0 as x, (cy - 20) * 90000e0 as y from cells),
+t as (select cx, cy, {V.zone_area('x', 'y', '90000', '90000')} as a from g join blocks on x < x0 + 920000 and x + 90000 > x0 and y < y0 + 580000 and y + 90000 > y0 where a > 0)
+select cx, cy, round(sum(a) / 1e6, 6) as land_km2 from t group by 1, 2""",
+    lambda spark, sf: rounded(S.clip_to_cover(V.cells(spark, sf).select((c("cx") - 25).alias("cx"), (c("cy") - 20).alias("cy")), cover_area(V.zones(spark, sf), "zone", 90000.0), "area")
+        .groupBy((c("cx") + 25).alias("cx"), (c("cy") + 20).alias("cy")).agg((F.sum("area") / 1e6).alias("land_km2"))))
 _op("clip_to_box", "fires", "select fire_id, x, y from fires where x between -500000 and 700000 and y between -1000000 and 0",
     lambda spark, sf: S.clip_to_box(V.fires(spark, sf), -500000, -1000000, 700000, 0).select("fire_id", "x", "y"))
 _op("points_per_polygon", "fires blocks", f", hits as (select zone, count(*) as n from fires join blocks on {V.IN_ZONE} where max_growth_ha > 9000 group by zone) select zone, coalesce(n, 0) as n from blocks left join hits using (zone)",
     lambda spark, sf: S.count_in_polygons(V.zones(spark, sf), "zone", V.fires(spark, sf).where("max_growth_ha > 9000")).select("zone", "n"))
-_op("line_length_per_cell", "roads", """, h as (select *, cast(floor(y1 / 50000) as bigint) as cy, least(x1, x2) as a, greatest(x1, x2) as b from roads where y1 = y2 and x1 <> x2),
-p as (select cy, k as cx, (least(b, (k + 1) * 50000e0) - greatest(a, k * 50000e0)) / 1000 as km from (select *, unnest(range(cast(floor(a / 50000) as bigint), cast(floor(b / 50000) as bigint) + 1)) as k from h))
-select cx, cy, round(sum(km), 6) as km from p where km > 0 group by 1, 2""",
-    lambda spark, sf: rounded(S.line_km_per_cell(V.roads(spark, sf).where("y1 = y2"), 50000.0)))
+_op("line_length_per_cell", "roads", """, t as (select line_id, x1, y1, x2, y2, (unnest(range(cast(floor(least(x1, x2) / 50000) as bigint), cast(floor(greatest(x1, x2) / 50000) as bigint) + 2)) * 50000e0 - x1) / (x2 - x1) as s from roads where x1 <> x2
+ union select line_id, x1, y1, x2, y2, (unnest(range(cast(floor(least(y1, y2) / 50000) as bigint), cast(floor(greatest(y1, y2) / 50000) as bigint) + 2)) * 50000e0 - y1) / (y2 - y1) from roads where y1 <> y2
+ union select line_id, x1, y1, x2, y2, unnest([0e0, 1e0]) from roads),
+p as (select *, lead(s) over (partition by line_id order by s) as e from t where s between 0 and 1)
+select cast(floor((x1 + (s + e) / 2 * (x2 - x1)) / 50000) as bigint) as cx, cast(floor((y1 + (s + e) / 2 * (y2 - y1)) / 50000) as bigint) as cy,
+ round(sum((e - s) * sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) / 1000), 6) as km from p where e > s and (x1 <> x2 or y1 <> y2) group by 1, 2""",
+    lambda spark, sf: rounded(S.line_km_per_cell(V.roads(spark, sf), 50000.0)))
 _op("zonal_sum_grid", "cells", "select cast(floor(cx / 5) as bigint) as zx, cast(floor(cy / 5) as bigint) as zy, round(sum(home_density), 6) as homes from cells group by 1, 2",
     lambda spark, sf: rounded(R.zonal_sum(V.cells(spark, sf), [F.floor(c("cx") / 5).alias("zx"), F.floor(c("cy") / 5).alias("zy")], {"homes": "home_density"})))
 _op("zonal_sum_polygons", "cells blocks", f", g as (select *, (cx - 25 + 0.5e0) * 90000 as x, (cy - 20 + 0.5e0) * 90000 as y from cells) select zone, round(sum(home_density), 6) as homes from g join blocks on {V.IN_ZONE} group by zone",
@@ -264,12 +271,12 @@ _op("append_by_name", "", "select n_nationkey as k, n_name as name from nation u
 
 # --- statistics ---------------------------------------------------------------------------------------------------
 
-_op("theil_sen_slope", "fires", f""", y as (select us_l3name, ignition_year as x, fsr_ha_per_day as v from fires where duration > 4),
+_op("theil_sen_slope", "fires", f""", y as (select us_l3name, ignition_year as x, fsr_ha_per_day as v from fires),
 sl as (select a.us_l3name, (b.v - a.v) / (b.x - a.x) as s from y a join y b on a.us_l3name = b.us_l3name and a.x < b.x),
 {O.signed_rank('sl', 'us_l3name')}, m as (select us_l3name, median(s) as slope, count(*) as k from sl group by 1),
 r as (select us_l3name, median(v - slope * x) as intercept, count(*) as n from y join m using (us_l3name) group by 1)
 select us_l3name, r.n, k * 1e0 as n_slopes, round(slope, 6) as slope, round(intercept, 4) as intercept, v, round(z, 6) as z, round(p, 6) as p from m join r using (us_l3name) left join wx using (us_l3name)""",
-    lambda spark, sf: rounded(T.theil_sen(V.fires(spark, sf).where("duration > 4"), ["us_l3name"], "ignition_year", "fsr_ha_per_day").drop("p_error"), intercept=4))
+    lambda spark, sf: rounded(T.theil_sen(V.fires(spark, sf), ["us_l3name"], "ignition_year", "fsr_ha_per_day").drop("p_error"), intercept=4))
 _op("repeated_medians_slope", "fires", """, y as (select us_l3name, ignition_year as x, avg(fsr_ha_per_day) as v from fires group by 1, 2),
 p as (select a.us_l3name, a.x, median((b.v - a.v) / (b.x - a.x)) as s, median((b.x * a.v - a.x * b.v) / (b.x - a.x)) as t from y a join y b on a.us_l3name = b.us_l3name and a.x <> b.x group by 1, 2)
 select us_l3name, count(*) as n, round(median(s), 6) as slope, round(median(t), 4) as intercept from p group by 1""",
@@ -364,14 +371,21 @@ _op("cell_squares", "cells", "select cx, cy, 1000000e0 as area, cx * 1000e0 + 50
 _op("rasterize_polygons", "blocks", f", g as (select ix as cx, iy as cy, (ix + 0.5e0) * 50000 as x, (iy + 0.5e0) * 50000 as y from range(-60, 80) a(ix), range(-60, 60) b(iy)), z as (select zone, x0, y0, holed from blocks union all select zone, x0 + 200000, y0 + 100000, holed from blocks) select cx, cy, max(zone) as value from g join z as blocks on {V.IN_ZONE} group by 1, 2",
     lambda spark, sf: R.rasterize(V.zones(spark, sf).select(c("zone").alias("id"), "zone", c("zone").alias("ord"), "geom").unionByName(V.zones(spark, sf).select(
         (c("zone") + 100).alias("id"), "zone", c("zone").alias("ord"), S.reproject("geom", lambda x, y: F.struct((x + 200000.0).alias("x"), (y + 100000.0).alias("y"))).alias("geom"))), "id", "zone", "ord", 50000.0))
-_op("stack_layers", "cells", "select cx, cy, home_density as value, cast(year as int) as year from cells where year in (2001, 2003)",
-    lambda spark, sf: R.stack({y: V.cells(spark, sf).where(f"year = {y}").select("cx", "cy", c("home_density").alias("value")) for y in (2001, 2003)}))
+
+
+def _stack(spark, sf):
+    cells = V.cells(spark, sf)
+    years = sorted(r["year"] for r in cells.select("year").distinct().collect())  # one layer each
+    return R.stack({y: cells.where(f"year = {y}").select("cx", "cy", c("home_density").alias("value")) for y in years})
+
+
+_op("stack_layers", "cells", "select cx, cy, home_density as value, cast(year as int) as year from cells", _stack)
 
 
 def _regions_sql(diagonal):
     near = "abs(a.cx - b.cx) <= 1 and abs(a.cy - b.cy) <= 1" if diagonal else "abs(a.cx - b.cx) + abs(a.cy - b.cy) = 1"
     near_cells = "(-1, 0), (1, 0), (0, -1), (0, 1)" + (", (-1, -1), (-1, 1), (1, -1), (1, 1)" if diagonal else "")
-    return V.sql("cells", f""", k as (select cx, cy, landcover % 4 as v from cells where landcover < 14),
+    return V.sql("cells", f""", k as (select cx, cy, landcover % 4 as v from cells),
 adj as (select a.cx, a.cy, b.cx as bx, b.cy as by from k a, (values {near_cells}) d(dx, dy) join k b on b.cx = a.cx + dx and b.cy = a.cy + dy and b.v = a.v),
 reach as (select cx, cy, cx as rx, cy as ry from k union select adj.bx, adj.by, rx, ry from reach join adj using (cx, cy)),
 lab as (select cx, cy, min((rx, ry)) as r from reach group by 1, 2),
@@ -380,10 +394,10 @@ select struct_extract_at(r, 1) as rx, struct_extract_at(r, 2) as ry, any_value(v
  from lab join k using (cx, cy) left join sides using (r) group by r""")
 
 
-def _regions(connectivity, below=14):
+def _regions(connectivity):
     def run(spark, sf):
         cells = V.cells(spark, sf)
-        src = (cells if below is None else cells.where(c("landcover") < below)).select("cx", "cy", (c("landcover") % 4).alias("value"))
+        src = cells.select("cx", "cy", (c("landcover") % 4).alias("value"))
         f = R.region_features(R.raster_regions(src, connectivity, tile=16))
         half, shift = F.lit(1 << 30), F.lit(1 << 31)
         return f.select((F.floor(c("region") / shift) - half).cast("long").alias("rx"), (c("region") % shift - half).alias("ry"), "value", "n_cells", "boundary_edges")
@@ -394,36 +408,6 @@ query("raster_regions_4", _regions_sql(False))(_regions(4))
 query("raster_regions_8", _regions_sql(True))(_regions(8))
 
 
-# --- the same operators on whole tables -------------------------------------------------------------
-# The queries above whose SQL filters their table leave rows out; these read every row. SQL is given where it ends in
-# reasonable time on the whole table.
-
-def _whole(name, filter_, fn):
-    sql = ORACLES[name]
-    assert sql.count(filter_) == 1
-    query(f"{name}_all", sql.replace(filter_, ""))(fn)
-
-
-def _stack_all(spark, sf):
-    cells = V.cells(spark, sf)
-    years = sorted(r["year"] for r in cells.select("year").distinct().collect())  # one layer each
-    return R.stack({y: cells.where(f"year = {y}").select("cx", "cy", c("home_density").alias("value")) for y in years})
-
-
-def _raster_all(spark, sf):
-    path = _scratch(spark, "raster")
-    I.write_raster(V.cells(spark, sf).select("cx", "cy", "home_density", "year"), path)
-    return R.to_points(I.read_raster(spark, path, _CELL), 1000.0, 0.0, 0.0, "home_density").select("x", "y", "home_density")
-
-
-_whole("raster_write_scan_to_points", " where year = 2002", _raster_all)
-_whole("natural_left_join", " where duration > 4",
-       lambda spark, sf: natural_left_join(V.fires(spark, sf).select("fire_id", "l1_ecoregion", "lc_name"), V.fires(spark, sf).groupBy("l1_ecoregion", "lc_name").agg(F.max("duration").alias("d"))).select("fire_id", c("d").cast("double").alias("d")))
-_whole("clip_to_mask", " where cy < 40",
-       lambda spark, sf: S.clip_to_cover(V.cells(spark, sf).select((c("cx") - 25).alias("cx"), (c("cy") - 20).alias("cy")), S.cover(V.zones(spark, sf), "zone", 90000.0)).select((c("cx") + 25).alias("cx"), (c("cy") + 20).alias("cy")))
-_whole("theil_sen_slope", " where duration > 4",
-       lambda spark, sf: rounded(T.theil_sen(V.fires(spark, sf), ["us_l3name"], "ignition_year", "fsr_ha_per_day").drop("p_error"), intercept=4))
-_whole("stack_layers", " where year in (2001, 2003)", _stack_all)
-query("line_length_per_cell_all")(lambda spark, sf: rounded(S.line_km_per_cell(V.roads(spark, sf), 50000.0)))
-query("raster_regions_4_all")(_regions(4, None))
-query("raster_regions_8_all")(_regions(8, None))
+# Further names of the same whole-table queries.
+for _name in ("raster_write_scan_to_points", "natural_left_join", "clip_to_mask", "theil_sen_slope", "stack_layers", "line_length_per_cell", "raster_regions_4", "raster_regions_8"):
+    query(f"{_name}_all", ORACLES[_name])(QUERIES[_name])

@@ -25,17 +25,17 @@ CELL = 50000.0
 
 # --- grid maps -------------------------------------------------------------------------------
 
-_GRID = f"""grid as (select distinct g.* from (select 92 * iy + ix + 1 as cell_id, ix as cx, iy as cy,
- {X0}e0 + (ix + 0.5e0) * 50000 as x, {Y0}e0 + (iy + 0.5e0) * 50000 as y
- from range(0, 92) a(ix), range(0, 58) b(iy)) g join blocks on {V.IN_ZONE}),
-summ as (select g.cell_id, g.cx, g.cy, g.x, g.y, s.* exclude (cx, cy),
+_GRID = f"""grid as (select cell_id, cx, cy, x, y, round(sum(land) / 1e6, 6) as land_km2 from (select g.*, {V.zone_area('x - 25000', 'y - 25000', '50000', '50000')} as land
+ from (select 92 * iy + ix + 1 as cell_id, ix as cx, iy as cy, {X0}e0 + (ix + 0.5e0) * 50000 as x, {Y0}e0 + (iy + 0.5e0) * 50000 as y
+ from range(0, 92) a(ix), range(0, 58) b(iy)) g join blocks on x - 25000 < x0 + 920000 and x + 25000 > x0 and y - 25000 < y0 + 580000 and y + 25000 > y0) where land > 0 group by all),
+summ as (select g.*, s.* exclude (cx, cy),
  case when fsr_ha < 15 then '< 15' when fsr_ha < 40 then '15 - 40' when fsr_ha < 100 then '40 - 100' when fsr_ha < 400 then '100 - 400' when fsr_ha is not null then '> 400' end as class_fsr,
  case when freq <= 25 then '1 - 25' when freq < 100 then '25 - 100' when freq < 250 then '100 - 250' when freq < 500 then '250 - 500' else '> 500' end as class_freq,
  case when mean_max_growth < 100 then '< 100' when mean_max_growth < 200 then '100 - 200' when mean_max_growth < 500 then '200 - 500' when mean_max_growth < 2000 then '500 - 2000' when mean_max_growth is not null then '> 2000' end as class_max_fsr,
  case when max_max_growth < 200 then '< 200' when max_max_growth < 500 then '200 - 500' when max_max_growth < 2000 then '500 - 2,000' when max_max_growth < 10000 then '2,000 - 10,000' when max_max_growth is not null then '> 10,000' end as class_max_max_fsr
  from (select floor((x + 2300000) / 50000) as cx, floor((y + 2100000) / 50000) as cy, count(*) as freq,
   avg(fsr_ha_per_day) as fsr_ha, case when count(max_growth_ha) = count(*) then avg(max_growth_ha) end as mean_max_growth,
-  case when count(max_growth_ha) = count(*) then max(max_growth_ha) end as max_max_growth from fires group by 1, 2) s
+  case when count(max_growth_ha) = count(*) then max(max_growth_ha) end as max_max_growth from fires join blocks on {V.IN_ZONE} group by 1, 2) s
  join grid g on g.cx = s.cx and g.cy = s.cy)"""
 
 
@@ -44,7 +44,8 @@ def _grid(spark, sf):
 
 
 def _summary(spark, sf):
-    return P.cell_summary(V.fires(spark, sf), _grid(spark, sf), CELL, X0, Y0)
+    grid, zones = _grid(spark, sf), V.zones(spark, sf)
+    return P.cell_summary(P.land_points(V.fires(spark, sf), grid, zones, "zone", CELL, X0, Y0), grid, CELL, X0, Y0)
 
 
 @query("q08_cell_summary", V.sql("fires blocks", f", {_GRID} select * replace (round(fsr_ha, 8) as fsr_ha, round(mean_max_growth, 6) as mean_max_growth, round(max_max_growth, 6) as max_max_growth) from summ"))
@@ -227,28 +228,28 @@ def q17(spark, sf):
     return rounded(join_keys(regions, means.withColumnRenamed("l1_ecoregion", "na_l1name"), ["na_l1name"], "left"))
 
 
-_SQUARE_CELLS = """pieces as (select distinct {id} as id, cx, cy from (select *, unnest(range(cast(ceil((x - 50000) / 20000 - 0.5e0) as bigint), cast(ceil((x + 50000) / 20000 - 0.5e0) as bigint))) as cx from {src}) t,
- lateral (select unnest(range(cast(ceil((y - 50000) / 20000 - 0.5e0) as bigint), cast(ceil((y + 50000) / 20000 - 0.5e0) as bigint))) as cy)),
-zc as (select zone, us_l3name, cx, cy from (select cx, cy, (cx + 0.5e0) * 20000 as x, (cy + 0.5e0) * 20000 as y from range(-120, 120) a(cx), range(-110, 60) b(cy)) join blocks on """ + V.IN_ZONE + """),
-ov as (select id, zone, us_l3name, count(*) * 400000000e0 as area from pieces join zc using (cx, cy) group by 1, 2, 3)"""
+_SQUARES = "ov as (select * from (select fire_id as id, zone, blocks.us_l3name, " + V.zone_area("x - 50000", "y - 50000", "100000", "100000") + """ as area from {src}
+ join blocks on x - 50000 < x0 + 920000 and x + 50000 > x0 and y - 50000 < y0 + 580000 and y + 50000 > y0) where area > 0)"""
 
 
-@query("q17_level3_means", V.sql("fires blocks", ", " + _SQUARE_CELLS.format(id="fire_id", src="fires") + """ select ov.us_l3name, round(avg(fsr_ha_per_day), 6) as avg_fsr, round(avg(max_growth_ha), 6) as avg_max_growth, count(*) as n
+@query("q17_level3_means", V.sql("fires blocks", ", " + _SQUARES.format(src="fires") + """ select ov.us_l3name, round(avg(fsr_ha_per_day), 6) as avg_fsr, round(avg(max_growth_ha), 6) as avg_max_growth, count(*) as n
  from ov join fires on fire_id = id group by ov.us_l3name"""))
 def q17b(spark, sf):
     f = P.square_around(V.fires(spark, sf), 50000.0)
-    return rounded(P.region_means(f, "fire_id", V.zones(spark, sf), "zone", "us_l3name", 20000.0))
+    return rounded(P.region_means(f, "fire_id", V.zones(spark, sf), "zone", "us_l3name"))
 
 
-@query("q27_burned_area", V.sql("fires blocks", ", " + _SQUARE_CELLS.format(id="fire_id", src="fires where ignition_year >= 1998") + """ select fire_id, zone, cast(ignition_date as varchar) as discovery_date, ignition_year as discovery_year,
+@query("q27_burned_area", V.sql("fires blocks", ", " + _SQUARES.format(src="(select * from fires where ignition_year >= 1998)") + """ select fire_id, zone, cast(ignition_date as varchar) as discovery_date, ignition_year as discovery_year,
  day(ignition_date) as discovery_day, ignition_month as discovery_month, ignition_doy as discovery_doy,
- round(fsr_acres_per_day * 0.404686e0, 6) as mtbs_ba_ha, round(area * 0.0001e0, 6) as mtbs_ba_ecoreg_ha from ov join fires on fire_id = id"""))
+ case when -100 + degrees(atan2(x * sin(arc), rho * cos(radians(45)) * cos(arc) - y * sin(radians(45)) * sin(arc))) < -97 then 'West' else 'East' end as mtbs_region,
+ round(fsr_acres_per_day * 0.404686e0, 6) as mtbs_ba_ha, round(area * 0.0001e0, 6) as mtbs_ba_ecoreg_ha
+ from ov join (select *, 2 * asin(rho / (2 * 6370997e0)) as arc from (select *, sqrt(x * x + y * y) as rho from fires)) on fire_id = id"""))
 def q27(spark, sf):
     p = P.square_around(V.fires(spark, sf), 50000.0).select(
         "fire_id", F.col("ignition_year").alias("year"), F.col("ignition_month").alias("startmonth"), F.day("ignition_date").alias("startday"),
         F.col("fsr_acres_per_day").alias("acres"), "geom",
     )
-    b = P.burned_area(p, V.zones(spark, sf), "zone", 20000.0, 1998).drop("mtbs_region")
+    b = P.burned_area(p, V.zones(spark, sf), "zone", 1998)
     return rounded(b.withColumn("discovery_date", F.col("discovery_date").cast("string")))
 
 

@@ -9,6 +9,7 @@ from cinderline.functions import columns as C
 from cinderline.operators import cells as R
 from cinderline.operators import grouping as G
 from cinderline.operators import models as M
+from cinderline.operators import overlay as O
 from cinderline.operators import spatial as S
 from cinderline.operators import trend as T
 from cinderline.operators.keys import join_keys
@@ -19,9 +20,17 @@ METRICS = {"mean_fsr": "fsr_ha_per_day", "max_growth": "max_growth_ha", "duratio
 # --- fires on a grid --------------------------------------------------------------------------
 
 def land_cells(spark, polys: DataFrame, key: str, box: tuple[float, float, float, float], size: float) -> DataFrame:
-    """Numbered grid cells whose centre lies on one of the polygons."""
-    grid = S.fishnet(spark, *box, size)
-    return S.clip_to_cover(grid, S.dissolve(S.cover(polys, key, size, box[0], box[1]), []))
+    """Numbered grid cells that have some land, with their land area ``land_km2``. The polygons must not overlap."""
+    land = O.cover_area(polys, key, size, box[0], box[1]).groupBy("cx", "cy").agg((F.sum("area") / C.M2_PER_KM2).alias("land_km2"))
+    return S.fishnet(spark, *box, size).join(land, ["cx", "cy"])
+
+
+def land_points(points: DataFrame, grid: DataFrame, polys: DataFrame, key: str, size: float, x0: float, y0: float) -> DataFrame:
+    """The points on land. Only those in cells that are land in part are tested against the polygons."""
+    p = S.with_cell(points, size, x0, y0).join(grid.select("cx", "cy", "land_km2"), ["cx", "cy"])
+    whole = F.col("land_km2") >= size * size / C.M2_PER_KM2 * (1 - 1e-9)
+    border = S.point_in_polygon(p.where(~whole), polys, key, how="left_semi")
+    return p.where(whole).unionByName(border).select(*points.columns)
 
 
 def cell_summary(points: DataFrame, grid: DataFrame, size: float, x0: float, y0: float) -> DataFrame:
@@ -38,7 +47,7 @@ def cell_summary(points: DataFrame, grid: DataFrame, size: float, x0: float, y0:
 
 
 def all_cells(grid: DataFrame, summary: DataFrame) -> DataFrame:
-    return grid.join(summary.drop("cx", "cy", "x", "y"), "cell_id", "left")
+    return grid.join(summary.drop("cx", "cy", "x", "y", "land_km2"), "cell_id", "left")
 
 
 def extreme_share(every_cell: DataFrame, size_km: float) -> DataFrame:
@@ -136,20 +145,20 @@ def square_around(df: DataFrame, half: float, x: str = "x", y: str = "y") -> Dat
     return df.withColumn("geom", S.box_polygon(c(x) - half, c(y) - half, c(x) + half, c(y) + half))
 
 
-def region_means(events: DataFrame, event_key: str, zones: DataFrame, zone_key: str, name: str, size: float) -> DataFrame:
+def region_means(events: DataFrame, event_key: str, zones: DataFrame, zone_key: str, name: str) -> DataFrame:
     """Mean spread and growth of the events that overlap each region; an event counts in every region it touches."""
-    pairs = S.overlay(events.select(event_key, "geom"), event_key, zones, zone_key, size).select(event_key, zone_key)
+    pairs = O.overlay(events.select(event_key, "geom"), event_key, zones, zone_key).select(event_key, zone_key)
     hit = pairs.join(events.drop("geom", name), event_key).join(zones.select(zone_key, name), zone_key)
     return hit.groupBy(name).agg(F.avg("fsr_ha_per_day").alias("avg_fsr"), F.avg("max_growth_ha").alias("avg_max_growth"), F.count(F.lit(1)).alias("n"))
 
 
-def burned_area(perimeters: DataFrame, zones: DataFrame, zone_key: str, size: float, first_year: int = 2001) -> DataFrame:
+def burned_area(perimeters: DataFrame, zones: DataFrame, zone_key: str, first_year: int = 2001) -> DataFrame:
     """Perimeter by region pieces: discovery date parts, part of the country, and both area measures in hectares."""
     p = perimeters.where(F.col("year") >= first_year).withColumn("__d", C.date_of("year", "startmonth", "startday"))
     p = p.withColumns(C.date_parts("__d", "discovery")).withColumn("__c", S.centroid("geom"))
     lon = S.from_laea(F.col("__c.x"), F.col("__c.y")).getField("lon")
     p = p.withColumns({"mtbs_region": C.east_or_west(lon), "mtbs_ba_ha": F.col("acres") * C.HA_PER_ACRE})
-    pieces = S.overlay(p.select("fire_id", "geom"), "fire_id", zones, zone_key, size)
+    pieces = O.overlay(p.select("fire_id", "geom"), "fire_id", zones, zone_key)
     keep = ["fire_id", "discovery_date", "discovery_year", "discovery_day", "discovery_month", "discovery_doy", "mtbs_region", "mtbs_ba_ha"]
     return pieces.join(p.select(*keep), "fire_id").withColumn("mtbs_ba_ecoreg_ha", F.col("area") * C.HA_PER_M2).drop("area")
 

@@ -75,6 +75,18 @@ IN_ZONE = """(x >= x0 and x < x0 + 920000 and y >= y0 and y < y0 + 580000
  and not (not holed and x >= x0 + 690000 and y >= y0 + 435000))"""
 
 
+def _overlap(a, b):
+    side = lambda i: f"greatest(0e0, least(({a[i]}) + ({a[i + 2]}), ({b[i]}) + ({b[i + 2]})) - greatest({a[i]}, {b[i]}))"
+    return f"({side(0)} * {side(1)})"
+
+
+def zone_area(*box: str, block: str = "") -> str:
+    """SQL for the area that the rectangle ``x, y, width, height`` shares with a zone: with its block less its hole or notch."""
+    x0, y0, holed = (f"{block}{c}" for c in ("x0", "y0", "holed"))
+    cut = f"case when {holed} then {x0} + 230000 else {x0} + 690000 end", f"case when {holed} then {y0} + 145000 else {y0} + 435000 end", "230000", "145000"
+    return f"({_overlap(box, (x0, y0, '920000', '580000'))} - {_overlap(box, cut)})"
+
+
 def sql(views: str, body: str) -> str:
     """``WITH`` the named views, then ``body`` (which may itself start with further CTEs after a comma)."""
     head = "with recursive " + ",\n".join(_SQL[v] for v in views.split())

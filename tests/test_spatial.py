@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cinderline.operators import spatial as S
+from cinderline.operators.overlay import overlay
 from cinderline.sources import schemas
 
 
@@ -69,6 +70,6 @@ def test_projection_round_trip(spark):
 def test_no_cartesian_plans(spark, polys):
     pts = spark.range(100).select(F.col("id").cast("double").alias("x"), F.col("id").cast("double").alias("y"))
     segs = pts.select(F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + 3).alias("x2"), F.col("y").alias("y2"))
-    for df in (S.point_in_polygon(pts, polys, "k", how="left"), S.overlay(polys, "k", polys.withColumnRenamed("k", "j"), "j", 1.0), S.line_km_per_cell(segs, 2.0)):
+    for df in (S.point_in_polygon(pts, polys, "k", how="left"), overlay(polys, "k", polys.withColumnRenamed("k", "j"), "j", 1.0), S.line_km_per_cell(segs, 2.0)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
