@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cinderline.operators.spatial import edges, grid_pieces
+from cinderline.sources.tables import cut_lineage
 
 #: Edges of one layer that meet in one task; more of them in a tile are dealt over several, by polygon.
 _EDGES = 20_000
@@ -155,11 +156,10 @@ def _sides(pdf: pd.DataFrame):
 
 
 def _overlaps(tile: float, x0: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        right = x0 + (float(pdf["cx"].iloc[0]) + 1) * tile
-        left, other = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+    def run(left: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(other):
-            return pd.DataFrame({"a": pd.array([], "Int64"), "b": pd.array([], "Int64"), "area": pd.array([], float)})
+            return pd.DataFrame({"a": [], "b": [], "area": []})
+        right = x0 + (float(left["cx"].iloc[0]) + 1) * tile
         (an, af, ac, ae, abox), (bn, bf, bc, be, bbox) = _sides(left), _sides(other)
         out, held, size = [], [], 0
 
@@ -188,31 +188,31 @@ def _overlaps(tile: float, x0: float):
                 size = 0
         if held:
             flush()
-        return pd.concat(out) if out else pd.DataFrame({"a": pd.array([], "Int64"), "b": pd.array([], "Int64"), "area": pd.array([], float)})
+        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "area": []})
 
     return run
 
 
-def overlay(a: DataFrame, a_key: str, b: DataFrame, b_key: str, tile: float = 200000.0, share: float = 1e-12) -> DataFrame:
+def overlay(a: DataFrame, a_key: str, b: DataFrame, b_key: str, tile: float = 400000.0, share: float = 1e-12) -> DataFrame:
     """Pairs of polygons that overlap, with the exact area of the overlap (even-odd rule): ``a_key, b_key, area``.
 
     Both layers are cut by tiles, and a slab sweep adds up the overlap per tile. ``tile`` only deals out the work: take it a little larger than
     most polygons of the finer layer. Polygons of a crowded tile are dealt over several tasks by polygon, those of the other layer copied
-    to each. Keys must be integers and tell polygons apart. Polygons that only touch (up to rounding: ``share`` of a tile's area)
+    to each. Keys tell polygons apart; null ones take no part. Polygons that only touch (up to rounding: ``share`` of a tile's area)
     do not overlap.
     """
-    cut = lambda df, key, side: tile_pieces(df.where(F.col(key).isNotNull()), key, tile).select(
-        F.col(key).cast("long").alias("poly"), "cx", "cy", "x1", "y1", "x2", "y2", F.lit(side).alias("side")
+    cut = lambda df, key: cut_lineage(  # read twice
+        tile_pieces(df.where(F.col(key).isNotNull()), key, tile).select(F.col(key).alias("poly"), "cx", "cy", "x1", "y1", "x2", "y2")
     )
-    one, two = cut(a, a_key, 0), cut(b, b_key, 1)
+    one, two = cut(a, a_key), cut(b, b_key)
     parts = lambda df, n: df.groupBy("cx", "cy").agg(F.ceil(F.count(F.lit(1)) / _EDGES).cast("int").alias(n))
     tiles = parts(one, "na").join(parts(two, "nb"), ["cx", "cy"])  # tiles that both layers reach
     part = lambda n: F.pmod(F.xxhash64("poly"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = one.join(tiles, ["cx", "cy"]).withColumn("pa", part("na")).withColumn("pb", every("nb"))
-    right = two.join(tiles, ["cx", "cy"]).withColumn("pb", part("nb")).withColumn("pa", every("na"))
-    columns = ["cx", "cy", "pa", "pb", "side", "poly", "x1", "y1", "x2", "y2"]
-    found = left.select(*columns).unionByName(right.select(*columns)).groupBy("cx", "cy", "pa", "pb").applyInPandas(_overlaps(tile, 0.0), "a long, b long, area double")
-    kinds = {n: df.schema[n].dataType for df, n in ((a, a_key), (b, b_key))}
+    work = ["cx", "cy", "pa", "pb"]
+    left = one.join(tiles, ["cx", "cy"]).withColumn("pa", part("na")).withColumn("pb", every("nb")).drop("na", "nb")
+    right = two.join(tiles, ["cx", "cy"]).withColumn("pb", part("nb")).withColumn("pa", every("na")).drop("na", "nb")
+    kinds = [df.schema[n].dataType.simpleString() for df, n in ((a, a_key), (b, b_key))]
+    found = left.groupBy(*work).cogroup(right.groupBy(*work)).applyInPandas(_overlaps(tile, 0.0), f"a {kinds[0]}, b {kinds[1]}, area double")
     out = found.groupBy("a", "b").agg(F.sum("area").alias("area")).where(f"area > {share * tile * tile!r}D")
-    return out.select(F.col("a").cast(kinds[a_key]).alias(a_key), F.col("b").cast(kinds[b_key]).alias(b_key), "area")
+    return out.select(F.col("a").alias(a_key), F.col("b").alias(b_key), "area")

@@ -268,7 +268,10 @@ def grid_pieces(segs: DataFrame, size: float, x0: float = 0.0, y0: float = 0.0)
         ts = f"transform(sequence({lo}, greatest({lo}, {hi})), k -> try_divide({o!r}D + k * {size!r}D - {a}, {b} - {a}))"
         return f"case when {a} <> {b} and {hi} >= {lo} then {ts} else cast(array() as array<double>) end"
 
-    t = f"array_sort(array_distinct(filter(concat(array(0D, 1D), {crossings('x1', 'x2', x0)}, {crossings('y1', 'y2', y0)}), v -> v >= 0 and v <= 1)))"
+    at = lambda v, o: f"floor(({v} - {o!r}D) / {size!r}D)"
+    one_cell = " and ".join(f"{at(f'{c}1', o)} = {at(f'{c}2', o)}" for c, o in (("x", x0), ("y", y0)))
+    cuts = f"array_sort(array_distinct(filter(concat(array(0D, 1D), {crossings('x1', 'x2', x0)}, {crossings('y1', 'y2', y0)}), v -> v >= 0 and v <= 1)))"
+    t = f"case when {one_cell} then array(0D, 1D) else {cuts} end"
     pieces = "zip_with(slice(__t, 1, size(__t) - 1), slice(__t, 2, size(__t) - 1), (a, b) -> named_struct('a', a, 'b', b))"
     cell = lambda a, b, o: F.expr(f"cast(floor(({a} + (__p.a + __p.b) / 2 * ({b} - {a}) - {o!r}D) / {size!r}D) as bigint)")
     return (

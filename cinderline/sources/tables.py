@@ -5,6 +5,7 @@ error, and NaN becomes NULL once, on load.
 """
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,6 +97,12 @@ def use_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise an iteration's state on reliable storage, so a lost executor costs no recomputation."""
-    use_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise an iteration's state as a table on reliable storage, so a lost executor costs no recomputation.
+
+    A written table is computed once, where an eager ``checkpoint`` runs its plan a second time to write it.
+    """
+    spark = df.sparkSession
+    use_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
