@@ -43,10 +43,13 @@ def tile_pieces(polys: DataFrame, key: str, tile: float, x0: float = 0.0, y0: fl
     return pieces.unionByName(borders)
 
 
-def _oriented(polys: DataFrame, key: str, geom: str) -> DataFrame:
+#: Twice the signed area of a ring ``r``, positive where it runs counterclockwise.
+TURN = "aggregate(zip_with(r, concat(slice(r, 2, greatest(size(r) - 1, 0)), slice(r, 1, 1)), (a, b) -> (a.x - r[0].x) * (b.y - r[0].y) - (b.x - r[0].x) * (a.y - r[0].y)), 0D, (s, v) -> s + v)"
+
+
+def oriented(polys: DataFrame, key: str, geom: str) -> DataFrame:
     """Polygons whose rings run so that the inside lies to the left: first rings counterclockwise, holes clockwise."""
-    turn = "aggregate(zip_with(r, concat(slice(r, 2, greatest(size(r) - 1, 0)), slice(r, 1, 1)), (a, b) -> (a.x - r[0].x) * (b.y - r[0].y) - (b.x - r[0].x) * (a.y - r[0].y)), 0D, (s, v) -> s + v)"
-    ring = f"case when size(r) > 0 and ({turn} < 0) = (i = 0) then reverse(r) else r end"
+    ring = f"case when size(r) > 0 and ({TURN} < 0) = (i = 0) then reverse(r) else r end"
     return polys.select(key, F.expr(f"transform(`{geom}`, p -> transform(p, (r, i) -> {ring}))").alias("geom"))
 
 
@@ -57,7 +60,7 @@ def cover_area(polys: DataFrame, key: str, size: float, x0: float = 0.0, y0: flo
     where it is inside. Rings of one polygon must not overlap but for holes in their first ring.
     """
     right = f"({x0!r}D + (cx + 1) * {size!r}D)"
-    p = tile_pieces(_oriented(polys, key, geom), key, size, x0, y0)
+    p = tile_pieces(oriented(polys, key, geom), key, size, x0, y0)
     share = F.expr(f"case when border then (y2 - y1) * {size!r}D else (y1 - y2) * ({right} - (x1 + x2) / 2) end")
     return p.groupBy(key, "cx", "cy").agg(F.sum(share).alias("area")).where(f"area > {size * size * 1e-9!r}D")
 

@@ -239,6 +239,11 @@ _op("nest_and_unnest", "daily", "select id, event_day, pixels from daily",
     lambda spark, sf: G.unnest(G.nest(V.daily(spark, sf).select("id", "event_day", "pixels"), ["id"])))
 _op("dissolve_regions", "blocks", f", g as (select ix as cx, iy as cy, (ix + 0.5e0) * 50000 as x, (iy + 0.5e0) * 50000 as y from range(-50, 50) a(ix), range(-50, 30) b(iy)) select na_l1name, cx, cy from g join blocks on {V.IN_ZONE}",
     lambda spark, sf: S.dissolve(S.cover(V.zones(spark, sf), "zone", 50000.0).join(V.zones(spark, sf).select("zone", "na_l1name"), "zone"), ["na_l1name"]))
+_op("dissolve_polygons", "blocks", """, s as (select na_l1name, x0, y0, 920000e0 * 580000 - 230000e0 * 145000 as area, 3000000e0 + case when holed then 750000 else 0 end as border,
+ case when holed then 580000e0 else 435000e0 end as east, case when holed then 920000e0 else 690000e0 end as north from blocks),
+shared as (select a.na_l1name, sum(case when b.x0 > a.x0 then a.east else a.north end) as length from s a join s b on a.na_l1name = b.na_l1name and ((b.x0 = a.x0 + 920000 and b.y0 = a.y0) or (b.x0 = a.x0 and b.y0 = a.y0 + 580000)) group by 1)
+select na_l1name, round(sum(area) / 1e6, 6) as area_km2, round((sum(border) - 2 * coalesce(max(length), 0)) / 1000, 6) as border_km from s left join shared using (na_l1name) group by 1""",
+    lambda spark, sf: rounded(P.region_borders(V.zones(spark, sf), "na_l1name")))
 _op("yearly_statistics", "fires", """select l1_ecoregion, ignition_year as year, count(total_area_km2) as n, round(avg(total_area_km2), 6) as mean, round(stddev_samp(total_area_km2), 6) as sd, round(min(total_area_km2), 6) as min,
  round(median(total_area_km2), 6) as median, round(max(total_area_km2), 6) as max from fires where l1_ecoregion is not null group by 1, 2""",
     lambda spark, sf: rounded(G.yearly_stats(V.fires(spark, sf).withColumnRenamed("ignition_year", "year"), "l1_ecoregion", "total_area_km2")))

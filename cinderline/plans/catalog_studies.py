@@ -216,14 +216,17 @@ def q16(spark, sf):
 _TITLE = "array_to_string(list_transform(string_split(lower({0}), ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
 
 
-@query("q17_region_means", V.sql("fires blocks", f""", g as (select ix, iy, -2300000e0 + (ix + 0.5e0) * 20000 as x, -2100000e0 + (iy + 0.5e0) * 20000 as y from range(0, 230) a(ix), range(0, 145) b(iy)),
-area as (select na_l1name, count(*) as n_cells from g join blocks on {V.IN_ZONE} group by 1)
-select {_TITLE.format('na_l1name')} as na_l1name, n_cells, round(avg_fsr, 6) as avg_fsr, round(avg_max_growth, 6) as avg_max_growth from area left join
+# Blocks, holes and notches are whole squares of a 230 x 145 km net; what cannot be reached from outside belongs to a region without its holes.
+@query("q17_region_means", V.sql("fires blocks", f""", own as (select na_l1name, cast((x0 + 2300000) / 230000 as int) + i as cx, cast((y0 + 2100000) / 145000 as int) + j as cy
+ from blocks, range(0, 4) a(i), range(0, 4) b(j) where not (holed and i = 1 and j = 1) and not (not holed and i = 3 and j = 3)),
+free as (select na_l1name, cast(cx as int) as cx, cast(cy as int) as cy from (select distinct na_l1name from blocks), range(-1, 21) a(cx), range(-1, 21) b(cy) where (na_l1name, cx, cy) not in (select (na_l1name, cx, cy) from own)),
+outside as (select na_l1name, cx, cy from free where cx = -1 and cy = -1
+ union select free.na_l1name, free.cx, free.cy from outside o join free on free.na_l1name = o.na_l1name and abs(free.cx - o.cx) <= 1 and abs(free.cy - o.cy) <= 1),
+area as (select na_l1name, (22 * 22 - count(*)) * 33350e0 as area_km2 from outside group by 1)
+select {_TITLE.format('na_l1name')} as na_l1name, area_km2, round(avg_fsr, 6) as avg_fsr, round(avg_max_growth, 6) as avg_max_growth from area left join
  (select l1_ecoregion as na_l1name, avg(fsr_ha_per_day) as avg_fsr, avg(max_growth_ha) as avg_max_growth from fires group by 1) using (na_l1name)"""))
 def q17(spark, sf):
-    z = V.zones(spark, sf).withColumn("na_l1name", C.title_case("na_l1name"))
-    area = S.cover(z, "zone", 20000.0, X0, Y0).join(z.select("zone", "na_l1name"), "zone")
-    regions = S.dissolve(area, ["na_l1name"]).groupBy("na_l1name").agg(F.count(F.lit(1)).alias("n_cells"))
+    regions = P.region_outlines(V.zones(spark, sf), "na_l1name").drop("geom").withColumn("na_l1name", C.title_case("na_l1name"))
     means = PT.spread_by_region(V.fires(spark, sf), "l1_ecoregion").withColumn("l1_ecoregion", C.title_case("l1_ecoregion"))
     return rounded(join_keys(regions, means.withColumnRenamed("l1_ecoregion", "na_l1name"), ["na_l1name"], "left"))
 

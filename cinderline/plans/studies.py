@@ -12,7 +12,9 @@ from cinderline.operators import models as M
 from cinderline.operators import overlay as O
 from cinderline.operators import spatial as S
 from cinderline.operators import trend as T
+from cinderline.operators.dissolve import dissolve_polygons
 from cinderline.operators.keys import join_keys
+from cinderline.sources.tables import cut_lineage
 
 METRICS = {"mean_fsr": "fsr_ha_per_day", "max_growth": "max_growth_ha", "duration": "duration"}
 
@@ -145,6 +147,18 @@ def square_around(df: DataFrame, half: float, x: str = "x", y: str = "y") -> Dat
     return df.withColumn("geom", S.box_polygon(c(x) - half, c(y) - half, c(x) + half, c(y) + half))
 
 
+def region_outlines(regions: DataFrame, name: str) -> DataFrame:
+    """One polygon row per region name, put together from its parts and without holes, with its area ``area_km2``."""
+    return dissolve_polygons(regions, [name]).withColumn("geom", S.remove_holes("geom")).withColumn("area_km2", S.area("geom") / C.M2_PER_KM2)
+
+
+def region_borders(regions: DataFrame, name: str) -> DataFrame:
+    """Area and length of border, holes included, per region name."""
+    whole = cut_lineage(dissolve_polygons(regions, [name]))  # read twice
+    border = S.edges(whole, name).groupBy(name).agg((F.sum(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))) / C.M_PER_KM).alias("border_km"))
+    return join_keys(whole.select(name, (S.area("geom") / C.M2_PER_KM2).alias("area_km2")), border, [name], "inner")
+
+
 def region_means(events: DataFrame, event_key: str, zones: DataFrame, zone_key: str, name: str) -> DataFrame:
     """Mean spread and growth of the events that overlap each region; an event counts in every region it touches."""
     pairs = O.overlay(events.select(event_key, "geom"), event_key, zones, zone_key).select(event_key, zone_key)
