@@ -23,6 +23,8 @@ _KEPT: dict = {}
 _SPECIAL = "<|"
 #: Letters that lower-casing and composition leave as they are.
 _PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
+#: Plain letters and a run of ASCII marks but the apostrophe, which may begin a token with letters.
+_MARKED = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)").fullmatch
 
 
 def vocabulary() -> str:
@@ -37,7 +39,7 @@ class Encoder:
 
     The vocabulary splits at white space before anything else and lower-cases, so the ids of a text are those of its space
     or line separated chunks in order, and each distinct chunk needs encoding once. Letters and marks never share a
-    token, so a chunk of letters and a last full stop or comma is its two halves. Texts that may hold special tokens
+    token, so a chunk of letters and a last run of marks is its two halves. Texts that may hold special tokens
     are encoded whole.
     """
 
@@ -79,22 +81,24 @@ class Encoder:
         return [data[i:j] for i, j in zip([0, *ends], ends)]
 
     def _learn(self, chunks: set[str]) -> None:
-        plain, other, halves = set(), [], []
+        plain, other, halves = set(), set(), []
         for w in chunks:
             if _PLAIN(w):
                 plain.add(w)
-            elif w[-1] in ".," and _PLAIN(w[:-1]):
-                halves.append(w)
-                if w[:-1] not in self.known:
-                    plain.add(w[:-1])
+            elif parts := _MARKED(w):
+                word, marks = parts.groups()
+                halves.append((word, marks))
+                if word not in self.known:
+                    plain.add(word)
+                if marks not in self.known:
+                    other.add(marks)
             else:
-                other.append(w)
-        plain = list(plain)
-        for encode, words, many in ((self._encode_words, plain, 1000), (self._encode, other + [".", ","], 10_000)):
+                other.add(w)
+        for encode, words, many in ((self._encode_words, list(plain), 1000), (self._encode, list(other), 10_000)):
             for i in range(0, len(words), many):
                 part = words[i : i + many]
                 self.known.update(zip(part, encode(part)))
-        self.known.update((w, self.known[w[:-1]] + self.known[w[-1]]) for w in halves)
+        self.known.update((word + marks, self.known[word] + self.known[marks]) for word, marks in halves)
 
     def batch(self, texts: list[str]) -> list[bytes]:
         split = [None if _SPECIAL in t else t.encode("utf-8").lower().decode("utf-8").replace("\n", " ").split(" ") for t in texts]
