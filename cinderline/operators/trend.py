@@ -1,12 +1,10 @@
 """Robust trends: median of pairwise slopes, its signed-rank test, and repeated medians.
 
 Equal ``(x, y)`` points are merged first and carry a weight. A group with few distinct
-points is fitted inside one task. A larger group is cut into chunks of consecutive ``y``
-at one ``x``; a pair of chunks whose slopes all lie on one side of a threshold is counted
-from its bounds alone, and the others by binary search. No pair is ever written out: the
-median slope is found by narrowing a bracket with exact pair counts (after Dillencourt,
-Mount and Netanyahu 1992 and Matousek 1991), and the test statistic by exact counts at a ladder of
-slopes that is refined until the p-value is known to within ``p_tol``.
+points is fitted inside one task. In a larger group slopes are counted as inversions, see ``pairslopes``:
+the median slope is found by narrowing a bracket with exact counts (after Dillencourt, Mount and
+Netanyahu 1992 and Matousek 1991), and the test statistic by exact counts at a ladder of slopes that is
+refined until the p-value is known to within ``p_tol``. Neither needs ``x`` to take few values.
 """
 
 import math
@@ -14,18 +12,18 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cinderline.functions.tails import normal_two_sided, signed_rank_two_sided
 from cinderline.operators.keys import join_keys, spread
+from cinderline.operators.pairslopes import count_slopes, median_slopes, sample_slopes, slope_blocks
 from cinderline.operators.ranks import cumulative_counts
 from cinderline.sources.tables import cut_lineage
 
 DIRECT_POINTS = 4096
 CHUNK = 4096
-SALTS = 8
 GATHER = 1_000_000
 
 _FIT = T.StructType([
@@ -205,9 +203,9 @@ def trend_label(slope: str, p: str, missing: str | None = None, alpha: float = 0
 def _fit_large(pts: DataFrame, keys: Sequence[str], chunk: int, gather: int, p_tol: float) -> DataFrame:
     named = cut_lineage(pts.withColumn("__g", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})))
     back = named.groupBy("__g").agg(*[F.first(k).alias(k) for k in keys], F.sum("__w").cast("long").alias("n"))
-    tiles = _tiles(named, chunk)
-    slope = _select_median(tiles, gather)
-    resid = join_keys(named, slope.select("__g", "slope"), ["__g"], "inner").withColumn("__r", F.col("__y") - F.col("slope") * F.col("__x"))
+    blocks, groups = slope_blocks(named.select("__g", "__x", "__y", "__w"), chunk)
+    slope = cut_lineage(median_slopes(blocks, groups, gather))
+    resid = join_keys(named, slope.where("slope is not null").select("__g", "slope"), ["__g"], "inner").withColumn("__r", F.col("__y") - F.col("slope") * F.col("__x"))
     ranked = cumulative_counts(
         resid.groupBy("__g", F.col("__r").alias("value")).agg(F.sum("__w").cast("long").alias("n")), ["__g"]
     )
@@ -215,186 +213,16 @@ def _fit_large(pts: DataFrame, keys: Sequence[str], chunk: int, gather: int, p_t
     cut = ranked.where((F.floor(mid) <= F.col("cum")) & (F.ceil(mid) > F.col("cum") - F.col("n"))).groupBy("__g").agg(
         ((F.min("value") + F.max("value")) / 2).alias("intercept")
     )
-    test = _ladder_test(tiles, p_tol)
-    return back.join(slope, "__g").join(cut, "__g").join(test, "__g", "left").drop("__g")
+    test = _ladder_test(blocks, groups, p_tol)
+    return back.join(slope, "__g").join(cut, "__g", "left").join(test, "__g", "left").drop("__g").fillna(0.0, ["p_error"])
 
 
-def _tiles(pts: DataFrame, chunk: int) -> DataFrame:
-    """Pairs of chunks at two different x: slope bounds, weight, and both sorted arrays."""
-    pos = cumulative_counts(
-        pts.select("__g", "__x", F.col("__y").alias("value"), "__w", F.lit(1).alias("n")), ["__g", "__x"]
-    )
-    chunks = cut_lineage(
-        pos.groupBy("__g", "__x", F.floor((F.col("cum") - 1) / chunk).alias("c"))
-        .agg(F.sort_array(F.collect_list(F.struct("value", "__w"))).alias("a"))
-        .select("__g", "__x", F.col("a.value").alias("ys"), F.col("a.__w").alias("ws"),
-                (F.xxhash64("__x", "c") % SALTS).alias("__salt"))
-    )
-    side = lambda p: [F.col(c).alias(f"{p}_{c}") for c in ("__x", "ys", "ws")]
-    a = chunks.select("__g", "__salt", *side("a"))
-    b = chunks.select("__g", F.explode(F.sequence(F.lit(-SALTS + 1), F.lit(SALTS - 1))).alias("__salt"), *side("b"))
-    dx = F.col("b___x") - F.col("a___x")
-    bound = lambda i, j: F.try_divide(F.element_at("b_ys", i) - F.element_at("a_ys", j), dx)
-    return a.join(b, ["__g", "__salt"]).where(F.col("a___x") < F.col("b___x")).select(
-        "__g", dx.alias("dx"), bound(1, -1).alias("lo"), bound(-1, 1).alias("hi"), "a_ys", "a_ws", "b_ys", "b_ws"
-    )
-
-
-def _below(ya, yb, dx, t, strict):
-    """Per left point, how many right points give a slope < t (or <= t); the slope itself decides."""
-    ok = (lambda s: s < t) if strict else (lambda s: s <= t)
-    i = np.clip(np.searchsorted(yb, ya + t * dx), 0, len(yb))
-    while True:
-        more = (i < len(yb)) & ok((yb[np.minimum(i, len(yb) - 1)] - ya) / dx)
-        less = (i > 0) & ~ok((yb[np.maximum(i, 1) - 1] - ya) / dx)
-        if not (more.any() or less.any()):
-            return i
-        i = i + more.astype(np.int64) - (less & ~more).astype(np.int64)
-
-
-def _arrays(r):
-    return (np.asarray(r.a_ys), np.asarray(r.a_ws), np.asarray(r.b_ys), np.asarray(r.b_ws))
-
-
-def _count(tiles: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Exact weighted pair counts: ``__g, t, lt, le`` for every threshold in ``thresholds.ts``."""
-
-    def run(batches):
-        for pdf in batches:
-            out = {}
-            for r in pdf.itertuples(index=False):
-                ts = np.asarray(r.ts)
-                ya, wa, yb, wb = _arrays(r)
-                weight = wa.sum() * wb.sum()
-                lt, le = np.where(r.hi < ts, weight, 0.0), np.where(r.hi <= ts, weight, 0.0)
-                cum = np.concatenate(([0.0], np.cumsum(wb)))
-                for k in np.nonzero((r.lo <= ts) & (ts <= r.hi))[0]:
-                    lt[k] = (wa * cum[_below(ya, yb, r.dx, ts[k], True)]).sum()
-                    le[k] = (wa * cum[_below(ya, yb, r.dx, ts[k], False)]).sum()
-                old = out.get(r.g)
-                out[r.g] = (ts, lt, le) if old is None else (ts, old[1] + lt, old[2] + le)
-            for g, (ts, lt, le) in out.items():
-                yield pd.DataFrame({"__g": g, "t": ts, "lt": lt, "le": le})
-
-    j = tiles.join(thresholds, "__g").withColumnRenamed("__g", "g")
-    return j.mapInPandas(run, "__g string, t double, lt double, le double").groupBy("__g", "t").agg(
-        F.sum("lt").alias("lt"), F.sum("le").alias("le")
-    )
-
-
-def _sample(tiles: DataFrame, brackets: DataFrame, per_group: int, magnitude: bool = False) -> DataFrame:
-    """Some slopes inside each bracket ``(b_lo, b_hi]``, spread evenly; only used to place thresholds."""
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                ya, _, yb, _ = _arrays(r)
-                i0 = _below(ya, yb, r.dx, r.b_lo, False)
-                i1 = _below(ya, yb, r.dx, r.b_hi, False)
-                cum = np.cumsum(i1 - i0)
-                if cum[-1] <= 0:
-                    continue
-                take = max(1, min(int(cum[-1]), int(per_group * cum[-1] / max(1.0, r.left))))
-                at = np.linspace(0, cum[-1] - 1, take).astype(np.int64)
-                i = np.searchsorted(cum, at, side="right")
-                j = i0[i] + at - (cum[i] - (i1 - i0)[i])
-                s = (yb[j] - ya[i]) / r.dx
-                rows.append(pd.DataFrame({"__g": r.g, "q": r.q, "s": np.abs(s) if magnitude else s}))
-            if rows:
-                yield pd.concat(rows)
-
-    hit = tiles.join(brackets, "__g").where((F.col("hi") > F.col("b_lo")) & (F.col("lo") <= F.col("b_hi"))).withColumnRenamed("__g", "g")
-    return hit.mapInPandas(run, "__g string, q int, s double")
-
-
-def _totals(tiles: DataFrame) -> DataFrame:
-    w = lambda c: F.aggregate(c, F.lit(0.0), lambda acc, v: acc + v)
-    return tiles.groupBy("__g").agg(
-        F.sum(w("a_ws") * w("b_ws")).alias("total"),
-        F.sum(F.size("a_ys").cast("double") * F.size("b_ys")).alias("pairs"),
-    )
-
-
-def _select_median(tiles: DataFrame, gather: int, ways: int = 32) -> DataFrame:
-    """``__g, n_slopes, slope`` by narrowing brackets around the two central slopes."""
-    inf = float("inf")
-    q = F.explode(F.array(
-        F.struct(F.lit(0).alias("q"), F.floor((F.col("total") + 1) / 2).cast("double").alias("k")),
-        F.struct(F.lit(1).alias("q"), (F.floor(F.col("total") / 2) + 1).cast("double").alias("k")),
-    ))
-    totals = cut_lineage(_totals(tiles))
-    state = cut_lineage(totals.withColumn("__q", q).select(
-        "__g", "__q.q", "__q.k", F.lit(-inf).alias("b_lo"), F.lit(inf).alias("b_hi"),
-        F.lit(0.0).alias("le_lo"), F.col("total").alias("le_hi"), F.col("pairs").alias("left"), F.lit(None).cast("double").alias("value"),
-    ))
-    while True:
-        busy = state.where(F.col("value").isNull() & (F.col("left") > gather))
-        if busy.limit(1).count() == 0:
-            break
-        probs = [i / ways for i in range(1, ways)]
-        ts = _sample(tiles, busy.select("__g", "q", "b_lo", "b_hi", "left"), 4096).groupBy("__g", "q").agg(
-            F.percentile_approx("s", probs, 10000).alias("ts")
-        ).groupBy("__g").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ts")))).alias("ts"))
-        counts = cut_lineage(_count(tiles, cut_lineage(ts)))
-        c = state.join(counts, "__g", "left").where(F.col("value").isNull())
-        below, above = F.col("le") < F.col("k"), F.col("le") >= F.col("k")
-        moved = c.groupBy("__g", "q").agg(
-            F.max_by(F.struct("t", "le"), F.when(below, F.col("t"))).alias("d"),
-            F.min_by(F.struct("t", "le", "lt"), F.when(above, F.col("t"))).alias("u"),
-        )
-        nxt = state.join(moved, ["__g", "q"], "left")
-        found = F.when(F.col("u").isNotNull() & (F.col("u.lt") < F.col("k")) & (F.col("u.t") <= F.col("b_hi")), F.col("u.t"))
-        up = F.col("d").isNotNull() & (F.col("d.t") > F.col("b_lo"))
-        down = F.col("u").isNotNull() & (F.col("u.t") < F.col("b_hi"))
-        narrowed = nxt.select(
-            "__g", "q", "k",
-            F.when(up, F.col("d.t")).otherwise(F.col("b_lo")).alias("b_lo"),
-            F.when(down, F.col("u.t")).otherwise(F.col("b_hi")).alias("b_hi"),
-            F.when(up, F.col("d.le")).otherwise(F.col("le_lo")).alias("le_lo"),
-            F.when(down, F.col("u.le")).otherwise(F.col("le_hi")).alias("le_hi"),
-            F.coalesce("value", found).alias("value"),
-        )
-        # Weighted counts bound the distinct pairs left in the bracket.
-        state = cut_lineage(narrowed.withColumn("left", F.col("le_hi") - F.col("le_lo")))
-    inside = _gather(tiles, state.where(F.col("value").isNull()).select("__g", "q", "b_lo", "b_hi"))
-    run = Window.partitionBy("__g", "q").orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
-    picked = (
-        inside.groupBy("__g", "q", "s").agg(F.sum("w").alias("w"))
-        .join(state.select("__g", "q", "k", "le_lo"), ["__g", "q"])
-        .withColumn("cum", F.col("le_lo") + F.sum("w").over(run))
-        .where(F.col("cum") >= F.col("k")).groupBy("__g", "q").agg(F.min("s").alias("s"))
-    )
-    ends = state.join(picked, ["__g", "q"], "left").select("__g", "q", F.coalesce("value", "s").alias("s"))
-    lo, hi = (F.max(F.when(F.col("q") == i, F.col("s"))) for i in (0, 1))
-    return ends.groupBy("__g").agg((lo + (hi - lo) / 2).alias("slope")).join(totals.select("__g", F.col("total").alias("n_slopes")), "__g")
-
-
-def _gather(tiles: DataFrame, brackets: DataFrame) -> DataFrame:
-    """Slopes inside brackets already known to hold few pairs, merged by value."""
-
-    def run(batches):
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                ya, wa, yb, wb = _arrays(r)
-                i0, i1 = _below(ya, yb, r.dx, r.b_lo, False), _below(ya, yb, r.dx, r.b_hi, False)
-                n = i1 - i0
-                if n.sum() == 0:
-                    continue
-                i = np.repeat(np.arange(len(ya)), n)
-                j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(i0, n)
-                s, at = np.unique((yb[j] - ya[i]) / r.dx, return_inverse=True)
-                yield pd.DataFrame({"__g": r.g, "q": r.q, "s": s, "w": np.bincount(at, weights=wa[i] * wb[j])})
-
-    hit = tiles.join(brackets, "__g").where((F.col("hi") > F.col("b_lo")) & (F.col("lo") <= F.col("b_hi"))).withColumnRenamed("__g", "g")
-    return hit.mapInPandas(run, "__g string, q int, s double, w double")
+def _ladder_test(blocks: DataFrame, groups: DataFrame, p_tol: float, rungs: int = 16) -> DataFrame:
+    """``__g, v, z, p, p_error``: signed-rank statistic between proven bounds, refined until tight.
 
-
-def _ladder_test(tiles: DataFrame, p_tol: float, rungs: int = 256) -> DataFrame:
-    """``__g, v, z, p, p_error``: signed-rank statistic between proven bounds, refined until tight."""
-    totals = cut_lineage(_totals(tiles))
-    todo, done = totals.select("__g", "pairs"), None
-    inf = float("inf")
+    Should a refinement find no new rung among the sampled slopes, the bound reached is returned in ``p_error``.
+    """
+    todo, done = groups.where("total > 0").select("__g", F.lit(0).alias("had")), None
 
     def bounds(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
@@ -426,23 +254,32 @@ def _ladder_test(tiles: DataFrame, p_tol: float, rungs: int = 256) -> DataFrame:
                             columns=["__g", "v", "z", "p", "p_error"])
 
     while True:
-        b = todo.select("__g", F.lit(0).alias("q"), F.lit(-inf).alias("b_lo"), F.lit(inf).alias("b_hi"), F.col("pairs").alias("left"))
-        probs = [i / rungs for i in range(1, rungs)]
-        sampled = cut_lineage(_sample(tiles, b, rungs * 64, magnitude=True).where("s > 0"))
-        rung = F.percentile_approx("s", probs, rungs * 16)
-        # Even over all slopes, and even over distinct ones, so tied magnitudes soon become rungs.
-        mags = sampled.groupBy("__g").agg(rung.alias("r")).unionByName(
-            sampled.select("__g", "s").distinct().groupBy("__g").agg(rung.alias("r"))
-        ).groupBy("__g").agg(F.array_distinct(F.flatten(F.collect_list("r"))).alias("m"))
-        ts = todo.join(mags, "__g", "left").select(
-            "__g", F.array_sort(F.concat(F.array(F.lit(0.0)), F.coalesce("m", F.array().cast("array<double>")),
-                                         F.coalesce(F.transform("m", lambda v: -v), F.array().cast("array<double>")))).alias("ts")
-        )
-        counts = _count(tiles, cut_lineage(ts)).join(totals.select("__g", "total"), "__g")
-        est = cut_lineage(counts.groupBy("__g").applyInPandas(bounds, "__g string, v double, z double, p double, p_error double"))
-        tight = est.where(F.col("p_error") <= p_tol)
-        done = tight if done is None else done.unionByName(tight)
-        todo = cut_lineage(todo.join(tight.select("__g"), "__g", "left_anti"))
+        ladders = cut_lineage(todo.join(groups.select("__g", "sx", "sy"), "__g").groupBy("__g").applyInPandas(
+            _ladder(rungs), "__g string, had int, ts array<double>"
+        ))
+        counts = count_slopes(blocks, groups, ladders.select("__g", "ts")).join(groups.select("__g", "total"), "__g")
+        est = counts.groupBy("__g").applyInPandas(bounds, "__g string, v double, z double, p double, p_error double")
+        est = cut_lineage(est.join(ladders.select("__g", "had", F.size("ts").alias("has")), "__g"))
+        settled = est.where((F.col("p_error") <= p_tol) | (F.col("has") <= F.col("had")))
+        done = settled.drop("had", "has") if done is None else done.unionByName(settled.drop("had", "has"))
+        todo = cut_lineage(est.where((F.col("p_error") > p_tol) & (F.col("has") > F.col("had"))).select("__g", F.col("has").alias("had")))
         if todo.limit(1).count() == 0:
             return done
         rungs *= 8
+
+
+def _ladder(rungs: int):
+    """Zero and both signs of slope magnitudes: even over all sampled slopes, over distinct ones, and between these."""
+
+    def place(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = (np.asarray(pdf[c].iloc[0], float) if pdf[c].iloc[0] is not None else np.empty(0) for c in ("sx", "sy"))
+        mags = np.sort(np.abs(sample_slopes(x, y)))
+        mags = mags[mags > 0]
+        m = np.empty(0)
+        if len(mags):
+            even = lambda v: v[np.linspace(0, len(v) - 1, rungs + 1).astype(int)]
+            m = np.unique(np.concatenate((even(mags), even(np.unique(mags)))))
+            m = np.unique(np.concatenate((m, (m[1:] + m[:-1]) / 2)))
+        return pd.DataFrame({"__g": [pdf["__g"].iloc[0]], "had": [int(pdf["had"].iloc[0])], "ts": [np.concatenate((-m[::-1], [0.0], m))]})
+
+    return place

@@ -1,8 +1,10 @@
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
 import pytest
 
+from cinderline.operators import pairslopes as P
 from cinderline.operators import trend as T
 
 
@@ -51,6 +53,51 @@ def test_large_groups_agree_with_direct(spark, groups):
         assert abs(r.p - d.p) <= r.p_error + 1e-12 and r.p_error <= 1e-3
 
 
+def test_inversions_and_residuals_by_brute_force():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 3, 64, 100):
+        r, w = rng.permutation(n), rng.integers(1, 4, n).astype(float)
+        assert P.inversions(r, w) == sum(w[i] * w[j] for i in range(n) for j in range(i + 1, n) if r[j] < r[i])
+    x, y, t = rng.normal(2000, 10, 50), rng.normal(0, 1e-3, 50), 1 / 3
+    for a, b, hi, lo in zip(x, y, *P.residual(x, y, t)):
+        assert abs(Fraction(hi) + Fraction(lo) - (Fraction(b) - Fraction(t) * Fraction(a))) < 1e-28
+
+
+@pytest.mark.parametrize("kind", ["continuous", "ties", "years", "line", "repeats"])
+def test_slope_counts_by_brute_force(spark, kind):
+    rng = np.random.default_rng(7)
+    x, y = rng.normal(0, 1, 300), rng.normal(0, 1, 300)
+    if kind == "ties":
+        x, y = rng.integers(0, 12, 300).astype(float), rng.integers(0, 6, 300).astype(float)
+    elif kind == "years":
+        x = rng.integers(2001, 2005, 300).astype(float)
+    elif kind == "line":
+        y = np.arange(300.0) / 10
+        x = 2 * y
+    elif kind == "repeats":
+        x, y = np.repeat(x[:40], 7), np.repeat(y[:40], 7)
+    df = frame(spark, {"g": (x, y)})
+    blocks, groups = P.slope_blocks(T._points(df, ["g"], "x", "y").withColumnRenamed("g", "__g"), 16)
+    s = np.array([(b[1] - a[1]) / (b[0] - a[0]) for a, b in combinations(sorted(zip(x, y)), 2) if a[0] != b[0]])
+    ts = sorted({0.0, 1 / 3, -0.5, 0.5, 1e6, *np.quantile(s, [0.1, 0.5, 0.9]).tolist()})
+    plan = spark.createDataFrame([("g", ts)], "__g string, ts array<double>")
+    got = {r.t: (r["lt"], r["le"]) for r in P.count_slopes(blocks, groups, plan).collect()}
+    close = lambda t: abs(s - t) <= 1e-14 * abs(t)
+    assert got == {t: (((s < t) & ~close(t)).sum(), ((s <= t) | close(t)).sum()) for t in ts}
+
+
+@pytest.mark.parametrize("gather", [50, 10**6])
+def test_continuous_x_agrees_with_direct(spark, gather):
+    rng = np.random.default_rng(9)
+    x = rng.normal(0, 1, 400)
+    df = frame(spark, {"a": (x, x * 0.1 + rng.normal(0, 1, 400)), "b": (np.append(x, 1e6), np.append(rng.normal(0, 1, 400), 3.0)), "one_x": ([1] * 9, range(9))})
+    direct = {r.g: r for r in T.theil_sen(df, ["g"], "x", "y").collect()}
+    for r in T.theil_sen(df, ["g"], "x", "y", direct_points=5, chunk=32, gather=gather, p_tol=1e-2).collect():
+        d = direct[r.g]
+        assert (r.n, r.n_slopes, r.slope, r.intercept) == pytest.approx((d.n, d.n_slopes, d.slope, d.intercept))
+        assert d.p is None and r.p is None or abs(r.p - d.p) <= r.p_error + 1e-12 and r.p_error <= 1e-2
+
+
 def test_equivariance(spark, groups):
     x, y = groups["noise"]
     a, b = (T.theil_sen(frame(spark, {"g": (x, v)}), ["g"], "x", "y").first() for v in (y, 3 * y + 2 * x + 7))
