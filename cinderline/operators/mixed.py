@@ -3,19 +3,28 @@
 Spark reduces every level to six sums. The likelihood of a candidate covariance is itself a
 sum over levels; it is evaluated on the driver when a count shows that the levels are few, and as a
 Spark aggregate over the level table otherwise, so levels are never collected unchecked.
+
+Fixed effects are tested by t with the degrees of freedom of Satterthwaite (1946): the variance of an estimate is a function
+of the covariance parameters, whose own covariance is twice the inverse Hessian of the REML criterion. All
+derivatives are difference quotients of the same sums, one batch of candidates.
 """
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinderline.functions.tails import normal_two_sided
+from cinderline.functions.tails import student_two_sided
 from cinderline.operators.keys import join_keys
 from cinderline.sources.tables import cut_lineage
 
 SMALL_LEVELS = 10_000
-TOLERANCE = 1e-7
+TOLERANCE = 1e-10
+#: Steps of the difference quotients: this share of a parameter, or of 1 / sqrt(rows per level) if that is more.
+STEP = 0.01
+NEWTON_STEPS = 20
 _SUMS = ["n", "sx", "sxx", "sy", "sxy", "syy"]
 
 
@@ -69,9 +78,11 @@ def _solve(s: np.ndarray):
 
 
 def _evaluator(levels: DataFrame, q: int, small: int):
+    """How to evaluate candidates, and the step of their difference quotients."""
+    step = STEP / np.sqrt(levels.agg(F.avg("n")).first()[0])
     if levels.limit(small + 1).count() <= small:
         local = levels.select(*_SUMS).toPandas()
-        return lambda thetas: _criterion_sums(local, thetas, q), TOLERANCE
+        return lambda thetas: _criterion_sums(local, thetas, q), step
 
     def spread(thetas):
         def run(batches):
@@ -82,15 +93,51 @@ def _evaluator(levels: DataFrame, q: int, small: int):
         got = rows.groupBy("k").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(8)]).orderBy("k").collect()
         return np.array([[r[f"s{i}"] for i in range(8)] for r in got])
 
-    return spread, TOLERANCE
-
-
-def _search(evaluate, q: int, tol: float) -> np.ndarray:
-    """Compass search with shrinking steps; one batch of candidates per round."""
+    return spread, step
+
+
+def _quantities(s: np.ndarray) -> np.ndarray:
+    """Criterion, its log-determinants, residual sum of squares, unscaled covariance of the fixed effects (00, 01, 11)."""
+    reml, _, sigma2, xvx = _solve(s)
+    inv = np.linalg.inv(xvx)
+    return np.array([reml, s[0] + np.log(np.linalg.det(xvx)), sigma2 * (s[7] - 2), inv[0, 0], inv[0, 1], inv[1, 1]])
+
+
+def _derivatives(evaluate, theta: np.ndarray, step: float):
+    """Values, first and second derivatives of the quantities at ``theta``; fourth order along each parameter."""
+    d = len(theta)
+    h = np.maximum(step, STEP * np.abs(theta))
+    along = np.diag(h)
+    pairs = list(combinations(range(d), 2))
+    moves = [np.zeros(d)] + [k * along[j] for j in range(d) for k in (-2, -1, 1, 2)]
+    moves += [u * along[i] + v * along[j] for i, j in pairs for u, v in ((1, 1), (1, -1), (-1, 1), (-1, -1))]
+    f = np.array([_quantities(s) for s in evaluate(theta + np.array(moves))])
+    first, second = np.zeros((d, f.shape[1])), np.zeros((d, d, f.shape[1]))
+    for j in range(d):
+        far_below, below, above, far_above = f[1 + 4 * j : 5 + 4 * j]
+        first[j] = (8 * (above - below) - (far_above - far_below)) / (12 * h[j])
+        second[j, j] = (16 * (above + below) - (far_above + far_below) - 30 * f[0]) / (12 * h[j] ** 2)
+    for k, (i, j) in enumerate(pairs):
+        both, one, other, none = f[1 + 4 * d + 4 * k : 5 + 4 * d + 4 * k]
+        second[i, j] = second[j, i] = (both - one - other + none) / (4 * h[i] * h[j])
+    return f[0], first, second
+
+
+def _inverse(hessian: np.ndarray) -> np.ndarray:
+    """Inverse over the directions of positive curvature; a covariance on the border may leave others flat."""
+    diag = np.diag(hessian)
+    scale = np.where(diag > 0, 1 / np.sqrt(np.where(diag > 0, diag, 1.0)), 0.0)
+    w, u = np.linalg.eigh(hessian * scale[:, None] * scale)
+    u = (u * scale[:, None])[:, w > 1e-6]
+    return (u / w[w > 1e-6]) @ u.T
+
+
+def _search(evaluate, q: int, step: float) -> np.ndarray:
+    """Compass search with shrinking moves down to ``step``, then Newton steps; one batch of candidates per round."""
     moves = np.stack(np.meshgrid(*[[-1.0, 0.0, 1.0]] * (1 if q == 1 else 3), indexing="ij"), -1).reshape(-1, 1 if q == 1 else 3)
-    best, step = (np.array([0.5]) if q == 1 else np.array([0.5, 0.0, 0.5])), 0.25
-    while step > tol:
-        cand = best + step * moves
+    best, size = (np.array([0.5]) if q == 1 else np.array([0.5, 0.0, 0.5])), 0.25
+    while size > step:
+        cand = best + size * moves
         cand[:, 0] = np.abs(cand[:, 0])
         if q == 2:
             cand[:, 2] = np.abs(cand[:, 2])
@@ -98,30 +145,59 @@ def _search(evaluate, q: int, tol: float) -> np.ndarray:
         k = int(np.argmin(score))
         here = score[int(np.argmin(np.abs(cand - best).sum(1)))]
         if score[k] < here - 1e-12 * abs(here):
-            best, step = cand[k], step * 1.5
+            best, size = cand[k], size * 1.5
         else:
-            step /= 2
+            size /= 2
+    lowest, theta = np.inf, best
+    for _ in range(NEWTON_STEPS):
+        f, first, second = _derivatives(evaluate, theta, step)
+        if f[0] > lowest + 1e-12 * abs(lowest):
+            break
+        lowest, best = f[0], theta
+        move = _inverse(second[:, :, 0]) @ first[:, 0]
+        theta = theta - move
+        if np.abs(move).max() <= TOLERANCE:
+            return theta
     return best
 
 
+def _degrees(evaluate, theta: np.ndarray, step: float, sigma2: float, left: float, back: np.ndarray) -> list[float]:
+    """Degrees of freedom of each fixed effect: twice the squared variance over the variance of that variance."""
+    f, first, second = _derivatives(evaluate, theta, step)
+    d, sigma = len(theta), np.sqrt(sigma2)
+    hessian = np.empty((d + 1, d + 1))
+    hessian[:d, :d] = second[:, :, 1] + second[:, :, 2] / sigma2
+    hessian[:d, d] = hessian[d, :d] = -2 * first[:, 2] / sigma**3
+    hessian[d, d] = 4 * left / sigma2
+    inverse, out = _inverse(hessian), []
+    for w0, w1 in back:
+        weights = np.array([w0 * w0, 2 * w0 * w1, w1 * w1])
+        unscaled = f[3:] @ weights
+        slope = np.append(sigma2 * (first[:, 3:] @ weights), 2 * sigma * unscaled)
+        out.append(float((sigma2 * unscaled) ** 2 / (slope @ inverse @ slope)))
+    return out
+
+
 def mixed_model(df: DataFrame, group: str, x: str, y: str, random_slope: bool = False, small_levels: int = SMALL_LEVELS) -> dict[str, DataFrame]:
     """``y ~ x + (1 | group)``, or ``(x | group)`` with ``random_slope``.
 
-    Returns ``fixed`` (term, estimate, std_error, statistic, p_value; normal tail), ``variance``
+    Returns ``fixed`` (term, estimate, std_error, df, statistic, p_value; t with Satterthwaite's df), ``variance``
     (component, value) and ``levels`` (intercept and slope per level, fixed effect plus its deviation).
     """
     spark, q = df.sparkSession, 2 if random_slope else 1
     levels = cut_lineage(level_sums(df, group, x, y))
-    evaluate, tol = _evaluator(levels, q, small_levels)
-    theta = _search(evaluate, q, tol)
-    _, beta, sigma2, xvx = _solve(evaluate(theta[None, :])[0])
+    evaluate, step = _evaluator(levels, q, small_levels)
+    theta = _search(evaluate, q, step)
+    sums = evaluate(theta[None, :])[0]
+    _, beta, sigma2, xvx = _solve(sums)
     scale = levels.select("mx", "my", "sd").first()
     mx, my, sd = scale["mx"], scale["my"], scale["sd"]
     # Back to the original units: y = my + b0 + b1 * (x - mx) / sd.
     back = np.array([[1.0, -mx / sd], [0.0, 1.0 / sd]])
     est = back @ beta + np.array([my, 0.0])
     se = np.sqrt(np.diag(back @ (sigma2 * np.linalg.inv(xvx)) @ back.T))
-    fixed = [(t, float(e), float(s), float(e / s), normal_two_sided(e / s)) for t, e, s in zip(("(Intercept)", x), est, se)]
+    dfs = _degrees(evaluate, theta, step, sigma2, sums[7] - 2, back)
+    fixed = [(t, float(e), float(s), d, float(e / s), student_two_sided(float(e / s), d)) for t, e, s, d in zip(("(Intercept)", x), est, se, dfs)]
     lam = np.array([[theta[0], 0.0], [0.0, 0.0]]) if q == 1 else np.array([[theta[0], 0.0], [theta[1], theta[2]]])
     cov = sigma2 * back @ lam @ lam.T @ back.T
     parts = [("intercept", float(cov[0, 0])), ("residual", float(sigma2))]
@@ -140,7 +216,7 @@ def mixed_model(df: DataFrame, group: str, x: str, y: str, random_slope: bool =
 
     schema = f"`{group}` {levels.schema[group].dataType.simpleString()}, n long, intercept double, slope double"
     return {
-        "fixed": spark.createDataFrame(fixed, "term string, estimate double, std_error double, statistic double, p_value double"),
+        "fixed": spark.createDataFrame(fixed, "term string, estimate double, std_error double, df double, statistic double, p_value double"),
         "variance": spark.createDataFrame(parts, "component string, value double"),
         "levels": levels.select(group, *_SUMS).mapInPandas(blup, schema),
     }

@@ -347,27 +347,39 @@ def q21c(spark, sf):
     return g.select(F.concat(F.lit("Model w/o interaction explains "), pct, F.lit("% of Variation")).alias("label"), C.thousands("n").alias("n"))
 
 
-def _mixed(spark, sf, slope):
-    y, x = ("duration", "ignition_year") if slope else ("fsr_km2_per_day", "total_area_km2")
-    return X.mixed_model(V.fires(spark, sf), "us_l3name", x, y, random_slope=slope)
+_DIGITS = {"df": 0, "estimate": 6, "std_error": 6, "statistic": 3}
 
 
-@query("q21_mixed_intercept")
+def _mixed_sql(group, x, y, slope=False):
+    return V.sql("fires", ", " + O.reml_fit("fires", group, x, y, slope) + ", " + O.reml_tests(x, slope, _DIGITS))
+
+
+def _mixed(spark, sf, group, x, y, slope=False):
+    return rounded(X.mixed_model(V.fires(spark, sf), group, x, y, random_slope=slope)["fixed"], **_DIGITS)
+
+
+@query("q21_mixed_intercept", _mixed_sql("us_l3name", "total_area_km2", "fsr_km2_per_day"))
 def q21d(spark, sf):
-    return _mixed(spark, sf, False)["fixed"]
+    return _mixed(spark, sf, "us_l3name", "total_area_km2", "fsr_km2_per_day")
+
+
+@query("q21_mixed_landcover", _mixed_sql("lc_name", "total_area_km2", "fsr_km2_per_day"))
+def q21e(spark, sf):
+    return _mixed(spark, sf, "lc_name", "total_area_km2", "fsr_km2_per_day")
 
 
-@query("q15_mixed_slope")
+@query("q15_mixed_slope", _mixed_sql("us_l3name", "ignition_year", "duration", True))
 def q15e(spark, sf):
-    return _mixed(spark, sf, True)["fixed"]
+    return _mixed(spark, sf, "us_l3name", "ignition_year", "duration", True)
 
 
-@query("q15_mixed_predictions")
+@query("q15_mixed_predictions", V.sql("fires", ", " + O.reml_fit("fires", "l1_ecoregion", "ignition_year", "duration", True) + ", " + O.REML_LINES + """
+select distinct l1_ecoregion, ignition_year, round(c0 + c1 * (ignition_year - mx) / sd, 4) as predicted from fires left join lines on g = l1_ecoregion where l1_ecoregion is not null"""))
 def q15f(spark, sf):
     f = V.fires(spark, sf)
     m = X.mixed_model(f, "l1_ecoregion", "ignition_year", "duration", random_slope=True)
     rows = f.where("l1_ecoregion is not null").select("l1_ecoregion", "ignition_year").distinct()
-    return X.predict_mixed(rows, m, "l1_ecoregion", "ignition_year")
+    return rounded(X.predict_mixed(rows, m, "l1_ecoregion", "ignition_year"), 4)
 
 
 def _hist_sql(g, cond):

@@ -15,7 +15,7 @@ def query(name: str, oracle: str | None = None):
     return keep
 
 
-def rounded(df, digits: int = 6, **special):
+def rounded(df, digits: int = 6, /, **special):
     """Round every double, so both engines agree on values that differ only in summation order."""
     from pyspark.sql import functions as F
     from pyspark.sql import types as T

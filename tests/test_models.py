@@ -92,6 +92,64 @@ def test_mixed_predictions_shrink_towards_the_common_line(spark, data):
         assert abs(r.intercept - fixed["(Intercept)"]) <= abs(own[r.g].ybar - fixed["x"] * at - fixed["(Intercept)"]) + 1e-9
 
 
+def balanced(spark, levels, x_of):
+    rng = np.random.default_rng(3)
+    rows = []
+    for j in range(levels):
+        shift = rng.normal(0, 2)
+        rows += [(j, float(x_of(j, i)), float(1 + 0.3 * x_of(j, i) + shift + rng.normal())) for i in range(12)]
+    return spark.createDataFrame(rows, "g int, x double, y double")
+
+
+def test_degrees_of_freedom_of_balanced_designs(spark):
+    """There the analysis of variance gives them: within levels N - levels - 1, between levels levels - 2."""
+    within = X.mixed_model(balanced(spark, 9, lambda j, i: i - 5.5), "g", "x", "y")["fixed"].collect()
+    assert [r.df for r in within] == pytest.approx([8, 9 * 12 - 9 - 1], rel=1e-4)
+    between = X.mixed_model(balanced(spark, 9, lambda j, i: j - 4.0), "g", "x", "y")["fixed"].collect()
+    assert [r.df for r in between] == pytest.approx([7, 7], rel=1e-4)
+
+
+def test_levels_without_effect_leave_the_residual_degrees_of_freedom(spark):
+    rows = [(j, float(i), float(i + (-1) ** (i // 2 + i))) for j in range(6) for i in range(20)]
+    fixed = X.mixed_model(spark.createDataFrame(rows, "g int, x double, y double"), "g", "x", "y")["fixed"].collect()
+    assert [r.df for r in fixed] == pytest.approx([118, 118], rel=1e-4)
+
+
+@pytest.mark.parametrize("slope", [False, True])
+def test_degrees_of_freedom_against_the_dense_criterion(spark, data, slope):
+    """The covariance of the covariance parameters from second differences of the dense deviance."""
+    rows, df = data
+    _, g, x, y = design(rows)
+    levels = X.level_sums(df, "g", "x", "y")
+    evaluate, step = X._evaluator(levels, 2 if slope else 1, 10_000)
+    theta = X._search(evaluate, 2 if slope else 1, step)
+    z = (x - x.mean()) / x.std(ddof=1)
+    xm = np.column_stack([np.ones_like(x), z])
+
+    def dense(p):
+        lam = np.array([[p[0], 0], [p[1], p[2]]]) if slope else np.array([[p[0], 0], [0, 0]])
+        v = np.eye(len(y))
+        for k in set(g):
+            i = np.flatnonzero(g == k)
+            v[np.ix_(i, i)] += xm[i] @ lam @ lam.T @ xm[i].T
+        vi = np.linalg.inv(v * p[-1] ** 2)
+        a = xm.T @ vi @ xm
+        r = y - xm @ np.linalg.solve(a, xm.T @ vi @ y)
+        return np.linalg.slogdet(v * p[-1] ** 2)[1] + np.linalg.slogdet(a)[1] + r @ vi @ r, np.linalg.inv(a)
+
+    p = np.append(theta, np.sqrt(reml(theta, rows, slope)[1]))
+    h, n = 2e-3, len(p)
+    e = np.eye(n) * h
+    hess = np.array([[(dense(p + e[i] + e[j])[0] - dense(p + e[i] - e[j])[0] - dense(p - e[i] + e[j])[0] + dense(p - e[i] - e[j])[0]) / (4 * h * h)
+                      for j in range(n)] for i in range(n)])
+    back = np.array([[1.0, -x.mean() / x.std(ddof=1)], [0.0, 1 / x.std(ddof=1)]])
+    cov = lambda q: np.diag(back @ dense(q)[1] @ back.T)
+    grad = np.array([(cov(p + e[i]) - cov(p - e[i])) / (2 * h) for i in range(n)]).T
+    want = [2 * c * c / (d @ (2 * X._inverse(hess)) @ d) for c, d in zip(cov(p), grad)]
+    got = X.mixed_model(df, "g", "x", "y", slope)["fixed"].collect()
+    assert [r.df for r in got] == pytest.approx(want, rel=5e-3)
+
+
 def test_kruskal(spark):
     rows = [("a", "x", v) for v in (1.0, 2.0, 3.0)] + [("a", "y", v) for v in (4.0, 5.0, 6.0)]
     rows += [("tied", c, 1.0) for c in "xy"] + [("single", "x", 1.0), ("single", "x", 2.0)]
