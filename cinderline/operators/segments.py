@@ -10,29 +10,42 @@ from cinderline.operators.grouping import consecutive_rate
 from cinderline.operators.keys import spread
 
 
-def mean_shifts(y: np.ndarray, trim: float = 0.15) -> list[int]:
+#: Breaks and ends looked at together; a series needs memory for its length and this many numbers.
+CELLS = 200_000
+
+
+def mean_shifts(y: np.ndarray, trim: float = 0.15, cells: int = CELLS) -> list[int]:
     """Last positions (0-based) of all segments but the last.
 
     Least-squares partition by dynamic programming, every segment at least ``trim`` of the series, number of
-    breaks by BIC. Ties go to the earlier break and to fewer breaks.
+    breaks by BIC. Ties go to the earlier break and to fewer breaks. Costs come from running sums, for a few
+    segment ends at a time, so memory grows with the length and not with its square.
     """
     n = len(y)
     h = int(np.floor(trim * n))
     most = int(np.ceil(n / h)) - 2 if h >= 1 else 0
+    if most < 1:
+        return []
     s1, s2 = np.concatenate(([0.0], np.cumsum(y))), np.concatenate(([0.0], np.cumsum(y * y)))
-    i, j = np.meshgrid(np.arange(n), np.arange(n), indexing="ij")
-    length = np.where(j >= i, j - i + 1, 1)
-    cost = (s2[j + 1] - s2[i]) - (s1[j + 1] - s1[i]) ** 2 / length
-    cost = np.round(np.where(length >= h, np.maximum(cost, 0.0), np.inf), 6)
-    cost[j < i] = np.inf
-    best, backs, rss = cost[0], [], [cost[0, n - 1]]
+
+    def cost(i, j):
+        c = (s2[j + 1] - s2[i]) - (s1[j + 1] - s1[i]) ** 2 / np.maximum(j - i + 1, 1)
+        return np.round(np.maximum(c, 0.0), 6)
+
+    best = np.full(n, np.inf)
+    best[h - 1:] = cost(0, np.arange(h - 1, n))
+    backs, rss, width = [], [best[n - 1]], max(1, cells // n)
     for _ in range(most):
-        # Column j: previous segment ends at i, the next runs from i + 1 to j.
-        step = np.full((n, n), np.inf)
-        step[:-1] = best[:-1, None] + cost[1:]
-        step = np.round(step, 6)
-        backs.append(step.argmin(0))
-        best = step.min(0)
+        following, back = np.full(n, np.inf), np.zeros(n, np.int64)
+        for j in range(2 * h - 1, n, width):
+            # The segment before ends at i, the next runs from i + 1 to j.
+            j = np.arange(j, min(j + width, n))
+            i = np.arange(h - 1, j[-1] - h + 1)[:, None]
+            step = np.where(j - i >= h, np.round(best[i] + cost(i + 1, j), 6), np.inf)
+            back[j] = i[step.argmin(0), 0]
+            following[j] = step.min(0)
+        backs.append(back)
+        best = following
         rss.append(best[n - 1])
     with np.errstate(divide="ignore"):
         bic = [n * (np.log(r) + 1 - np.log(n) + np.log(2 * np.pi)) + np.log(n) * 2 * (m + 1) for m, r in enumerate(rss)]

@@ -1,3 +1,4 @@
+import tracemalloc
 from itertools import combinations
 
 import numpy as np
@@ -33,6 +34,21 @@ def test_mean_shifts_against_all_partitions():
     assert len(E.mean_shifts(y)) == int(np.argmin(bic))
 
 
+@pytest.mark.parametrize("n", [0, 1, 6, 7, 13, 14, 21, 60])
+def test_mean_shifts_do_not_depend_on_the_block(n):
+    rng = np.random.default_rng(n)
+    for y in (rng.normal(0, 1, n), rng.integers(0, 3, n).astype(float), np.repeat(rng.normal(0, 9, n // 7 + 1), 7)[:n]):
+        assert E.mean_shifts(y, cells=1) == E.mean_shifts(y, cells=150) == E.mean_shifts(y)
+
+
+def test_long_series_in_linear_memory():
+    y = np.random.default_rng(2).normal(0, 1, 6000) + 5 * (np.arange(6000) >= 2500)
+    tracemalloc.start()
+    assert E.mean_shifts(y) == [2499]
+    assert tracemalloc.get_traced_memory()[1] < 40e6
+    tracemalloc.stop()
+
+
 def test_constant_series_has_no_break():
     assert E.mean_shifts(np.full(25, 3.0)) == []
 
