@@ -195,6 +195,51 @@ def q15d(spark, sf):
     return P.event_modes(V.daily(spark, sf))
 
 
+def _days(spark, sf):
+    """Daily rows of the events over several years, with attributes that change from day to day."""
+    f = V.fires(spark, sf).where("l1_ecoregion is not null and lc_name is not null")
+    return f.join(V.table(spark, sf, "lineitem"), F.col("fire_id") == F.col("l_orderkey")).selectExpr(
+        "fire_id as id", "cast(date_add(ignition_date, 20 * cast(l_linenumber as int)) as string) as date", "cast(l_linenumber as int) as event_day",
+        "duration + cast(l_linenumber as int) % 2 as duration", "l1_ecoregion", "case when l_linenumber % 3 = 2 then '5-LOW' else lc_name end as lc_name",
+    )
+
+
+def _days_sql(group, cond, body):
+    modes = [f"""m{i} as (select id, arg_min(v, (-c, s)) as {c} from (select id, {e} as v, count(*) as c, min(event_day) as s from days group by 1, 2) group by id)"""
+             for i, (c, e) in enumerate((("duration", "duration"), ("year", "cast(substr(date, 1, 4) as int)"), ("g", group)))]
+    return V.sql("fires", f""", days as (select fire_id as id, cast(ignition_date + 20 * cast(l_linenumber as int) as varchar) as date, cast(l_linenumber as int) as event_day, duration + l_linenumber % 2 as duration,
+ l1_ecoregion, case when l_linenumber % 3 = 2 then '5-LOW' else lc_name end as lc_name from fires join lineitem on l_orderkey = fire_id where l1_ecoregion is not null and lc_name is not null),
+{", ".join(modes)}, yr as (select year, g, avg(duration) as m, stddev_samp(duration) as sd from m0 join m1 using (id) join m2 using (id) where duration is not null and {cond} group by 1, 2),
+sl as (select a.g, (b.m - a.m) / (b.year - a.year) as s from yr a join yr b on a.g = b.g and a.year < b.year),
+sm as (select g, median(s) as slope from sl group by g){body}""")
+
+
+def _days_trend_sql(group, cond):
+    return _days_sql(group, cond, f""", {O.signed_rank('sl', 'g')}
+select yr.g as {group}, round_even(any_value(slope), 3) as slope, round_even(any_value(wx.p), 5) as p, round(min(m), 6) as min_duration, round(max(m), 6) as max_duration from yr join sm using (g) left join wx using (g) group by yr.g""")
+
+
+UNBURNT = ("5-LOW", "4-NOT SPECIFIED")
+_BURNT = "g not in ('5-LOW', '4-NOT SPECIFIED')"
+
+
+@query("q15_event_duration_trend", _days_trend_sql("l1_ecoregion", "true"))
+def q15g(spark, sf):
+    return rounded(P.duration_trend_table(P.yearly_event_duration(_days(spark, sf), "l1_ecoregion"), "l1_ecoregion"))
+
+
+@query("q15_event_duration_trend_by_landcover", _days_trend_sql("lc_name", _BURNT))
+def q15h(spark, sf):
+    return rounded(P.duration_trend_table(P.yearly_event_duration(_days(spark, sf), "lc_name", UNBURNT), "lc_name"))
+
+
+@query("q15_event_duration_lines", _days_sql("lc_name", _BURNT, """,
+ic as (select g, any_value(slope) as slope, median(m - slope * year) as a from yr join sm using (g) group by g)
+select year, g as lc_name, round(m, 6) as duration_mean, round(sd, 6) as duration_sd, round(a + slope * year, 5) as fitted, round(m - (a + slope * year), 5) as resid from yr left join ic using (g)"""))
+def q15i(spark, sf):
+    return rounded(P.duration_lines(P.yearly_event_duration(_days(spark, sf), "lc_name", UNBURNT), "lc_name"), fitted=5, resid=5)
+
+
 _SPREAD = """, y0 as (select l1_eco, ignition_year as year, min(l1_ecoregion) as na_l1name, avg(fsr_acres_per_day) as mean_fsr from fires where l1_eco is not null group by 1, 2),
 y as (select na_l1name, year, mean_fsr, (year - avg(year) over ()) / stddev_samp(year) over () as cyear from y0)"""
 
@@ -317,15 +362,23 @@ def q20(spark, sf):
     return rounded(K.kruskal(f, ["l1_ecoregion"], "temp_bin", "ignition_doy"))
 
 
-@query("q20_season_density", V.sql("fires", f""", d as (select l1_ecoregion as g, {_DECADE} as temp_bin, ignition_doy as v from fires where l1_ecoregion is not null),
-s as (select g, temp_bin, count(*) as n, 0.9e0 * least(stddev_samp(v), (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.34e0) * power(count(*), -0.2e0) as h, min(v) as lo, max(v) as hi from d group by 1, 2),
+def _density_sql(by, expr, cond="true"):
+    return V.sql("fires", f""", d as (select l1_ecoregion as g, {expr} as {by}, ignition_doy as v from fires where l1_ecoregion is not null and {cond}),
+s as (select g, {by}, count(*) as n, 0.9e0 * least(stddev_samp(v), (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.34e0) * power(count(*), -0.2e0) as h, min(v) as lo, max(v) as hi from d group by 1, 2),
 x as (select *, lo - 3 * h + i * (hi - lo + 6 * h) / 63 as x from s, range(0, 64) r(i)),
-c as (select g, temp_bin, v, count(*) as w from d group by 1, 2, 3)
-select x.g as l1_ecoregion, x.temp_bin, cast(i as int) as i, round(x, 6) as x, round(sum(w * exp(-power((x - v) / h, 2) / 2)) / any_value(n * h * sqrt(2 * pi())), 9) as density
- from x join c on x.g = c.g and x.temp_bin = c.temp_bin group by 1, 2, 3, x.x"""))
+c as (select g, {by}, v, count(*) as w from d group by 1, 2, 3)
+select x.g as l1_ecoregion, x.{by}, cast(i as int) as i, round(x, 6) as x, round(sum(w * exp(-power((x - v) / h, 2) / 2)) / any_value(n * h * sqrt(2 * pi())), 9) as density
+ from x join c on x.g = c.g and x.{by} = c.{by} group by 1, 2, 3, x.x""")
+
+
+@query("q20_season_density_by_year", _density_sql("ignition_year", "ignition_year", "ignition_year <> 2001"))
+def q20c(spark, sf):
+    return rounded(P.season_density(V.fires(spark, sf), "ignition_year", 2001), density=9)
+
+
+@query("q20_season_density", _density_sql("temp_bin", _DECADE))
 def q20b(spark, sf):
-    f = V.fires(spark, sf).where("l1_ecoregion is not null").withColumn("temp_bin", C.decade("ignition_year", 1998))
-    return rounded(G.density(f, ["l1_ecoregion", "temp_bin"], "ignition_doy"), density=9)
+    return rounded(P.season_density(V.fires(spark, sf).withColumn("temp_bin", C.decade("ignition_year", 1998)), "temp_bin"), density=9)
 
 
 @query("q21_size_speed_models", V.sql("fires", ", t as (select * from fires where lc_name is not null), " + _glance_sql("t", [], "total_area_km2", "fsr_km2_per_day", "lc_name")))

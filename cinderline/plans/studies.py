@@ -112,6 +112,29 @@ def yearly_duration(events: DataFrame, group: str) -> DataFrame:
     return events.groupBy("year", group).agg(F.avg("duration").alias("duration_mean"), F.stddev_samp("duration").alias("duration_sd"))
 
 
+def yearly_event_duration(daily: DataFrame, group: str, dropped: Sequence[str] = ()) -> DataFrame:
+    """From daily rows to the yearly mean and spread of durations: event modes first, then groups without the ``dropped`` ones.
+
+    An event whose mode of ``group``, year or duration is missing takes no part.
+    """
+    events = event_modes(daily).where(F.col(group).isNotNull() & F.col("year").isNotNull() & F.col("duration").isNotNull())
+    return yearly_duration(events.where(C.all_different(group, dropped)) if dropped else events, group)
+
+
+def duration_lines(yearly: DataFrame, group: str) -> DataFrame:
+    """Yearly means beside the line through them (median of pairwise slopes) and their distance from it."""
+    fit = T.theil_sen(yearly, [group], "year", "duration_mean")
+    return M.predict(yearly, fit, [group], "year", "fitted").withColumn("resid", F.col("duration_mean") - F.col("fitted"))
+
+
+def season_density(events: DataFrame, by: str, last_year: int | None = None) -> DataFrame:
+    """Density of ignition days per region and ``by`` (a decade or a year), without a last, incomplete year."""
+    kept = events.where(F.col("l1_ecoregion").isNotNull())
+    if last_year is not None:
+        kept = kept.where(F.col("ignition_year") != last_year)
+    return G.density(kept, ["l1_ecoregion", by], "ignition_doy")
+
+
 def duration_trend_table(yearly: DataFrame, group: str) -> DataFrame:
     """Slope of the yearly mean with its p-value, and the smallest and largest yearly mean."""
     t = T.theil_sen(yearly, [group], "year", "duration_mean")

@@ -9,6 +9,8 @@ from cinderline.functions import columns as C
 from cinderline.operators import grouping as G
 
 DROPPED = ("Water Bodies", "Barren")
+#: Classes that the seasonal and duration studies leave out (fixed values).
+UNBURNABLE = ("Barren", "Water Bodies", "Permanent Wetlands", "Permanent Snow and Ice")
 LABELS = {"l1_ecoregion": "Coterminous US", "lc_name": "All Landcover Types"}
 
 
@@ -77,7 +79,7 @@ def growth_curves(daily: DataFrame, dropped=C.CURVE_EXCLUDED, max_day: int = 213
     )
 
 
-def season_stats(events: DataFrame, keys: Sequence[str], dropped=DROPPED, dropped_regions=("Northern Forests",)) -> DataFrame:
+def season_stats(events: DataFrame, keys: Sequence[str], dropped=UNBURNABLE, dropped_regions=("Northern Forests",)) -> DataFrame:
     """Per group: count, mean ignition month, season length (two sd of the date, in days) and growth."""
     kept = events.where(F.col("l1_ecoregion").isNotNull() & F.col("lc_name").isNotNull())
     t = G.with_medians(
