@@ -141,6 +141,18 @@ def q13(spark, sf):
     return rounded(P.cell_trends(V.fires(spark, sf), 250000.0, X0, Y0))
 
 
+_LAND100 = f"""grid as (select cell_id, cx, cy, round(sum(land) / 1e6, 6) as land_km2 from (select g.*, {V.zone_area('x - 50000', 'y - 50000', '100000', '100000')} as land
+ from (select 46 * iy + ix + 1 as cell_id, ix as cx, iy as cy, {X0}e0 + (ix + 0.5e0) * 100000 as x, {Y0}e0 + (iy + 0.5e0) * 100000 as y
+ from range(0, 46) a(ix), range(0, 29) b(iy)) g join blocks on x - 50000 < x0 + 920000 and x + 50000 > x0 and y - 50000 < y0 + 580000 and y + 50000 > y0) where land > 0 group by all)"""
+
+
+@query("q13_land_cell_trends", V.sql("fires blocks", _trend_cte(_CELL250.replace("250000", "100000") + f" from fires join blocks on {V.IN_ZONE}", ["cx", "cy"]) + f""", {_LAND100}
+ select cell_id, cx, cy, land_km2, coalesce(n, 0) as n, {_trend_cols(_cell_labels())} from grid left join wide using (cx, cy)"""))
+def q13c(spark, sf):
+    t = P.land_cell_trends(V.fires(spark, sf), V.zones(spark, sf), "zone", BOX, 100000.0)
+    return rounded(t.drop("x", "y"))
+
+
 @query("q13_cell_landcover_trends", V.sql("fires", _trend_cte(_CELL250.replace("250000", "500000") + ", lc_name from fires where lc_name is not null", ["cx", "cy", "lc_name"]) + f" select cx, cy, lc_name, n, {_trend_cols(_cell_labels())} from wide"))
 def q13b(spark, sf):
     f = V.fires(spark, sf).where("lc_name is not null")

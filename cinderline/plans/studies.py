@@ -94,6 +94,16 @@ def cell_trends(points: DataFrame, size: float, x0: float, y0: float, keys: Sequ
     return t.withColumns({f"{m}_class": label(m) for m in METRICS})
 
 
+def land_cell_trends(
+    points: DataFrame, polys: DataFrame, key: str, box: tuple[float, float, float, float], size: float, min_labelled: int = 20, **fit,
+) -> DataFrame:
+    """Every grid cell with land and the trends of the events on it; a cell without events has ``n`` 0 and no trend."""
+    x0, y0 = box[:2]
+    grid = land_cells(points.sparkSession, polys, key, box, size)
+    trends = cell_trends(land_points(points, grid, polys, key, size, x0, y0), size, x0, y0, min_labelled=min_labelled, **fit)
+    return join_keys(grid, trends, ["cx", "cy"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
 def zone_trends(points: DataFrame, zones: DataFrame, key: str, min_duration: int = 5, **fit) -> DataFrame:
     """Trends per region over events longer than ``min_duration`` days; regions without enough are kept."""
     hit = S.point_in_polygon(points.where(F.col("duration") > min_duration), zones, key)

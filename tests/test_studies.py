@@ -25,3 +25,14 @@ def test_durations_come_from_event_modes(spark):
 def test_density_without_the_last_year(spark):
     df = spark.createDataFrame([("A", y, float(d)) for y in (2001, 2002) for d in (1, 5, 9)] + [(None, 2001, 3.0)], "l1_ecoregion string, ignition_year int, ignition_doy double")
     assert {r.ignition_year for r in P.season_density(df, "ignition_year", 2002).collect()} == {2001}
+
+
+def test_land_cells_without_events_are_kept(spark):
+    ring = [(0.0, 0.0), (25.0, 0.0), (25.0, 10.0), (0.0, 10.0), (0.0, 0.0)]
+    land = spark.createDataFrame([(1, [[[{"x": x, "y": y} for x, y in ring]]])], "zone int, geom array<array<array<struct<x: double, y: double>>>>")
+    rows = [(5.0, 5.0, 2000 + i, float(i), 2.0 * i, 3) for i in range(12)] + [(28.0, 5.0, 2000, 1.0, 1.0, 1)]
+    points = spark.createDataFrame(rows, "x double, y double, ignition_year int, fsr_ha_per_day double, max_growth_ha double, duration int")
+    got = {(r.cx, r.cy): r for r in P.land_cell_trends(points, land, "zone", (0.0, 0.0, 40.0, 20.0), 10.0, min_labelled=12).collect()}
+    assert {k: r.n for k, r in got.items()} == {(0, 0): 12, (1, 0): 0, (2, 0): 0}
+    assert (got[0, 0].mean_fsr_trend, got[0, 0].max_growth_trend, got[0, 0].mean_fsr_class) == (1.0, 2.0, "Positive")
+    assert got[1, 0].mean_fsr_trend is None and got[2, 0].land_km2 == 50 / 1e6
