@@ -4,10 +4,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cinderline.operators.keys import join_keys
 from cinderline.operators.ranks import bracket_aggs, bracketed_quantiles, multi_quantiles, value_counts
+from cinderline.sources.tables import cut_lineage
 
 
 # --- reducers ---------------------------------------------------------------------------
@@ -88,14 +88,26 @@ def yearly_stats(df: DataFrame, group: str, var: str, year: str = "year") -> Dat
     ).select(*keys, "n", "mean", "sd", "min", "median", "max")
 
 
-def nest(df: DataFrame, keys: Sequence[str], name: str = "data") -> DataFrame:
-    """One row per group with its rows as an array, for groups known to be small."""
-    rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.collect_list(F.struct(*rest)).alias(name))
+BLOCK_BYTES = 64_000_000
+
+
+def nest(df: DataFrame, keys: Sequence[str], name: str = "data", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of each group as arrays, one per block; ``<name>_block`` counts a group's blocks from 0.
+
+    A group of up to ``block_bytes`` (as JSON text) is one block. A larger one is dealt evenly over as many blocks as it fills, so
+    no row and no task holds a whole large group. Rows have no order inside a block; missing keys form a group.
+    """
+    keys, rest = list(keys), [c for c in df.columns if c not in keys]
+    # Rows are numbered in a written table, so that a repeated task deals them the same way.
+    rows = cut_lineage(df.withColumn("__id", F.monotonically_increasing_id()))
+    size = F.sum(F.length(F.to_json(F.struct(*rest))).cast("long"))
+    blocks = rows.groupBy(*keys).agg(F.ceil(size / block_bytes).alias("__blocks"))
+    dealt = join_keys(rows, blocks, keys, "inner").withColumn(f"{name}_block", F.pmod(F.xxhash64("__id"), F.greatest("__blocks", F.lit(1))).cast("int"))
+    return dealt.groupBy(*keys, f"{name}_block").agg(F.collect_list(F.struct(*rest)).alias(name))
 
 
 def unnest(df: DataFrame, name: str = "data") -> DataFrame:
-    keep = [c for c in df.columns if c != name]
+    keep = [c for c in df.columns if c not in (name, f"{name}_block")]
     return df.select(*keep, F.inline(name))
 
 
@@ -127,30 +139,24 @@ def row_ordinal(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     return _ordinal(df, list(order), name)
 
 
-def _axis(df: DataFrame, key: str) -> Column:
-    """A number that sorts like the key: text by its first seven bytes."""
-    if not isinstance(df.schema[key].dataType, T.StringType):
-        return F.col(key)
-    head = F.rpad(F.hex(F.substring(F.encode(F.col(key), "utf-8"), 1, 7)), 14, "0")
-    return F.conv(head, 16, 10).cast("long")
+_PARTITION_BITS = 33
 
 
 def _ordinal(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
-    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    lead = _axis(df, order[0])
-    cuts = df.agg(F.percentile_approx(lead, [i / parts for i in range(1, parts)], 1000).alias("__cuts"))
-    b = (
-        df.crossJoin(F.broadcast(cuts)).withColumn("__x", lead)
-        .withColumn("__b", F.size(F.filter("__cuts", lambda c: c < F.col("__x")))).drop("__cuts", "__x")
-    )
-    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = b.groupBy("__b").agg(F.count(F.lit(1)).alias("__n")).select(
-        F.col("__b").alias("__ob"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off")
+    """Rows are range-partitioned over the whole order, sorted and numbered inside their partition, and written once.
+
+    Splitters come from Spark's sample of all columns of the order, so keys that begin alike still spread. Only the counts of
+    the partitions are cumulated in one task.
+    """
+    placed = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()))
+    part = F.shiftright("__id", _PARTITION_BITS)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n")).select(
+        "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before")
     )
-    local = F.row_number().over(Window.partitionBy("__b").orderBy(*order))
     return (
-        b.withColumn("__rn", local).join(F.broadcast(offsets), F.col("__b") == F.col("__ob"))
-        .withColumn(name, F.col("__rn") + F.col("__off")).drop("__b", "__ob", "__off", "__rn")
+        placed.withColumn("__part", part).join(F.broadcast(offsets), "__part")
+        .withColumn(name, F.col("__before") + F.col("__id") - F.shiftleft("__part", _PARTITION_BITS) + 1).drop("__part", "__id", "__before")
     )
 
 
