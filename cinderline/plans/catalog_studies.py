@@ -466,7 +466,25 @@ def q22b(spark, sf):
     return rounded(G.histogram(f, ["lc_name"], "max_growth_ha"))
 
 
-@query("q22_natural_breaks")
+def _breaks_sql(col, k):
+    """Least squares over all partitions of the distinct values: class by class, every value against every earlier one."""
+    cost = "a.f + (b.c2 - a.c2) - (b.c1 - a.c1) * (b.c1 - a.c1) / (b.c0 - a.c0)"
+    s = f""", v as (select cast({col} as double) as v, count(*) * 1e0 as w from fires where {col} is not null group by 1), mean as (select sum(w * v) / sum(w) as m from v),
+c as materialized (select v, row_number() over o as j, sum(w) over o as c0, sum(w * (v - m)) over o as c1, sum(w * (v - m) * (v - m)) over o as c2 from v, mean window o as (order by v)),
+f1 as (select *, c2 - c1 * c1 / c0 as f from c)"""
+    for i in range(2, k + 1):
+        last = " where b.j = (select max(j) from c)" if i == k else ""
+        s += f""", p{i} as materialized (select b.j, min({cost}) as f, arg_min(a.j, {cost}) as p from f{i - 1} a join c b on a.j < b.j{last} group by b.j),
+f{i} as (select c.*, f, p from p{i} join c using (j))"""
+    s += f", e{k} as (select max(j) as j from c)"
+    for i in range(k, 1, -1):
+        s += f", e{i - 1} as (select p as j from p{i} join e{i} using (j))"
+    s += ", ends as (select 0 as class, 0 as j union all " + " union all ".join(f"select {i}, j from e{i}" for i in range(1, k + 1)) + ")"
+    return s + """ select cast(b.class as int) as class, lo.v as lo, hi.v as hi, cast(hi.c0 - coalesce(prior.c0, 0) as bigint) as n
+from ends a join ends b on b.class = a.class + 1 join c lo on lo.j = a.j + 1 join c hi on hi.j = b.j left join c prior on prior.j = a.j"""
+
+
+@query("q22_natural_breaks", V.sql("fires", _breaks_sql("max_growth_ha", 5)))
 def q22c(spark, sf):
     return B.natural_breaks(V.fires(spark, sf), "max_growth_ha", 5)
 
