@@ -4,6 +4,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
+from cinderline.operators import columnslopes as S
 from cinderline.operators import pairslopes as P
 from cinderline.operators import trend as T
 
@@ -110,3 +111,39 @@ def test_repeated_medians_resist_an_outlier(spark):
     y[4] = 500
     r = T.repeated_medians(frame(spark, {"g": (x, y)}), ["g"], "x", "y").first()
     assert (r.slope, r.intercept) == pytest.approx((2.0, 1.0))
+
+
+@pytest.mark.parametrize("exact_slopes", [0, 10**6])
+def test_columns_of_years_agree_with_direct(spark, groups, exact_slopes, monkeypatch):
+    rng = np.random.default_rng(12)
+    years, v = rng.integers(2001, 2008, 300), np.round(rng.lognormal(0, 1, 300), 2)
+    z = lambda t: abs(T._fit_points(years[:60], v[:60] + t * years[:60], np.ones(60))[5])
+    near = min(np.linspace(-0.2, 0.2, 200), key=z)
+    cases = {k: groups[k] for k in ("noise", "ties", "up")} | {"repeats": (np.repeat(years, 3), np.repeat(v, 3)), "near": (years[:60], v[:60] + near * years[:60])}
+    df = frame(spark, cases)
+    direct = {r.g: r for r in T.theil_sen(df, ["g"], "x", "y").collect()}
+    for work in (T.TASK_SLOPES, 1500):  # 1500: the test runs in tasks by magnitudes
+        monkeypatch.setattr(T, "TASK_SLOPES", work)
+        monkeypatch.setattr(T, "TASKS", 8)
+        for r in T.theil_sen(df, ["g"], "x", "y", direct_points=8, exact_slopes=exact_slopes).collect():
+            d = direct[r.g]
+            assert (r.n, r.n_slopes, r.slope, r.intercept) == pytest.approx((d.n, d.n_slopes, d.slope, d.intercept), rel=1e-14)
+            assert abs(r.p - d.p) <= r.p_error + 1e-12 and r.p_error <= 1e-8
+            if exact_slopes:
+                assert (r.v, r.z, r.p, r.p_error) == pytest.approx((d.v, d.z, d.p, 0), rel=1e-12)
+
+
+def test_column_batches_by_brute_force():
+    rng = np.random.default_rng(4)
+    for y in (np.round(rng.lognormal(3, 1, 120), 2), rng.integers(-3, 4, 120).astype(float)):
+        x = rng.integers(1995, 2002, 120).astype(float)
+        (x, y), w = np.unique(np.stack([x, y]), axis=1, return_counts=True)
+        for w in (np.ones(len(x)), w.astype(float)):
+            cols, want = S.Columns(x, y, w), T._fit_points(x, y, w)
+            guide = np.sort(np.abs(cols.sample()))
+            for batch in (90, 1000, 10**6):
+                pos, _, cross, room, ties, _ = S.exact(cols, 0.0, np.inf, guide[guide > 0], batch)
+                assert (S.median(cols, batch), pos * (pos + 1) / 2 + cross, room) == pytest.approx((want[2], want[4], 0), rel=1e-14)
+            parts = [T._measure(cols, 40, i, 3) for i in range(3)]
+            cross, room = S.joined(parts)[2:4]
+            assert 0 <= want[4] - pos * (pos + 1) / 2 - cross <= room
