@@ -147,3 +147,39 @@ def test_column_batches_by_brute_force():
             parts = [T._measure(cols, 40, i, 3) for i in range(3)]
             cross, room = S.joined(parts)[2:4]
             assert 0 <= want[4] - pos * (pos + 1) / 2 - cross <= room
+
+
+@pytest.mark.parametrize("cells", [1, 2, 5, 64, 3000])
+def test_cells_bound_the_test_statistic(cells):
+    rng = np.random.default_rng(6)
+    for k in range(30):
+        x = rng.choice([0.0, 1.0, 1.5, 3.0, 7.25], 60)
+        y = np.round(rng.normal(0, 3, 60), k % 3)
+        (x, y), w = np.unique(np.stack([x, y]), axis=1, return_counts=True)
+        cols = S.Columns(x, y, w if k % 2 else np.ones(len(x)))
+        pos, neg, cross, _, ties, _ = S.exact(cols, 0.0, np.inf, np.sort(np.abs(cols.sample())))
+        up, down, sure, room, _, loose = S.blurred(cols, cells)
+        assert (up, down) == (pos, neg) and sure <= cross <= sure + room and ties <= loose
+
+
+def test_equal_magnitudes_of_both_signs():
+    rng = np.random.default_rng(8)
+    for digits in (0, 1, 9):
+        p, q = (np.round(np.abs(rng.normal(0, 2, n)), digits) + 0.5 for n in (40, 50))
+        u, d, cross, ties = S._crossings(p, None, -q, None)
+        _, size = np.unique(np.concatenate((p, q)), return_counts=True)
+        assert (u, d, ties) == (40, 50, (size**3 - size).sum())
+        assert cross == (p[:, None] > q).sum() + (p[:, None] == q).sum() / 2
+
+
+def test_clear_trends_are_settled_without_the_slopes(monkeypatch):
+    """What made tests of larger groups slow: thresholds looked up for every point, and all slopes listed."""
+    rng = np.random.default_rng(10)
+    x = rng.integers(2001, 2008, 3000).astype(float)
+    cols = S.Columns(x, rng.normal(0, 1, 3000) + 0.05 * x, np.ones(3000))
+    zero = np.zeros(1)
+    pos, neg = cols.total - float(cols.count(zero)[0]), float(cols.count(zero, strict=True)[0])
+    *_, exact_p, _, _ = T._judge(pos, neg, cols.total, T._measure(cols, 0), 0, 1e-6)
+    monkeypatch.setattr(T, "_measure", None)
+    _, _, p, p_error = T._by_cells(cols, pos, neg, 1e-6)
+    assert abs(p - exact_p) <= p_error <= 1e-8
