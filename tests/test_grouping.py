@@ -39,3 +39,21 @@ def test_row_numbers_follow_every_column_of_the_order(spark):
     assert [r[0] for r in got] == list(range(1, 1602)) and got[0][1:] == (0, 1, 1)
     assert [r[1:] for r in got[1:]] == sorted(r[1:] for r in got[1:])
     assert G.row_ordinal(df.limit(0), ["a"], "id").count() == 0
+
+
+@pytest.mark.parametrize("most", [10**6, 30, 41])
+@pytest.mark.parametrize("order", ["o", None])
+def test_modes_of_large_and_small_groups(spark, most, order, monkeypatch):
+    monkeypatch.setattr(G, "MODE_ROWS", most)  # groups of more rows are counted by value first
+    rows = [(k % 7 if k % 11 else None, "abc"[k * k % 3] if k % 5 else None, float(k % 4), k) for k in range(300)]
+    want = {}
+    for g in {r[0] for r in rows}:
+        for j in (1, 2):
+            seen = {}
+            for r in rows:
+                if r[0] == g:
+                    seen.setdefault(r[j], []).append(r[3])
+            first = min(seen.items(), key=lambda x: (-len(x[1]), min(x[1]) if order else 0, x[0] is None, x[0]))
+            want.setdefault(g, []).append(first[0])
+    df = spark.createDataFrame(rows, "g int, a string, b double, o int")
+    assert {r.g: [r.a, r.b] for r in G.group_mode(df, ["g"], ["a", "b"], order).collect()} == want
