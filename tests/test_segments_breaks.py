@@ -86,3 +86,17 @@ def test_natural_breaks_do_not_depend_on_the_limit(spark, seed):
         best = np.array([(best + cost[:, b]).min() for b in range(len(s) + 1)])
     got = sum(sse(s[(s >= r.lo) & (s <= r.hi)]) for r in small)
     assert got == pytest.approx(best[-1])
+
+
+def test_natural_breaks_read_their_input_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for pdf in batches:
+            read.add(len(pdf))
+            yield pdf
+
+    values = [(float(v),) for v in np.random.default_rng(2).lognormal(3, 1, 400)]
+    got = B.natural_breaks(spark.createDataFrame(values, "v double").mapInPandas(seen, "v double"), "v", 3, max_bins=40).collect()
+    assert len(got) == 3 and sum(r.n for r in got) == 400
+    assert read.value == 400
