@@ -196,3 +196,19 @@ def test_weighted_slopes_are_ranked_without_sorting_them_by_reference(monkeypatc
         with monkeypatch.context() as m:
             m.setattr(np, "unique", None)
             assert S._crossings(p, wp, -q, wq) == (wp.sum(), wq.sum(), above, (size**3 - size).sum())
+
+
+def test_trends_read_their_rows_once(spark):
+    """What made trends of joined points slow: the join ran for the counts, the groups with enough rows and the fits."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for pdf in batches:
+            read.add(len(pdf))
+            yield pdf
+
+    rng = np.random.default_rng(12)
+    rows = [("a", int(2001 + i % 7), float(v)) for i, v in enumerate(rng.normal(0, 1, 100))] + [(None, 2001, 1.0)] * 3
+    df = spark.createDataFrame(rows, "g string, x int, y double").mapInPandas(seen, "g string, x int, y double")
+    got = {r.g: r for r in T.metric_trends(df, ["g"], "x", {"m": "y"}).collect()}
+    assert read.value == 103 and got["a"].n == 100 and got["a"].m_trend is not None and got[None].n == 3 and got[None].m_trend is None
