@@ -207,9 +207,13 @@ def q15d(spark, sf):
     return P.event_modes(V.daily(spark, sf))
 
 
+#: Lines in a task of the joins below, so that its memory does not grow with the input.
+DAY_ROWS = 400_000
+
+
 def _days(spark, sf):
     """Daily rows of the events over several years, with attributes that change from day to day."""
-    f = V.fires(spark, sf).where("l1_ecoregion is not null and lc_name is not null")
+    f = V.fires(spark, sf, DAY_ROWS).where("l1_ecoregion is not null and lc_name is not null")
     return f.join(V.table(spark, sf, "lineitem"), F.col("fire_id") == F.col("l_orderkey")).selectExpr(
         "fire_id as id", "cast(date_add(ignition_date, 20 * cast(l_linenumber as int)) as string) as date", "cast(l_linenumber as int) as event_day",
         "duration + cast(l_linenumber as int) % 2 as duration", "l1_ecoregion", "case when l_linenumber % 3 = 2 then '5-LOW' else lc_name end as lc_name",
