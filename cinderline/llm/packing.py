@@ -6,7 +6,8 @@ import zlib
 from contextlib import contextmanager
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,7 +25,7 @@ _SPECIAL = "<|"
 #: Letters that lower-casing and composition leave as they are.
 _PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
 #: Plain letters and a run of ASCII marks but the apostrophe, which may begin a token with letters.
-_MARKED = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)").fullmatch
+_MARKED = r"\A(?P<word>[a-zß-öø-ÿ]+)(?P<marks>[!-&(-/:-@\[-`{-~]+)\z"
 
 
 def vocabulary() -> str:
@@ -39,15 +40,21 @@ class Encoder:
 
     The vocabulary splits at white space before anything else and lower-cases, so the ids of a text are those of its space
     or line separated chunks in order, and each distinct chunk needs encoding once. Letters and marks never share a
-    token, so a chunk of letters and a last run of marks is its two halves. Texts that may hold special tokens
+    token, so a chunk of letters and a last run of marks is its two halves, and only halves are kept. Texts that may hold special tokens
     are encoded whole.
     """
 
     def __init__(self, path: str | None):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path or vocabulary())
-        self.known: dict[str, bytes] = {"": b""}
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.tokenizer = self.plain = Tokenizer.from_file(path or vocabulary())
+        if path is None:
+            # Plain letters are normalized, and of the pattern only white space matters between them.
+            self.plain = Tokenizer.from_file(vocabulary())
+            self.plain.normalizer = normalizers.Sequence([])
+            letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), letters])
+        self.known: dict[str, bytes] = {}
         words = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(words.values()) + 1, bool)
         self.ends_word[[i for w, i in words.items() if w.endswith("</w>")]] = True
@@ -73,42 +80,51 @@ class Encoder:
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
         """Of words of plain letters: encoded in one text, taken apart where a token ends a word."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ids = np.array(self.plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         ends = np.flatnonzero(self.ends_word[ids]) + 1
         if len(ends) != len(words):
             return self._encode(words)
         data, ends = ids.tobytes(), (4 * ends).tolist()
         return [data[i:j] for i, j in zip([0, *ends], ends)]
 
-    def _learn(self, chunks: set[str]) -> None:
-        plain, other, halves = set(), set(), []
-        for w in chunks:
-            if _PLAIN(w):
-                plain.add(w)
-            elif parts := _MARKED(w):
-                word, marks = parts.groups()
-                halves.append((word, marks))
-                if word not in self.known:
-                    plain.add(word)
-                if marks not in self.known:
-                    other.add(marks)
-            else:
-                other.add(w)
-        for encode, words, many in ((self._encode_words, list(plain), 1000), (self._encode, list(other), 10_000)):
-            for i in range(0, len(words), many):
-                part = words[i : i + many]
+    def _learn(self, words: list[str]) -> None:
+        plain, other = [], []
+        for w in words:
+            (plain if _PLAIN(w) else other).append(w)
+        for encode, some, many in ((self._encode_words, plain, 1000), (self._encode, other, 10_000)):
+            for i in range(0, len(some), many):
+                part = some[i : i + many]
                 self.known.update(zip(part, encode(part)))
-        self.known.update((word + marks, self.known[word] + self.known[marks]) for word, marks in halves)
 
-    def batch(self, texts: list[str]) -> list[bytes]:
-        split = [None if _SPECIAL in t else t.encode("utf-8").lower().decode("utf-8").replace("\n", " ").split(" ") for t in texts]
-        unknown = set().union(*(c for c in split if c is not None)).difference(self.known)
-        if len(self.known) + len(unknown) > CACHED_WORDS:
-            self.known = {"": b""}
-            unknown = set().union(*(c for c in split if c is not None)).difference(self.known)
-        self._learn(unknown)
-        look = self.known.__getitem__
-        return [self._encode([t])[0] if c is None else b"".join(map(look, c)) for t, c in zip(texts, split)]
+    def _ids(self, words: pa.Array) -> pa.Array:
+        """Of each word; Python sees a distinct one once."""
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.known.get, distinct))
+        unknown = [w for w, ids in zip(distinct, found) if ids is None]
+        if unknown:
+            if len(self.known) + len(unknown) > CACHED_WORDS:
+                self.known, unknown = {}, distinct
+            self._learn(unknown)
+            found = list(map(self.known.__getitem__, distinct))
+        return pa.array(found, pa.large_binary()).take(coded.indices)
+
+    def batch(self, texts: pa.Array) -> list[memoryview]:
+        """Little-endian unsigned 32-bit ids of each text. Texts are taken apart and ids laid out by Arrow."""
+        special = pc.match_substring(texts, _SPECIAL)
+        lower = pc.ascii_lower(pc.if_else(special, pa.scalar("", texts.type), texts))
+        split = pc.split_pattern(pc.replace_substring(lower, "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        halves = pc.extract_regex(coded.dictionary, _MARKED)
+        word, marks = pc.coalesce(pc.struct_field(halves, "word"), coded.dictionary), pc.fill_null(pc.struct_field(halves, "marks"), "")
+        laid = pc.binary_join_element_wise(self._ids(word), self._ids(marks), pa.scalar(b"", pa.large_binary())).take(coded.indices)
+        _, offsets, data = laid.buffers()
+        ends = np.frombuffer(offsets, np.int64)[laid.offset :][split.offsets.to_numpy()].tolist()
+        data = memoryview(data or b"")
+        out = [data[i:j] for i, j in zip(ends, ends[1:])]
+        for i in np.flatnonzero(special.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = memoryview(self._encode([texts[i].as_py()])[0])
+        return out
 
 
 def cut_documents(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
@@ -119,21 +135,23 @@ def cut_documents(docs: DataFrame, capacity: int = CAPACITY, path: str | None =
     """
 
     def cut(batches):
+        end = np.array([END_ID], "<u4").tobytes()
         with Encoder.of(path) as encoder:
-            for pdf in batches:
-                texts = [t or "" for t in pdf["text"]]
-                for some in portions(texts, 1_000_000):
+            for batch in batches:
+                texts = pc.fill_null(batch["text"], "")
+                for some in portions([range(n) for n in pc.binary_length(texts).to_pylist()], 4_000_000):
                     rows = []
-                    for doc, data in zip(pdf["doc_id"].iloc[some], encoder.batch(texts[some])):
-                        data += np.array([END_ID], "<u4").tobytes()
+                    for row, ids in enumerate(encoder.batch(texts[some])):
+                        data = bytes(ids) + end
                         for k, i in enumerate(range(0, len(data), 4 * capacity)):
                             part = data[i : i + 4 * capacity]
-                            rows.append((doc, k, i // 4, len(part) // 4, zlib.crc32(part)))
-                    out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-                    out["doc_id"] = out["doc_id"].astype("Int64")
-                    yield out
+                            rows.append((row, k, i // 4, len(part) // 4, zlib.crc32(part)))
+                    row, piece, *more = zip(*rows)
+                    doc = batch["doc_id"][some].take(pa.array(row)).cast(pa.int64())
+                    yield pa.record_batch([doc, pa.array(piece, pa.int32()), *(pa.array(c, pa.int64()) for c in more)], names=names)
 
-    return docs.select("doc_id", "text").mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 _CLASSES = T.StructType([T.StructField(c, T.LongType()) for c in ("kind", "size", "part", "before")])

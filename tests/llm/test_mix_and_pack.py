@@ -3,6 +3,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cinderline.llm import mixing, packing
@@ -118,6 +119,30 @@ def test_packing_odd_rows(spark, odd, none):
     assert rows_of(packing.pack_documents(none)) == []
 
 
+def test_encoder_looks_up_distinct_words_only():
+    class Counted(dict):
+        looked = 0
+
+        def get(self, *key):
+            self.looked += 1
+            return super().get(*key)
+
+        def __getitem__(self, key):
+            self.looked += 1
+            return super().__getitem__(key)
+
+    rng = random.Random(1)
+    letters = [*"abßéZ'’!?,.<|-\u0301\n\t\x1c\u00a0 09Σ中", "<|endoftext|>", "'ll", "Word,", " the "]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(30))) for _ in range(500)]
+    encoder = packing.Encoder(None)
+    got = [np.frombuffer(ids, "<u4").tolist() for ids in encoder.batch(pa.array(texts))]
+    assert got == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    encoder.known = Counted(encoder.known)
+    ids = encoder.batch(pa.array(["The cat, the\ndog."] * 1000))
+    assert len(set(map(bytes, ids))) == 1 and len(ids) == 1000
+    assert encoder.known.looked < 20
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_best_fit_bins(spark, seed, monkeypatch):
     rng = random.Random(seed)
