@@ -212,3 +212,40 @@ def test_trends_read_their_rows_once(spark):
     df = spark.createDataFrame(rows, "g string, x int, y double").mapInPandas(seen, "g string, x int, y double")
     got = {r.g: r for r in T.metric_trends(df, ["g"], "x", {"m": "y"}).collect()}
     assert read.value == 103 and got["a"].n == 100 and got["a"].m_trend is not None and got[None].n == 3 and got[None].m_trend is None
+
+
+def test_larger_groups_have_the_exact_test_too(spark):
+    """What made results change with the input's size: beyond 40 million pairs the statistic was the middle of bounds."""
+    n, up = 6400, 500.5
+    rows = spark.range(2 * n).selectExpr("'g' as g", "cast(id % 2 as double) as x", f"floor(id / 2) + if(id % 2 = 1, {up}, 0) as y")
+    r = T.theil_sen(rows, ["g"], "x", "y").first()
+    slopes, count = np.arange(1 - n, n) + up, n - np.abs(np.arange(1 - n, n))
+    mag, at = np.unique(np.abs(slopes), return_inverse=True)
+    size = np.bincount(at, count).astype(int)
+    rank = np.cumsum(size) - size + (size + 1) / 2
+    v = sum(int(2 * rank[a]) * int(c) for a, c, s in zip(at, count, slopes) if s > 0) / 2
+    assert (r.n_slopes, r.slope, r.v, r.p_error) == (n * n, up, v, 0)
+    assert r.z == pytest.approx(T.signed_rank_z(v, n * n, float((size**3 - size).sum())), rel=1e-12)
+
+
+def test_packed_weights_are_ranked_as_by_reference(monkeypatch):
+    """What made the exact test of weighted groups slow: weights were fetched by position after the sort."""
+    rng = np.random.default_rng(13)
+    monkeypatch.setattr(S, "PIECE", 16)
+    for k, digits in enumerate((0, 1, 9, 0)):
+        x, y = rng.integers(0, 5, 90) * 1.0, np.round(rng.normal(0, 3, 90), digits)
+        (x, y), w = np.unique(np.stack([x, y]), axis=1, return_counts=True)
+        w = (w if k == 3 else rng.integers(1, 70, len(x)) if k else np.ones(len(x))).astype(float)
+        cols, want = S.Columns(x, y, w), T._fit_points(x, y, w)
+        s, ww = T.pair_slopes(x, y, w)
+        _, at = np.unique(np.abs(s[s != 0]), return_inverse=True)
+        size = np.bincount(at, ww[s != 0])
+        with monkeypatch.context() as m:
+            m.setattr(S, "_ranked_weights", None)
+            pos = neg = cross = ties = 0.0
+            # The least magnitudes span too many bits for one key with a weight; these intervals do not.
+            edges = [2.0**e * (1 + j / 8) for e in range(-60, 8) for j in range(8)]
+            for lo, hi in zip(edges, edges[1:]):
+                u, d, c, _, t, _ = S.exact(cols, lo, hi, np.empty(0))
+                pos, neg, cross, ties = pos + u, neg + d, cross + c + u * neg, ties + t
+        assert (pos * (pos + 1) / 2 + cross, ties, pos + neg) == (want[4], (size**3 - size).sum(), size.sum())
