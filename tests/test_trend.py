@@ -249,3 +249,20 @@ def test_packed_weights_are_ranked_as_by_reference(monkeypatch):
                 u, d, c, _, t, _ = S.exact(cols, lo, hi, np.empty(0))
                 pos, neg, cross, ties = pos + u, neg + d, cross + c + u * neg, ties + t
         assert (pos * (pos + 1) / 2 + cross, ties, pos + neg) == (want[4], (size**3 - size).sum(), size.sum())
+
+
+def test_groups_of_many_x_have_the_exact_test_too(spark, monkeypatch):
+    """Beyond a number of points the statistic of groups whose ``x`` takes many values was the middle of bounds, too."""
+    rng = np.random.default_rng(14)
+    x = rng.normal(0, 1, 150)
+    cases = {"free": (x, rng.normal(0, 1, 150)), "grid": (rng.integers(0, 90, 300), rng.integers(0, 4, 300)), "flat": (x, np.ones(150)), "one_x": ([1] * 9, range(9))}
+    df = frame(spark, cases)
+    direct = {r.g: r for r in T.theil_sen(df, ["g"], "x", "y").collect()}
+    for listed, held in ((T.LISTED, T.HELD), (700, 400)):
+        monkeypatch.setattr(T, "LISTED", listed)
+        monkeypatch.setattr(T, "HELD", held)
+        monkeypatch.setattr(T, "TASKS", 8)
+        for r in T.theil_sen(df, ["g"], "x", "y", direct_points=5, chunk=32, p_tol=1e-2).collect():
+            d = direct[r.g]
+            assert (r.n, r.v, r.p is None, r.p_error) == (d.n, d.v, d.p is None, 0)
+            assert r.p is None or (r.z, r.p) == pytest.approx((d.z, d.p), rel=1e-12)
